@@ -8,19 +8,16 @@ from pyspark.sql import functions as F
 # Characters a JavaScript runtime treats as white space when trimming or parsing numbers.
 WEB_SPACE = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 MAX_LONG = 9223372036854775807
-# A decimal integer with more digits than this exceeds the largest double.
-FINITE_DIGITS = 309
 TIME_TEXT = "yyyy-MM-dd HH:mm:ss"
 
 
 def leading_int(text: Column) -> Column:
     """The integer a text starts with, or null. Values past 64 bits saturate."""
     digits = F.regexp_extract(text, rf"^[{WEB_SPACE}]*([+-]?[0-9]+)", 1)
-    saturated = F.when(digits.startswith("-"), F.lit(-MAX_LONG)).otherwise(F.lit(MAX_LONG))
-    return F.when(
-        (digits != "") & (F.length(digits) <= FINITE_DIGITS),
-        F.coalesce(digits.try_cast("bigint"), saturated),
-    )
+    large = digits.try_cast("double")
+    return F.coalesce(
+        digits.try_cast("bigint"),
+        F.when(large < 0, F.lit(-MAX_LONG)).when(large < float("inf"), F.lit(MAX_LONG)))
 
 
 def web_trim(text: Column) -> Column:
@@ -64,37 +61,50 @@ def customer_age(order_datetime: Column, birthdate: Column) -> Column:
 # Multipliers of the deterministic risk hash.
 ORDER_FACTOR, CUSTOMER_FACTOR, CENTS_FACTOR = 374761, 66041, 104729
 WORD = 4294967296
-UNROLLED = 32
-
+# Where the digits of each part stand in the time text, and the codes of the signs between them.
+TIME_DIGITS = [(F.year, (1, 2, 3, 4)), (F.month, (6, 7)), (F.day, (9, 10)),
+               (F.hour, (12, 13)), (F.minute, (15, 16)), (F.second, (18, 19))]
+TIME_SIGNS = {5: "-", 8: "-", 11: " ", 14: ":", 17: ":"}
 
-def _weighted_codes(text: Column) -> Column:
-    """Sum of character code times 1-based position.
 
-    The first positions are written out, so that the usual 19-character time text is
-    compiled code; positions past the end read as an empty text, whose code is 0.
-    """
-    head = F.lit(0).cast("bigint")
-    for position in range(1, UNROLLED + 1):
-        head = head + F.ascii(F.substring(text, position, 1)) * F.lit(position)
-    tail = F.aggregate(
-        F.sequence(F.lit(UNROLLED + 1), F.length(text)),
+def _text_codes(text: Column) -> Column:
+    """Sum of character code times 1-based position."""
+    return F.aggregate(
+        F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))),
         F.lit(0).cast("bigint"),
-        lambda total, at: total + F.ascii(F.substr(text, at, F.lit(1))) * at,
-    )
-    return head + F.when(F.length(text) > UNROLLED, tail).otherwise(F.lit(0).cast("bigint"))
+        lambda total, at: total + F.ascii(F.substr(text, at, F.lit(1))) * at)
 
 
-def hash_score(order_id: Column, customer_id: Column, total: Column, time: Column) -> Column:
-    """Deterministic stand-in for a fraud probability, between 0.01 and 0.99.
+def _time_codes(moment: Column) -> Column:
+    """`_text_codes` of the time text, from the parts of the time: compiled integer arithmetic."""
+    fixed = sum(ord(sign) * at for at, sign in TIME_SIGNS.items())
+    fixed += sum(ord("0") * at for _, places in TIME_DIGITS for at in places)
+    total = F.lit(fixed)
+    for part, places in TIME_DIGITS:
+        for power, at in enumerate(reversed(places)):
+            total = total + F.floor(part(moment) / F.lit(10 ** power)) % 10 * at
+    return total
+
 
-    `time` is the order time as text. An empty or null text skips the 32-bit wrap.
-    """
+def _score(order_id: Column, customer_id: Column, total: Column, codes: Column) -> Column:
     cents = F.floor(total * F.lit(100.0) + F.lit(0.5))
     seed = (
         order_id.cast("bigint") * F.lit(ORDER_FACTOR)
         + customer_id.cast("bigint") * F.lit(CUSTOMER_FACTOR)
         + cents * F.lit(CENTS_FACTOR)
     )
-    text = F.coalesce(time, F.lit(""))
-    mixed = F.when(text == "", seed).otherwise(F.pmod(seed + _weighted_codes(text), F.lit(WORD)))
+    # Without a time text nothing wraps the sum to 32 bits.
+    mixed = F.coalesce(F.pmod(seed + codes, F.lit(WORD)), seed)
     return F.least(F.lit(0.99), F.greatest(F.lit(0.01), (mixed % F.lit(10000)) / F.lit(10000.0)))
+
+
+def hash_score(order_id: Column, customer_id: Column, total: Column, time: Column) -> Column:
+    """Deterministic stand-in for a fraud probability, between 0.01 and 0.99; `time` is a text."""
+    return _score(order_id, customer_id, total, F.when(time != "", _text_codes(time)))
+
+
+def hash_score_at(order_id: Column, customer_id: Column, total: Column, moment: Column) -> Column:
+    """`hash_score` for a timestamp, as if it were written as yyyy-MM-dd HH:mm:ss."""
+    plain = F.year(moment).between(0, 9999)
+    codes = F.when(plain, _time_codes(moment)).when(moment.isNotNull(), _text_codes(time_text(moment)))
+    return _score(order_id, customer_id, total, codes)

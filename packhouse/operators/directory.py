@@ -44,13 +44,16 @@ def customer_search(customers: DataFrame, needles: Sequence[str] | DataFrame) ->
     return hay.select(F.explode(hits).alias("needle"), "customer_id", "full_name", "email")
 
 
-def _pieces(text: str, size: int) -> Column:
-    """The distinct substrings of one size; size 0 gives the empty text."""
-    if size == 0:
-        return F.array(F.lit(""))
-    starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1))
-    pieces = F.transform(starts, lambda at: F.substr(F.col(text), at, F.lit(size)))
-    return F.coalesce(F.array_distinct(pieces), F.array().cast("array<string>"))
+def _pieces(df: DataFrame, text: str, sizes: Column) -> DataFrame:
+    """One row per distinct `_piece` of the given sizes; size 0 gives the empty text.
+
+    Of equal pieces only the leftmost is kept, which needs no grouping.
+    """
+    sized = df.withColumn("_size", F.explode(sizes)).where(F.length(text) >= F.col("_size"))
+    last = F.when(F.col("_size") == 0, F.lit(1)).otherwise(F.length(text) - F.col("_size") + 1)
+    placed = sized.withColumn("_at", F.explode(F.sequence(F.lit(1), last)))
+    return placed.withColumn("_piece", F.substr(F.col(text), F.col("_at"), F.col("_size"))).where(
+        F.position(F.col("_piece"), F.col(text)) == F.col("_at")).drop("_size", "_at")
 
 
 def _search_table(hay: DataFrame, needles: DataFrame) -> DataFrame:
@@ -62,22 +65,15 @@ def _search_table(hay: DataFrame, needles: DataFrame) -> DataFrame:
     """
     asked = needles.select("needle", F.lower(web_trim(F.col("needle"))).alias("_text")).where(
         "_text is not null").distinct()
-    asked = asked.withColumn("_size", F.least(F.length("_text"), F.lit(GRAM)))
-    by_size = F.lit(None).cast("array<string>")
-    for size in range(GRAM + 1):
-        by_size = F.when(F.col("_size") == size, _pieces("_text", size)).otherwise(by_size)
-    candidates = asked.select("needle", "_text", F.explode(by_size).alias("_piece"))
-
-    indexed = hay.select("*", F.explode(F.concat(*[_pieces("_hay", n) for n in range(GRAM + 1)])).alias("_piece"))
-    wanted = candidates.select("_piece").distinct()
-    found = indexed.join(wanted, "_piece", "left_semi")
-    frequency = found.groupBy("_piece").agg(F.count(F.lit(1)).alias("_found"))
-    # A needle with a piece that nobody has is dropped by counting -1 for it.
+    candidates = _pieces(asked, "_text", F.array(F.least(F.length("_text"), F.lit(GRAM))))
+    indexed = _pieces(hay, "_hay", F.sequence(F.lit(0), F.lit(GRAM)))
+    frequency = indexed.join(candidates.select("_piece").distinct(), "_piece", "left_semi").groupBy(
+        "_piece").agg(F.count(F.lit(1)).alias("_found"))
+    # A needle with a piece that nobody has cannot match; -1 puts that piece first.
+    found = F.coalesce("_found", F.lit(-1))
     anchors = (
-        candidates.join(frequency, "_piece", "left")
-        .groupBy("needle", "_text")
-        .agg(F.min_by("_piece", F.struct(F.coalesce("_found", F.lit(-1)), F.col("_piece"))).alias("_piece"),
-             F.min(F.coalesce("_found", F.lit(-1))).alias("_found"))
+        candidates.join(frequency, "_piece", "left").groupBy("needle", "_text")
+        .agg(F.min_by("_piece", F.struct(found, F.col("_piece"))).alias("_piece"), F.min(found).alias("_found"))
         .where("_found > 0").drop("_found")
     )
     return (

@@ -12,6 +12,7 @@ from packhouse.operators.joins import lookup_join
 from packhouse.operators.orders import customer_order_counts, open_orders
 from packhouse.operators.quantiles import exact_quantiles
 from packhouse.schemas import FRAUD_FEATURES, FRAUD_LABEL, LATE_LABEL
+from packhouse.sources.shared import materialize
 
 # Lines are spread over slices by their own values: they may come without an id.
 LINE_SPREAD = ["order_id", "quantity", "unit_price", "line_total"]
@@ -115,6 +116,7 @@ def label_distribution(df: DataFrame, label: str) -> DataFrame:
 
 def feature_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, sample deviation, extremes and exact quartiles, one row per column."""
+    df = materialize(df.select(*columns), "summary")
     quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
     measures = ["count", "mean", "std", "min", "p25", "p50", "p75", "max"]
 

@@ -25,35 +25,35 @@ def _json_array(raw: Column) -> Column:
     return F.when(element.isNotNull(), F.try_variant_get(member, "$.lines", "array<variant>"))
 
 
-def _number_as_int(number: Column) -> Column:
-    """The integer that a number's shortest text starts with; very large and very small
-    numbers are written with an exponent, so only their first digit counts."""
+def _number_text(number: Column) -> Column:
+    """Digits of the whole part. Very large and very small numbers are written with an
+    exponent, of which a lenient reader sees the first digit only."""
     size = F.abs(number)
     exponent = (size >= 1e21) | ((size > 0) & (size < 1e-6))
-    return F.when(exponent, leading_int(number.cast("string"))).otherwise(
-        leading_int(F.format_string("%.0f", F.when(number < 0, F.ceil(number)).otherwise(F.floor(number)).cast("double"))))
+    return F.when(exponent, number.cast("string")).otherwise(F.floor(number).cast("string"))
 
 
-def _int_field(item: Column, name: str) -> Column:
-    """A field read leniently: numbers, texts with a leading number, and arrays by their first element."""
+def _field_text(item: Column, name: str) -> Column:
+    """A field as the text its leading integer is read from; an array counts as its first element."""
     path = f"$.{name}"
+    field = F.try_variant_get(item, path, "variant")
     text = F.try_variant_get(item, path, "string")
-    kind = F.schema_of_variant(F.try_variant_get(item, path, "variant"))
-    inner = F.regexp_extract(text, rf'^(?:\[[{WEB_SPACE}]*)+"?(.*)$', 1)
+    kind = F.substring(F.schema_of_variant(field), 1, 3)
     return (
-        F.when(kind.startswith("ARRAY"), leading_int(inner))
-        .when((kind == "DOUBLE") | (kind == "FLOAT") | kind.startswith("DECIMAL"),
-              _number_as_int(F.try_variant_get(item, path, "double")))
-        .otherwise(leading_int(text)))
+        F.when(kind.isin("DOU", "DEC", "FLO"), _number_text(F.try_variant_get(item, path, "double")))
+        .when(kind == "ARR", F.regexp_extract(text, rf'^(?:\[[{WEB_SPACE}]*)+"?(.*)$', 1))
+        .otherwise(text))
 
 
 def _with_lines(requests: DataFrame) -> DataFrame:
     """Append `_lines`: array<struct<product_id, quantity>>, null if the payload is no JSON array."""
-    lines = F.transform(
+    texts = F.transform(
         _json_array(F.col("order_lines")),
-        lambda item: F.struct(_int_field(item, "product_id").alias("product_id"),
-                              _int_field(item, "quantity").alias("quantity")))
-    return requests.withColumn("_lines", lines)
+        lambda item: F.struct(_field_text(item, "product_id").alias("product_id"),
+                              _field_text(item, "quantity").alias("quantity")))
+    return requests.withColumn("_lines", F.transform(
+        texts, lambda line: F.struct(leading_int(line["product_id"]).alias("product_id"),
+                                     leading_int(line["quantity"]).alias("quantity"))))
 
 
 def _usable(line: Column) -> Column:

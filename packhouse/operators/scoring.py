@@ -12,7 +12,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packhouse.functions.scalars import hash_score, time_text
+from packhouse.functions.scalars import hash_score_at
 from packhouse.operators.features import Tables, fraud_features_serving
 from packhouse.operators.model import THRESHOLD, LinearParameters, predict, predict_linear, require_features
 from packhouse.operators.orders import open_orders_for_scoring
@@ -43,8 +43,8 @@ def _prediction_rows(scored: DataFrame, prob: str, pred: str) -> DataFrame:
 def score_open_orders_hash(tables: Tables) -> DataFrame:
     """The deterministic hash score; fraud is flagged from 0.5 whatever the threshold setting."""
     waiting = open_orders_for_scoring(tables["shop_orders"], tables["shipments"], ordered=False)
-    scored = waiting.withColumn("prob", hash_score(
-        F.col("order_id"), F.col("customer_id"), F.col("total_value"), time_text(F.col("order_timestamp"))))
+    scored = waiting.withColumn("prob", hash_score_at(
+        F.col("order_id"), F.col("customer_id"), F.col("total_value"), F.col("order_timestamp")))
     return _prediction_rows(scored.withColumn("pred", F.col("prob") >= 0.5), "prob", "pred")
 
 

@@ -104,8 +104,8 @@ training_items as (
 customer_counts as (select customer_id, count(*) as customer_order_count from shop_orders group by customer_id),
 aged as (
   select o.*, c.birthdate, c.full_name, c.customer_id as known_customer,
-    cast(floor((epoch_us(order_datetime) - epoch_us(try_cast(birthdate as timestamp))) // 86400000000 / 365.0)
-      as double) as customer_age
+    cast(floor(floor((epoch_us(order_datetime) - epoch_us(try_cast(birthdate as timestamp))) / 86400000000.0)
+      / 365.0) as double) as customer_age
   from shop_orders o left join customers c on c.customer_id = o.customer_id),
 serving as (
   select a.order_id, risk_score, cast(coalesce(num_items, 0) as double) as num_items,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packhouse.functions.scalars import customer_age, hash_score, time_text
+from packhouse.functions.scalars import customer_age, hash_score_at, time_text
 from packhouse.operators import directory, features, intake, metrics, model, orders, quality, queue, runlog, scoring, split
 from packhouse.plans.parameters import DIGITS, FRAUD_PARAMETERS, RUN_TS, SEARCH_TEXTS, TIE_SHIFT
 from packhouse.schemas import FRAUD_FEATURES, FRAUD_LABEL, REQUESTS
@@ -215,7 +215,7 @@ def stratified_split(star):
 
 
 def _training(star: StarTables) -> DataFrame:
-    return features.fraud_features_training(_slim(star))
+    return materialize(features.fraud_features_training(_slim(star)), "features")
 
 
 @query
@@ -237,8 +237,7 @@ def balanced_weights(star):
 
 
 def _fitted(star: StarTables):
-    rows = materialize(_training(star), "features")
-    train, test = split.stratified_split(rows, FRAUD_LABEL, "order_id")
+    train, test = split.stratified_split(_training(star), FRAUD_LABEL, "order_id")
     return model.fit_logistic(train, FRAUD_FEATURES, FRAUD_LABEL), test
 
 
@@ -274,9 +273,8 @@ def classification_report(star):
 
 @query
 def hash_scores(star):
-    return star.shop_orders.select("order_id", hash_score(
-        F.col("order_id"), F.col("customer_id"), F.col("order_total"), time_text(F.col("order_datetime"))
-    ).alias("score"))
+    return star.shop_orders.select("order_id", hash_score_at(
+        F.col("order_id"), F.col("customer_id"), F.col("order_total"), F.col("order_datetime")).alias("score"))
 
 
 @query

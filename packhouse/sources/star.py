@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packhouse.functions.scalars import hash_score, time_text
+from packhouse.functions.scalars import hash_score_at
 from packhouse.operators.joins import lookup_join
 from packhouse.operators.numbering import number_rows
 
@@ -129,8 +129,8 @@ class StarTables:
     @cached_property
     def order_predictions(self) -> DataFrame:
         """Predictions of an earlier run, partly for orders shipped since."""
-        score = hash_score(
-            F.col("order_id"), F.col("customer_id"), F.col("order_total"), time_text(F.col("order_datetime")))
+        score = hash_score_at(
+            F.col("order_id"), F.col("customer_id"), F.col("order_total"), F.col("order_datetime"))
         late = (F.col("order_id") * 13) % 1000
         return (
             self.shop_orders.where("order_id % 3 <> 0")
@@ -194,8 +194,8 @@ class StarTables:
     @cached_property
     def predictions_labeled(self) -> DataFrame:
         """Labels with a probability that is not a model's: input for the metric operators."""
-        score = hash_score(
-            F.col("order_id"), F.col("customer_id"), F.col("order_total"), time_text(F.col("order_datetime")))
+        score = hash_score_at(
+            F.col("order_id"), F.col("customer_id"), F.col("order_total"), F.col("order_datetime"))
         return self.labeled_orders.select(
             F.col("order_id").alias("id"), F.col("is_fraud").alias("label"), score.alias("prob"),
         ).withColumn("pred", F.when(F.col("prob") > 0.5, 1).otherwise(0))

@@ -31,10 +31,9 @@ def apply_batch(requests: DataFrame, batch_id: int, tables: Tables, out_dir: str
     same place, with the same ids, because ids continue from the previous batch's marker.
     """
     spark = requests.sparkSession
-    markers = _markers(spark, out_dir)
-    if markers.where(F.col("batch_id") == batch_id).first() is not None:
+    earlier = _markers(spark, out_dir).where(F.col("batch_id") <= batch_id).orderBy(F.desc("batch_id")).first()
+    if earlier is not None and earlier.batch_id == batch_id:
         return
-    earlier = markers.where(F.col("batch_id") < batch_id).orderBy(F.desc("batch_id")).first()
     if earlier is None:
         base_order, base_item = (
             tables[name].agg(F.coalesce(F.max(key), F.lit(0))).first()[0]
@@ -46,13 +45,13 @@ def apply_batch(requests: DataFrame, batch_id: int, tables: Tables, out_dir: str
     order_intake(requests, tables["customers"], tables["products"]).write.mode("overwrite").parquet(decided_path)
     decided = spark.read.parquet(decided_path)
     orders, items = place_orders(decided, F.lit(base_order), F.lit(base_item))
-    paths = {name: f"{out_dir}/{name}/batch={batch_id}" for name in ("orders", "items")}
-    orders.write.mode("overwrite").parquet(paths["orders"])
-    items.write.mode("overwrite").parquet(paths["items"])
-    # Read back: the sums of what is stored, whatever was recomputed on the way.
-    n_orders = spark.read.parquet(paths["orders"]).count()
-    n_items = spark.read.parquet(paths["items"]).count()
-    marker = spark.createDataFrame([(batch_id, base_order + n_orders, base_item + n_items)], MARKER)
+    orders.write.mode("overwrite").parquet(f"{out_dir}/orders/batch={batch_id}")
+    items.write.mode("overwrite").parquet(f"{out_dir}/items/batch={batch_id}")
+    # Every order has a line, so the stored lines know both last ids.
+    last = spark.read.parquet(f"{out_dir}/items/batch={batch_id}").agg(
+        F.coalesce(F.max("order_id"), F.lit(base_order)), F.coalesce(F.max("order_item_id"), F.lit(base_item))
+    ).first()
+    marker = spark.createDataFrame([(batch_id, last[0], last[1])], MARKER)
     marker.coalesce(1).write.mode("overwrite").json(f"{out_dir}/commits/b{batch_id}")
 
 
