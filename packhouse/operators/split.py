@@ -6,19 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values of the split hash: 32-bit result, cut on its upper 20 bits.
-HASH_FACTOR, SEED_FACTOR, HIGH_FACTOR = 2654435761, 40503, 69069
-BUCKET_WIDTH = 4096
+LOW_FACTOR, HIGH_FACTOR, SEED_FACTOR, MIX_FACTOR = 2654435761, 69069, 2654435769, 1274126177
+WORD = 4294967296
+HALF_WORD = 2147483648
 
 
 def split_hash(key: Column, seed: int) -> Column:
     """A 32-bit number from a whole-number key, spread evenly and equal on every engine."""
-    low = F.pmod(key.cast("bigint"), F.lit(2147483648))
-    high = F.pmod(F.floor(key.cast("bigint") / F.lit(2147483648)), F.lit(2147483648))
-    return F.pmod(low * F.lit(HASH_FACTOR) + F.pmod(high * F.lit(HIGH_FACTOR), F.lit(4294967296))
-                  + F.lit(seed * SEED_FACTOR), F.lit(4294967296))
+    low = F.pmod(key.cast("bigint"), F.lit(HALF_WORD))
+    high = F.pmod(F.floor(key.cast("bigint") / F.lit(HALF_WORD)), F.lit(HALF_WORD))
+    start = F.pmod(low * F.lit(LOW_FACTOR) + F.pmod(high * F.lit(HIGH_FACTOR), F.lit(WORD))
+                   + F.lit(seed * SEED_FACTOR % WORD), F.lit(WORD))
+    mixed = F.pmod(start.bitwiseXOR(F.shiftright(start, 15)) * F.lit(MIX_FACTOR), F.lit(WORD))
+    return mixed.bitwiseXOR(F.shiftright(mixed, 13))
 
 
-def test_sizes(df: DataFrame, label: str, fraction: float) -> DataFrame:
+def class_test_rows(df: DataFrame, label: str, fraction: float) -> DataFrame:
     """Rows of each class that go to the test side: one row per class.
 
     The test side has ceil(fraction * n) rows. The training rows are shared out in
@@ -49,7 +52,7 @@ def mark_split(df: DataFrame, label: str, key: str, fraction: float = 0.25, seed
         "_bucket", F.shiftright("_hash", 12))
     buckets = hashed.groupBy("_label", "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
     upto = Window.partitionBy("_label").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    sizes = F.broadcast(test_sizes(rows, "_label", fraction))
+    sizes = F.broadcast(class_test_rows(rows, "_label", fraction))
     cut = (
         buckets.withColumn("_upto", F.sum("_rows").over(upto)).join(sizes, "_label")
         .where("_upto >= _test_rows and _upto - _rows < _test_rows")

@@ -186,9 +186,9 @@ def _t(column: str, name: str | None = None) -> str:
 
 _ORDER = f"customer_id, order_id, {_t('order_datetime')}, {_r('order_total')}, item_count, shipment_count, status"
 _SCORES = "late_delivery_probability, predicted_late_delivery, fraud_probability, predicted_fraud"
-_HASH32 = (
+_START = (
     "((order_id % 2147483648) * 2654435761 + ((order_id // 2147483648) % 2147483648 * 69069) % 4294967296"
-    " + 42 * 40503) % 4294967296")
+    " + 42 * 2654435769 % 4294967296) % 4294967296")
 _PLACED = f"""select order_id, request_id, customer_id, {_t('requested_at', 'order_datetime')},
   round(total @shown) as order_total, 50.0::double as risk_score, order_item_id, product_id,
   cast(quantity as int) as quantity, round(price @shown) as unit_price, round(quantity * price @shown) as line_total
@@ -369,10 +369,12 @@ BODIES: dict[str, str] = {
         allotted as (
           select is_fraud, n_class - (floor(exact) + case when
               row_number() over (order by exact - floor(exact) desc, is_fraud)
-              <= n_train - sum(floor(exact)) over () then 1 else 0 end) as n_test from shares)
+              <= n_train - sum(floor(exact)) over () then 1 else 0 end) as n_test from shares),
+        started as (select order_id, is_fraud, {_START} as h from shop_orders),
+        mixed as (select order_id, is_fraud, xor(h, h >> 15) * 1274126177 % 4294967296 as m from started)
         select order_id, o.is_fraud, cast(row_number() over (partition by o.is_fraud
-          order by {_HASH32}, order_id) <= n_test as int) as is_test
-        from shop_orders o join allotted a on a.is_fraud = o.is_fraud""",
+          order by xor(m, m >> 13), order_id) <= n_test as int) as is_test
+        from mixed o join allotted a on a.is_fraud = o.is_fraud""",
     "median_impute": f""", {_FILLED_CTE} select order_id, {_r(*FRAUD_FEATURES)}, is_fraud from filled""",
     "standard_scale": _scaled(),
     "balanced_weights": """select order_id, is_fraud, round((select count(*) from shop_orders)

@@ -1,0 +1,131 @@
+import math
+
+import pytest
+import seed
+from pyspark.sql import functions as F
+
+from packhouse.operators import metrics, model, split
+from packhouse.operators.scoring import ModelScorer, score_open_orders_model
+from packhouse.plans.parameters import FRAUD_PARAMETERS
+
+
+def confusion(spark, tp, fp, fn, tn):
+    rows = [(1, 1)] * tp + [(0, 1)] * fp + [(1, 0)] * fn + [(0, 0)] * tn
+    return spark.createDataFrame(rows, "label int, pred int").withColumn("prob", F.col("pred").cast("double"))
+
+
+def test_report_matches_published_figures(spark):
+    df = confusion(spark, 55, 278, 24, 893)
+    top = metrics.binary_metrics(df).first()
+    assert (top.accuracy, top.f1) == (pytest.approx(0.7584), pytest.approx(0.2669902912621359))
+    report = {r["class"]: tuple(r)[1:] for r in metrics.classification_report(df).collect()}
+    assert report["0"] == pytest.approx((0.9738276990185387, 0.762596071733561, 0.8553639846743295, 1171))
+    assert report["1"] == pytest.approx((0.16516516516516516, 0.6962025316455697, 0.2669902912621359, 79))
+    assert report["macro avg"] == pytest.approx((0.569496432091852, 0.7293993016895653, 0.5611771379682327, 1250))
+    assert report["weighted avg"] == pytest.approx((0.9227202268790056, 0.7584, 0.8181787672506788, 1250))
+
+
+def test_undefined_scores_are_zero(spark):
+    report = {r["class"]: tuple(r)[1:] for r in metrics.classification_report(confusion(spark, 0, 0, 0, 3)).collect()}
+    assert report["1"] == (0.0, 0.0, 0.0, 0)
+
+
+def test_auc_counts_ties_half(spark):
+    df = spark.createDataFrame([(1, 0.9), (0, 0.9), (1, 0.4), (0, 0.1)], "label int, prob double")
+    assert metrics.roc_auc(df, "label", "prob") == pytest.approx(0.625)
+
+
+def test_split_sizes_and_repeatability(spark):
+    df = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") % 10 == 0).cast("int").alias("y"))
+    marked = split.mark_split(df, "y", "k")
+    sizes = {(r.y, r.is_test): r["count"] for r in marked.groupBy("y", "is_test").count().collect()}
+    assert sizes == {(0, True): 225, (0, False): 675, (1, True): 25, (1, False): 75}
+    again = split.mark_split(df.repartition(7), "y", "k")
+    assert marked.exceptAll(again).count() == 0
+    other = split.mark_split(df, "y", "k", seed=7)
+    assert marked.exceptAll(other).count() > 0
+
+
+def test_split_rounds_test_size_up(spark):
+    df = spark.range(10).select(F.col("id").alias("k"), (F.col("id") < 3).cast("int").alias("y"))
+    train, test = split.stratified_split(df, "y", "k")
+    assert (train.count(), test.count()) == (7, 3)
+
+
+def test_median_and_scaling(spark):
+    df = spark.createDataFrame([(1.0, 5.0), (2.0, 5.0), (3.0, 5.0), (10.0, 5.0), (None, 5.0)], "x double, c double")
+    middle = model.medians(df, ["x", "c"])
+    assert middle == {"x": 2.5, "c": 5.0}
+    filled = model.median_impute(df, ["x", "c"], middle)
+    fitted = model.scale_parameters(filled, ["x", "c"])
+    assert fitted["c"] == (5.0, 1.0)
+    scaled = [r.x for r in model.standard_scale(filled, ["x", "c"], fitted).collect()]
+    assert sum(scaled) == pytest.approx(0) and sum(v * v for v in scaled) / 5 == pytest.approx(1)
+
+
+def test_balanced_weights(spark):
+    df = spark.createDataFrame([(0,), (0,), (0,), (1,)], "y int")
+    assert sorted(seed.rows(model.balanced_weights(df, "y"))) == [(0, pytest.approx(2 / 3))] * 3 + [(1, 2.0)]
+
+
+@pytest.fixture(scope="module")
+def training(spark):
+    return spark.range(400).select(
+        F.col("id").alias("order_id"), (F.col("id") % 20).cast("double").alias("a"),
+        F.when(F.col("id") % 11 != 0, (F.col("id") * 7 % 13).cast("double")).alias("b"),
+        ((F.col("id") % 20 + F.col("id") * 5 % 9) > 18).cast("int").alias("y")).cache()
+
+
+def test_fit_minimises_the_weighted_penalised_loss(spark, training):
+    """Newton steps on the same objective end at the same coefficients."""
+    import numpy as np
+    fitted = model.fit_logistic(training, ["a", "b"], "y")
+    lr = fitted.stages[-1]
+    rows = np.array([[r.a, math.nan if r.b is None else r.b, r.y] for r in training.collect()])
+    x, y = rows[:, :2], rows[:, 2]
+    x = np.where(np.isnan(x), np.nanmedian(x, axis=0), x)
+    x = np.c_[(x - x.mean(0)) / x.std(0), np.ones(len(x))]
+    w = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
+    beta, penalty = np.zeros(3), np.diag([1.0, 1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ beta))
+        gradient = x.T @ (w * (p - y)) + penalty @ beta
+        hessian = (x * (w * p * (1 - p))[:, None]).T @ x + penalty
+        beta -= np.linalg.solve(hessian, gradient)
+    assert [*lr.coefficients, lr.intercept] == pytest.approx(list(beta), abs=1e-4)
+
+
+def test_stored_model_scores_the_same(spark, training, tmp_path):
+    fitted = model.fit_logistic(training, ["a", "b"], "y")
+    model.save_model(fitted, str(tmp_path / "m"))
+    check = seed.rows(model.model_smoke_check(str(tmp_path / "m"), training))
+    want = model.predict(fitted, training).where("order_id < 3").orderBy("order_id").collect()
+    assert check == [(r.order_id, round(r.prob, 4)) for r in want]
+
+
+def test_threshold_comparisons(spark, training):
+    fitted = model.fit_logistic(training, ["a", "b"], "y")
+    edge = model.predict(fitted, training).first().prob
+    row = training.limit(1)
+    assert model.predict(fitted, row, threshold=edge).first().pred == 1
+    assert model.predict(fitted, row, threshold=edge, strict=True).first().pred == 0
+
+
+def test_model_card(spark, tmp_path):
+    path = str(tmp_path / "card")
+    meta = spark.createDataFrame([("fraud", ["a", "b"])], "model_name string, features array<string>")
+    model.write_model_card(spark, meta, spark.createDataFrame([(0.5,)], "accuracy double"), path)
+    assert model.load_features(spark, path) == ["a", "b"]
+    model.write_model_card(spark, meta.withColumn("features", F.array().cast("array<string>")), meta, path)
+    with pytest.raises(ValueError, match="features"):
+        model.load_features(spark, path)
+
+
+def test_missing_features_are_an_error(spark):
+    with pytest.raises(ValueError, match="nope"):
+        score_open_orders_model(seed.tables(spark), FRAUD_PARAMETERS, features=["risk_score", "nope"])
+
+
+def test_model_scoring_of_nothing_is_empty(spark):
+    t = seed.tables(spark, shop_orders=[])
+    assert ModelScorer(FRAUD_PARAMETERS).score(t).count() == 0

@@ -1,0 +1,155 @@
+import datetime as dt
+
+import pytest
+import seed
+from pyspark.sql import functions as F
+
+from packhouse.operators import directory, orders, queue
+from packhouse.operators.scoring import score_open_orders_hash, upsert_predictions
+
+
+@pytest.fixture(scope="module")
+def t(spark):
+    return seed.tables(spark)
+
+
+def test_lists(t):
+    assert [r[1] for r in seed.rows(directory.customers_list(t["customers"]))] == [
+        "Ada Lovelace", "Alan Turing", "Grace Hopper"]
+    assert [r[1] for r in seed.rows(directory.products_list(t["products"]))] == [
+        "Desk Lamp", "Notebook", "Pen Set", "USB Cable"]
+
+
+def test_lists_ignore_case_and_break_ties_by_id(spark):
+    people = seed.table(spark, "customers", [(3, "bob", "x", None), (2, "Bob", "y", None), (1, "CARL", "z", None)])
+    assert [r[0] for r in seed.rows(directory.customers_list(people))] == [2, 3, 1]
+
+
+def test_open_orders(t):
+    assert sorted(seed.rows(orders.open_orders(t["shop_orders"], t["shipments"]), "order_id")) == [(1,), (3,)]
+
+
+def test_customer_order_stats(t):
+    stats = orders.customer_order_stats(t["customers"], t["shop_orders"])
+    assert sorted(seed.rows(stats)) == [
+        (1, 2, pytest.approx(38.99), dt.datetime(2026, 1, 29)), (2, 1, 8.25, dt.datetime(2026, 1, 30)),
+        (3, 0, 0.0, None)]
+    one = orders.customer_order_stats(t["customers"], t["shop_orders"], customer_id=3)
+    assert seed.rows(one) == [(3, 0, 0.0, None)]
+
+
+def test_recent_orders_of_one_customer(t):
+    recent = orders.customer_recent_orders(t["shop_orders"], t["order_items"], t["shipments"], customer_id=1)
+    assert seed.rows(recent, "order_id", "item_count", "shipment_count", "status") == [
+        (2, 1, 1, "Shipped"), (1, 1, 0, "Open")]
+
+
+def test_recent_orders_put_missing_times_last_and_keep_five(spark, t):
+    day = dt.datetime(2026, 1, 1)
+    many = [(i, 1, day + dt.timedelta(days=i), 1.0, 50.0) for i in range(1, 7)] + [(9, 1, None, 1.0, 50.0)]
+    mine = seed.table(spark, "shop_orders", many)
+    args = (t["order_items"], t["shipments"], 1)
+    assert [r[1] for r in seed.rows(orders.customer_recent_orders(mine, *args))] == [6, 5, 4, 3, 2]
+    assert [r[1] for r in seed.rows(orders.customer_orders(mine, *args))] == [6, 5, 4, 3, 2, 1, 9]
+
+
+def test_counts_do_not_multiply(spark, t):
+    lines = seed.table(spark, "order_items", [(i, 1, 1, 1, 1.0, 1.0) for i in range(1, 4)])
+    sent = seed.table(spark, "shipments", [(1, 1, 0), (2, 1, 1)])
+    counted = orders.order_counts(t["shop_orders"].select("order_id"), lines, sent)
+    assert sorted(seed.rows(counted)) == [(1, 3, 2), (2, 0, 0), (3, 0, 0)]
+
+
+def test_queue_without_predictions(t):
+    rows = seed.rows(queue.warehouse_priority_queue(
+        t["shop_orders"], t["customers"], t["shipments"], t["order_predictions"]),
+        "order_id", "has_prediction", "fraud_probability", "prediction_timestamp")
+    assert rows == [(1, 0, 0.0, ""), (3, 0, 0.0, "")]
+
+
+def test_queue_and_flags_after_scoring(t):
+    scored = upsert_predictions(t["order_predictions"], score_open_orders_hash(t), seed.NOW)
+    args = (t["shop_orders"], t["customers"], t["shipments"], scored)
+    assert seed.rows(queue.warehouse_priority_queue(*args), "order_id", "fraud_probability", "predicted_fraud",
+                     "prediction_timestamp") == [(3, 0.7071, 1, seed.NOW), (1, 0.6234, 1, seed.NOW)]
+    assert [r[0] for r in seed.rows(queue.fraud_flagged_open_orders(*args))] == [3, 1]
+
+
+def test_scored_zero_outranks_unscored_and_limit_holds(spark, t):
+    scored = seed.table(spark, "order_predictions", [(3, 0.0, 0, 0.0, 0, dt.datetime(2026, 1, 1))])
+    args = (t["shop_orders"], t["customers"], t["shipments"], scored)
+    assert [r[0] for r in seed.rows(queue.warehouse_priority_queue(*args))] == [3, 1]
+    assert [r[0] for r in seed.rows(queue.warehouse_priority_queue(*args, limit=1))] == [3]
+
+
+def test_queue_hides_unknown_customers_and_trims_names(spark, t):
+    people = seed.table(spark, "customers", [(1, "  Ada ", "a", None)])
+    shown = queue.warehouse_priority_queue(t["shop_orders"], people, t["shipments"], t["order_predictions"])
+    assert seed.rows(shown, "order_id", "customer_name") == [(1, "Ada")]
+
+
+def test_line_items(spark, t):
+    lines = seed.table(spark, "order_items", seed.ITEMS + [(4, 1, 99, 1, 1.0, 1.0), (5, 1, 2, 1, 12.0, 12.0)])
+    asked = spark.createDataFrame([(1,), (1,)], "order_id long")
+    shown = orders.order_line_items(lines, t["products"], asked)
+    assert seed.rows(shown, "order_item_id", "product_name") == [(1, "Notebook"), (5, "Pen Set")]
+
+
+def test_ownership_and_header(spark, t):
+    claims = spark.createDataFrame(
+        [(1, "2", 1), (2, "2", 2), (3, " 3abc", 2), (4, "x", 1), (5, "99", 1), (6, None, 1)],
+        "claim_id long, order_ref string, customer_id long")
+    owned = orders.order_ownership(claims, t["shop_orders"], ["claim_id"])
+    assert sorted(seed.rows(owned, "claim_id", "belongs")) == [
+        (1, True), (2, False), (3, True), (4, False), (5, False), (6, False)]
+    headers = orders.order_header(claims, t["shop_orders"], t["order_items"], ["claim_id"])
+    assert sorted(seed.rows(headers, "claim_id", "order_id", "order_total", "item_count")) == [
+        (1, 2, 29.99, 1), (3, 3, 8.25, 1)]
+
+
+def test_overview(t):
+    overview = orders.customer_overview(t["customers"], t["shop_orders"], t["order_items"], t["shipments"])
+    rows = {r.customer_id: r for r in overview.collect()}
+    assert [o.order_id for o in rows[1].recent_orders] == [2, 1]
+    assert (rows[3].order_count, rows[3].total_spend, rows[3].recent_orders) == (0, 0.0, [])
+
+
+NEEDLES = ["ADA", " lovelace ada@ ", "%", "_", "", "edu 3", "nobody", "e"]
+
+
+def expected_hits():
+    found = set()
+    for needle in NEEDLES:
+        for cid, name, email, _ in seed.CUSTOMERS:
+            if needle.strip().lower() in f"{name} {email} {cid}".lower():
+                found.add((needle, cid))
+    return found
+
+
+def test_search_is_literal_in_both_forms(spark, t):
+    typed = directory.customer_search(t["customers"], NEEDLES)
+    assert set(seed.rows(typed, "needle", "customer_id")) == expected_hits()
+    asked = spark.createDataFrame([(n,) for n in NEEDLES + ["ADA"]], "needle string")
+    table = directory.customer_search(t["customers"], asked)
+    assert sorted(seed.rows(table, "needle", "customer_id")) == sorted(expected_hits())
+
+
+def test_resolve(spark, t):
+    asked = seed.requests(spark, *[(ref, None) for ref in ("1", " 2x", "abc", "0", "-1", "99", "", None, "+3")])
+    form = directory.customer_resolve(asked, t["customers"], "form")
+    assert [r[1] for r in sorted(seed.rows(form, "request_id", "status"))] == [
+        "ok", "ok", "invalid", "invalid", "invalid", "unknown", "invalid", "invalid", "ok"]
+    session = directory.customer_resolve(asked, t["customers"], "session")
+    assert [r[1] for r in sorted(seed.rows(session, "request_id", "status"))] == [
+        "ok", "ok", "none", "none", "none", "invalid_cookie", "none", "none", "ok"]
+
+
+def test_product_price(spark, t):
+    asked = spark.createDataFrame([(1,), (1,), (99,)], "product_id long")
+    assert seed.rows(directory.product_price(asked, t["products"])) == [(1, 4.5)]
+
+
+def test_status_label(spark):
+    counts = spark.createDataFrame([(0,), (1,), (3,)], "n int")
+    assert [r[0] for r in seed.rows(counts.select(orders.fulfillment_status(F.col("n"))))] == [
+        "Open", "Shipped", "Shipped"]
