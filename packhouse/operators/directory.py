@@ -44,12 +44,15 @@ def customer_search(customers: DataFrame, needles: Sequence[str] | DataFrame) ->
     return hay.select(F.explode(hits).alias("needle"), "customer_id", "full_name", "email")
 
 
-def _pieces(df: DataFrame, text: str, sizes: Column) -> DataFrame:
+def _pieces(df: DataFrame, text: str, sizes: Column, used: DataFrame | None = None) -> DataFrame:
     """One row per distinct `_piece` of the given sizes; size 0 gives the empty text.
 
-    Of equal pieces only the leftmost is kept, which needs no grouping.
+    Of equal pieces only the leftmost is kept, which needs no grouping. `used` lists the
+    sizes to keep: at most GRAM + 1 rows.
     """
     sized = df.withColumn("_size", F.explode(sizes)).where(F.length(text) >= F.col("_size"))
+    if used is not None:
+        sized = sized.join(F.broadcast(used), "_size", "left_semi")
     last = F.when(F.col("_size") == 0, F.lit(1)).otherwise(F.length(text) - F.col("_size") + 1)
     placed = sized.withColumn("_at", F.explode(F.sequence(F.lit(1), last)))
     return placed.withColumn("_piece", F.substr(F.col(text), F.col("_at"), F.col("_size"))).where(
@@ -65,8 +68,10 @@ def _search_table(hay: DataFrame, needles: DataFrame) -> DataFrame:
     """
     asked = needles.select("needle", F.lower(web_trim(F.col("needle"))).alias("_text")).where(
         "_text is not null").distinct()
-    candidates = _pieces(asked, "_text", F.array(F.least(F.length("_text"), F.lit(GRAM))))
-    indexed = _pieces(hay, "_hay", F.sequence(F.lit(0), F.lit(GRAM)))
+    size = F.least(F.length("_text"), F.lit(GRAM))
+    candidates = _pieces(asked, "_text", F.array(size))
+    indexed = _pieces(
+        hay, "_hay", F.sequence(F.lit(0), F.lit(GRAM)), asked.select(size.alias("_size")).distinct())
     frequency = indexed.join(candidates.select("_piece").distinct(), "_piece", "left_semi").groupBy(
         "_piece").agg(F.count(F.lit(1)).alias("_found"))
     # A needle with a piece that nobody has cannot match; -1 puts that piece first.

@@ -28,7 +28,7 @@ def roc_auc(df: DataFrame, label: str, prob: str) -> float:
 
 
 def binary_metrics(df: DataFrame, label: str = "label", prob: str = "prob", pred: str = "pred") -> DataFrame:
-    """accuracy, f1 of class 1 and ROC AUC in one row."""
+    """accuracy, f1 of class 1 and ROC AUC in one row. Reads `df` twice."""
     tp, fp, fn, tn = map(F.col, ("tp", "fp", "fn", "tn"))
     return confusion(df, label, pred).select(
         F.try_divide(tp + tn, tp + fp + fn + tn).alias("accuracy"),

@@ -65,13 +65,12 @@ def fit_logistic(train: DataFrame, features: Sequence[str], label: str) -> Pipel
     """Median imputation, standardisation and an L2 logistic regression with balanced classes.
 
     The penalty is that of C = 1 with an unpenalised intercept: balanced weights add up to n,
-    so the per-row penalty is 1 / n. The training rows are written once, because fitting reads
-    them many times.
+    so the per-row penalty is 1 / n. Reads `train` several times: pass stored rows, as
+    `stratified_split` returns them.
     """
-    spark = train.sparkSession
-    rows = materialize(
-        train.select(*[F.col(c).cast("double").alias(c) for c in features], F.col(label).cast("int").alias(label))
-        .where(F.col(label).isNotNull()), "training")
+    rows = train.select(
+        *[F.col(c).cast("double").alias(c) for c in features], F.col(label).cast("int").alias(label)
+    ).where(F.col(label).isNotNull())
     middle = medians(rows, features)
     scale = scale_parameters(median_impute(rows, features, middle), features)
     prepared = ", ".join(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from packhouse.sources.shared import materialize
+
 # Fixed values of the split hash: 32-bit result, cut on its upper 20 bits.
 LOW_FACTOR, HIGH_FACTOR, SEED_FACTOR, MIX_FACTOR = 2654435761, 69069, 2654435769, 1274126177
 WORD = 4294967296
@@ -73,5 +75,6 @@ def mark_split(df: DataFrame, label: str, key: str, fraction: float = 0.25, seed
 
 def stratified_split(df: DataFrame, label: str, key: str, fraction: float = 0.25,
                      seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    marked = mark_split(df, label, key, fraction, seed)
+    """Training and test rows. The marked rows are written once, as both sides are read repeatedly."""
+    marked = materialize(mark_split(df, label, key, fraction, seed), "split")
     return marked.where("not is_test").drop("is_test"), marked.where("is_test").drop("is_test")

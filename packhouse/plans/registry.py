@@ -244,7 +244,8 @@ def _fitted(star: StarTables):
 @query
 def fit_logistic(star):
     fitted, test = _fitted(star)
-    return metrics.binary_metrics(model.predict(fitted, test, strict=True), FRAUD_LABEL)
+    scored = model.predict(fitted, test, strict=True).select(FRAUD_LABEL, "prob", "pred")
+    return metrics.binary_metrics(materialize(scored, "scored"), FRAUD_LABEL)
 
 
 @query
@@ -263,7 +264,7 @@ def late_delivery_evaluate(star):
 
 @query
 def binary_metrics(star):
-    return metrics.binary_metrics(star.predictions_labeled)
+    return metrics.binary_metrics(materialize(star.predictions_labeled, "scored"))
 
 
 @query

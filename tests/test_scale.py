@@ -122,3 +122,19 @@ def test_one_customer_reaches_the_scan(spark):
     star = StarTables(spark, DATA)
     text = plan(orders.customer_recent_orders(star.shop_orders, star.items, star.shipped, customer_id=5))
     assert "LeftSemi" in text and "o_custkey" in text
+
+
+def test_bucketed_tables_join_by_order_without_a_shuffle(spark, no_broadcast, tmp_path):
+    from packhouse.sources.layout import load_bucketed, save_bucketed
+    spark.sql(f"create database packed location '{tmp_path}/packed'")
+    try:
+        save_bucketed(seed.tables(spark), "packed", 4)
+        t = load_bucketed(spark, "packed")
+        counted = orders.order_counts(t["shop_orders"], t["order_items"], t["shipments"])
+        waiting = orders.open_orders(t["shop_orders"], t["shipments"])
+        assert "Exchange" not in plan(counted) and "Exchange" not in plan(waiting)
+        assert sorted(seed.rows(waiting, "order_id")) == [(1,), (3,)]
+        assert sorted(seed.rows(counted, "order_id", "item_count", "shipment_count")) == [
+            (1, 1, 0), (2, 1, 1), (3, 1, 0)]
+    finally:
+        spark.sql("drop database packed cascade")
