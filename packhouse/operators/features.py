@@ -57,7 +57,7 @@ def fraud_features_serving(tables: Tables) -> DataFrame:
         with_items, "customer_id",
         [(tables["customers"].select("customer_id", "birthdate"), "inner"),
          (customer_order_counts(orders), "left")],
-        ["order_id"])
+        ["order_id"], counted=orders)
     total = F.col("order_total")
     return described.select(
         "order_id", "risk_score",
@@ -83,7 +83,7 @@ def fraud_features_training(tables: Tables, strict_dates: bool = False) -> DataF
     described = lookup_join(
         with_items, "customer_id",
         [(tables["customers"].select("customer_id", "birthdate"), "left"), (counts, "left")],
-        ["order_id"])
+        ["order_id"], counted=orders)
     born = F.col("birthdate").cast("timestamp_ntz") if strict_dates else F.col("birthdate")
     return described.withColumn("customer_age", customer_age(F.col("order_datetime"), born)).select(
         "order_id", *_as_numbers(FRAUD_FEATURES), F.col(FRAUD_LABEL).cast("int").alias(FRAUD_LABEL))

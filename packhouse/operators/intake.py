@@ -92,7 +92,7 @@ def order_intake(requests: DataFrame, customers: DataFrame, products: DataFrame)
     priced = lookup_join(
         lines, "product_id",
         [(products.select("product_id", F.col("price").alias("unit_price"), F.lit(True).alias("_found")), "left")],
-        ["request_id", "line_no"])
+        ["request_id", "line_no"], costly=True)
     grouped = priced.groupBy(*keys).agg(
         F.bool_and(F.col("_found").isNotNull()).alias("_known"),
         F.bool_or(F.col("quantity") > MAX_QUANTITY).alias("_too_many"),
@@ -149,7 +149,7 @@ def cart_preview(requests: DataFrame, products: DataFrame) -> DataFrame:
         "request_id", "n_lines", "can_submit", F.posexplode_outer("_lines").alias("_at", "_line")
     ).select("request_id", "n_lines", "can_submit", "_at", "_line.product_id", "_line.quantity")
     priced = lookup_join(lines, "product_id", [(products.select("product_id", "price"), "left")],
-                         ["request_id", "_at"])
+                         ["request_id", "_at"], costly=True)
     amount = F.when(F.col("quantity") > 0, F.col("price") * F.col("quantity"))
     return priced.groupBy("request_id", "n_lines", "can_submit").agg(
         F.coalesce(F.sum(amount), F.lit(0.0)).alias("preview_total")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from packhouse.sources.shared import materialize
+
 # Keys with more rows than this are spread over several join partitions.
 ROWS_PER_SLICE = 2_000_000
 
@@ -36,6 +38,8 @@ def lookup_join(
     key: str,
     lookups: Sequence[tuple[DataFrame, str]],
     spread: Sequence[str],
+    counted: DataFrame | None = None,
+    costly: bool = False,
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Join `fact` to each (table, how) on `key`; the tables usually have one row per key.
@@ -45,6 +49,10 @@ def lookup_join(
     `rows_per_slice` fact rows is cut into slices by a hash of the `spread` columns, with
     the matching lookup row copied to each slice. The list of such keys has at most
     count(fact) / rows_per_slice rows, which is what makes it safe to broadcast.
+
+    Keys are counted in `counted`, a stored table that has at least the key rows of `fact`
+    (more slices than needed do no harm), or else in `fact` itself, which is then computed
+    twice unless `costly` has it written down first.
     """
     if all(fits_broadcast(table) for table, _ in lookups):
         joined = fact
@@ -52,8 +60,10 @@ def lookup_join(
             joined = joined.join(table, key, how)
         return joined
 
+    if costly and counted is None:
+        fact = materialize(fact, "lookup")
     heavy = F.broadcast(
-        fact.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+        (fact if counted is None else counted).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
         .where((F.col("_rows") > rows_per_slice) & F.col(key).isNotNull())
         .select(F.col(key), F.ceil(F.col("_rows") / rows_per_slice).cast("int").alias("_slices"))
     )

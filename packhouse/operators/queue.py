@@ -26,7 +26,7 @@ def warehouse_priority_queue(orders: DataFrame, customers: DataFrame, shipments:
         orders.select("order_id", "customer_id", "order_datetime", "order_total"), shipments
     ).join(scores, "order_id", "left")
     names = customers.select("customer_id", clean_name(F.col("full_name")).alias("customer_name"))
-    queue = lookup_join(waiting, "customer_id", [(names, "inner")], ["order_id"]).select(
+    queue = lookup_join(waiting, "customer_id", [(names, "inner")], ["order_id"], counted=orders).select(
         "order_id", "order_datetime", "order_total", "customer_id", "customer_name",
         F.coalesce("_scored", F.lit(0)).alias("has_prediction"),
         F.coalesce("late_delivery_probability", F.lit(0.0)).alias("late_delivery_probability"),
@@ -46,6 +46,6 @@ def fraud_flagged_open_orders(orders: DataFrame, customers: DataFrame, shipments
     waiting = open_orders(
         orders.select("order_id", "customer_id", "order_total").join(flagged, "order_id"), shipments)
     names = customers.select("customer_id", clean_name(F.col("full_name")).alias("customer_name"))
-    return lookup_join(waiting, "customer_id", [(names, "inner")], ["order_id"]).select(
+    return lookup_join(waiting, "customer_id", [(names, "inner")], ["order_id"], counted=orders).select(
         "order_id", "order_total", "customer_name", "fraud_probability"
     ).orderBy(F.col("fraud_probability").desc_nulls_last(), "order_id")

@@ -437,5 +437,6 @@ BODIES: dict[str, str] = {
 
 
 def oracle_sql() -> dict[str, str]:
-    shown = f"+ {TIE_SHIFT!r}, {DIGITS}"
-    return {name: MAPPED + body.replace("@shown", shown) for name, body in BODIES.items()}
+    # Adding zero turns a negative zero into zero.
+    shown = f"+ {TIE_SHIFT!r}, {DIGITS}) + 0e0"
+    return {name: MAPPED + body.replace("@shown)", shown) for name, body in BODIES.items()}

@@ -22,7 +22,8 @@ def present(df: DataFrame) -> DataFrame:
     def shown(field: T.StructField):
         column = F.col(field.name)
         if isinstance(field.dataType, T.DoubleType):
-            return F.round(column + F.lit(TIE_SHIFT), DIGITS).alias(field.name)
+            # Adding zero turns a negative zero into zero.
+            return (F.round(column + F.lit(TIE_SHIFT), DIGITS) + F.lit(0.0)).alias(field.name)
         if isinstance(field.dataType, (T.TimestampNTZType, T.TimestampType)):
             return F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(field.name)
         if isinstance(field.dataType, T.BooleanType):
