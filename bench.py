@@ -21,8 +21,8 @@ HEADLINE = [
     "item_aggregates_serving", "item_aggregates_training", "fraud_features_serving", "fraud_features_training",
     "late_delivery_features", "feature_summary", "stratified_split", "median_impute", "standard_scale",
     "balanced_weights", "binary_metrics", "classification_report", "fit_logistic", "late_delivery_evaluate",
-    "hash_scores", "score_open_orders_hash", "score_open_orders_model", "upsert_predictions", "scoring_run",
-    "order_lines_parse", "order_intake", "place_orders", "cart_preview", "intake_stream_orders",
+    "hash_score", "score_open_orders_hash", "score_open_orders_model", "upsert_predictions", "scoring_run",
+    "order_lines_parse", "order_intake", "place_orders", "cart_preview", "intake_stream",
     "contract_audit", "table_profile", "run_log_summary",
 ]
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packhouse.operators.features import Tables, late_delivery_features
-from packhouse.operators.metrics import classification_report
+from packhouse.operators.metrics import binary_metrics, classification_report
 from packhouse.operators.quantiles import exact_quantiles
 from packhouse.operators.split import stratified_split
 from packhouse.schemas import LATE_FEATURES, LATE_LABEL
@@ -23,6 +23,7 @@ from packhouse.sources.shared import materialize
 MAX_ITERATIONS = 1000
 TOLERANCE = 1e-8
 THRESHOLD = 0.5
+MODEL_VERSION = "1.0.0"
 
 
 def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
@@ -161,6 +162,29 @@ def require_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).try_cast("double") for c in features})
 
 
+def train_and_store(rows: DataFrame, features: Sequence[str], label: str, key: str, path: str, name: str,
+                    trained_at: str, seed: int = 42) -> DataFrame:
+    """Split, fit, evaluate on the hold-out rows, and store model and card under `path`.
+
+    Returns the one-row metrics table that the card holds.
+    """
+    spark = rows.sparkSession
+    train, test = stratified_split(rows.select(key, *features, label), label, key, seed=seed)
+    fitted = fit_logistic(train, features, label)
+    scored = materialize(predict(fitted, test, strict=True).select(label, "prob", "pred"), "scored")
+    entry = F.struct("class", F.struct("precision", "recall", "f1", "support"))
+    # The report has five rows.
+    report = classification_report(scored, label).agg(F.map_from_entries(F.collect_list(entry)))
+    quality = binary_metrics(scored, label).withColumn("classification_report", report.scalar())
+    meta = spark.createDataFrame(
+        [(name, MODEL_VERSION, trained_at, train.count(), test.count(), list(features), label)],
+        "model_name string, model_version string, trained_at_utc string, num_training_rows long,"
+        " num_test_rows long, features array<string>, label string")
+    save_model(fitted, f"{path}/model")
+    write_model_card(spark, meta, quality, path)
+    return quality
+
+
 def late_delivery_evaluate(tables: Tables, seed: int = 42) -> DataFrame:
     """Train the late-delivery model and report on its hold-out rows."""
     rows = materialize(late_delivery_features(tables), "late-features")

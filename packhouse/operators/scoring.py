@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from packhouse.functions.scalars import hash_score_at
 from packhouse.operators.features import Tables, fraud_features_serving
-from packhouse.operators.model import THRESHOLD, LinearParameters, predict, predict_linear, require_features
+from packhouse.operators.model import (
+    THRESHOLD, LinearParameters, load_features, load_model, predict, predict_linear, require_features,
+)
 from packhouse.operators.orders import open_orders_for_scoring
 from packhouse.operators.queue import fraud_flagged_open_orders
 from packhouse.schemas import FRAUD_FEATURES
@@ -71,6 +73,11 @@ class ModelScorer:
     features: list[str] | None = None
     key: str = "python"
 
+    @classmethod
+    def stored(cls, spark: SparkSession, path: str, threshold: float = THRESHOLD) -> "ModelScorer":
+        """The model and feature list that `train_and_store` left under `path`."""
+        return cls(load_model(f"{path}/model"), threshold, load_features(spark, path))
+
     def score(self, tables: Tables) -> DataFrame:
         return score_open_orders_model(tables, self.model, self.threshold, self.features)
 

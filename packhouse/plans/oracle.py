@@ -360,7 +360,7 @@ BODIES: dict[str, str] = {
         late_delivery from shipments s join shop_orders o on o.order_id = s.order_id
         left join (select order_id, cast(sum(quantity) as bigint) as num_items from items group by order_id) i
           on i.order_id = s.order_id""",
-    "customer_age_by_order": "select order_id, customer_age from aged",
+    "customer_age": "select order_id, customer_age from aged",
     "stratified_split": f""", sizes as (
           select is_fraud, n_class, n, n - ceil(n * 0.25) as n_train from (
             select is_fraud, count(*) as n_class, (select count(*) from shop_orders) as n
@@ -402,7 +402,7 @@ BODIES: dict[str, str] = {
             sum(f1 * support) / sum(support), cast(sum(support) as bigint) from classes)
         select class, round(precision @shown) as precision, round(recall @shown) as recall, round(f1 @shown) as f1, support
         from report""",
-    "hash_scores": f"select order_id, {_score()} as score from shop_orders",
+    "hash_score": f"select order_id, {_score()} as score from shop_orders",
     "score_open_orders_hash": f"select order_id, {_SCORES} from hash_predictions",
     "score_open_orders_model": _model_score(),
     "upsert_predictions": f"""select order_id, {_SCORES}, strftime(ts, {TIME}) as prediction_timestamp from (
@@ -426,7 +426,7 @@ BODIES: dict[str, str] = {
         case when status = 'accepted' then round(total @shown) end as order_total,
         cast(case when status = 'accepted' then n_lines else 0 end as int) as n_lines from decided""",
     "place_orders": _PLACED,
-    "intake_stream_orders": _PLACED,
+    "intake_stream": _PLACED,
     "cart_preview": """select p.request_id, cast(coalesce(n_lines, 0) as int) as n_lines,
         round(coalesce(total, 0) @shown) as preview_total, cast(coalesce(any_ok, false) as int) as can_submit
         from parsed p left join line_state s on s.request_id = p.request_id""",

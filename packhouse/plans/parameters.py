@@ -16,9 +16,9 @@ SEARCH_TEXTS = ["  CUSTOMER#00000001", "%", "_", "007 ", "9@example.edu 1", "",
 # Rounded parameters of one training run: a stand-in for a stored model in SQL comparisons.
 FRAUD_PARAMETERS = LinearParameters(
     features=tuple(FRAUD_FEATURES),
-    medians=(50.0, 102.0, 209000.0, 400.0, 26.0, 10.0),
-    means=(50.0, 101.6, 208000.0, 410.0, 26.0, 10.9),
-    deviations=(29.0, 53.0, 112000.0, 170.0, 14.0, 3.3),
-    coefficients=(2.5, -0.02, 0.01, 0.03, -0.01, 0.02),
-    intercept=-1.9,
+    medians=(50.0, 97.0, 200748.0, 475.2, 22.0, 11.0),
+    means=(50.0, 103.9, 215784.0, 475.2, 22.3, 11.0),
+    deviations=(29.2, 57.5, 119260.0, 77.8, 14.3, 3.15),
+    coefficients=(4.27, -0.004, 0.012, 0.006, -0.014, -0.015),
+    intercept=-4.0,
 )

@@ -45,7 +45,8 @@ _QUERIES: dict[str, Query] = {}
 
 
 def query(function: Query) -> Query:
-    _QUERIES[function.__name__] = function
+    """Register under the function's name; a trailing underscore avoids a clash and is dropped."""
+    _QUERIES[function.__name__.rstrip("_")] = function
     return function
 
 
@@ -202,7 +203,7 @@ def late_delivery_features(star):
 
 
 @query
-def customer_age_by_order(star):
+def customer_age_(star):
     joined = features.lookup_join(
         star.shop_orders.select("order_id", "customer_id", "order_datetime"), "customer_id",
         [(star.customers.select("customer_id", "birthdate"), "left")], ["order_id"])
@@ -274,7 +275,7 @@ def classification_report(star):
 
 
 @query
-def hash_scores(star):
+def hash_score_(star):
     return star.shop_orders.select("order_id", hash_score_at(
         F.col("order_id"), F.col("customer_id"), F.col("order_total"), F.col("order_datetime")).alias("score"))
 
@@ -343,7 +344,7 @@ def cart_preview(star):
 
 
 @query
-def intake_stream_orders(star):
+def intake_stream_(star):
     """The requests arrive as three files in time order, each picked up by a restarted stream."""
     spark = star.spark
     base = new_folder(spark, "stream")

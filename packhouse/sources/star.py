@@ -11,6 +11,18 @@ from packhouse.functions.scalars import hash_score_at
 from packhouse.operators.joins import lookup_join
 from packhouse.operators.numbering import number_rows
 
+# The columns used of each test table; a declared schema saves a job that would read it from the files.
+COLUMNS = {
+    "customer": "c_custkey bigint, c_name string",
+    "part": "p_partkey bigint, p_name string, p_retailprice double",
+    "supplier": "s_suppkey bigint, s_name string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderdate timestamp_ntz",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double,"
+                " l_extendedprice double, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string",
+    "documents": "doc_id bigint, text string",
+}
+
 # Lines of one order are told apart by these columns; rows equal in all of them are copies.
 LINE_ORDER = [
     "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
@@ -36,7 +48,7 @@ class StarTables:
         self.folder = folder.rstrip("/")
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.spark.read.schema(COLUMNS[name]).parquet(f"{self.folder}/{name}.parquet")
 
     @cached_property
     def customers(self) -> DataFrame:

@@ -5,8 +5,10 @@ import seed
 from pyspark.sql import functions as F
 
 from packhouse.operators import metrics, model, split
+from packhouse.operators.features import fraud_features_training
 from packhouse.operators.scoring import ModelScorer, score_open_orders_model
 from packhouse.plans.parameters import FRAUD_PARAMETERS
+from packhouse.schemas import FRAUD_FEATURES, FRAUD_LABEL
 
 
 def confusion(spark, tp, fp, fn, tn):
@@ -129,3 +131,22 @@ def test_missing_features_are_an_error(spark):
 def test_model_scoring_of_nothing_is_empty(spark):
     t = seed.tables(spark, shop_orders=[])
     assert ModelScorer(FRAUD_PARAMETERS).score(t).count() == 0
+
+
+def test_training_run_stores_a_model_that_scores(spark, tmp_path):
+    i = F.col("id")
+    t = seed.tables(spark)
+    t["shop_orders"] = spark.range(1, 401).select(
+        i.alias("order_id"), (i % 3 + 1).alias("customer_id"), F.lit("2026-01-01").cast("timestamp_ntz").alias("order_datetime"),
+        F.lit(1.0).alias("order_total"), (i % 100).cast("double").alias("risk_score"),
+        (i % 100 + i % 7 > 90).cast("int").alias("is_fraud"))
+    path = str(tmp_path / "fraud")
+    quality = model.train_and_store(
+        fraud_features_training(t), FRAUD_FEATURES, FRAUD_LABEL, "order_id", path, "fraud", "2026-01-31T00:00:00Z")
+    row = quality.first()
+    assert row.roc_auc > 0.95 and row.classification_report["1"].support + row.classification_report["0"].support == 100
+    meta = spark.read.json(f"{path}/metadata").first()
+    assert (meta.num_training_rows, meta.num_test_rows, meta.features) == (300, 100, FRAUD_FEATURES)
+    assert spark.read.json(f"{path}/metrics").first().accuracy == pytest.approx(row.accuracy)
+    scored = ModelScorer.stored(spark, path).score(t)
+    assert scored.count() == 399 and scored.where("predicted_fraud = 1").count() > 0
