@@ -25,11 +25,10 @@ def web_trim(text: Column) -> Column:
     return F.regexp_replace(text, rf"^[{WEB_SPACE}]+|[{WEB_SPACE}]+$", "")
 
 
-def number_or_zero(value: Column) -> Column:
-    """A finite double, with 0 for nulls, text that is no number, NaN and infinities."""
-    number = value.try_cast("double")
-    finite = F.when(~F.isnan(number) & (F.abs(number) != F.lit(float("inf"))), number)
-    return F.coalesce(finite, F.lit(0.0))
+def number_or_zero(name: str) -> Column:
+    """A column as finite doubles, with 0 for nulls, NaN, infinities and text that is no number."""
+    number = F.col(name).try_cast("double")
+    return F.when(F.abs(number) < float("inf"), number).otherwise(F.lit(0.0)).alias(name)
 
 
 def time_text(moment: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packhouse.functions.scalars import leading_int, web_trim
+from packhouse.functions.scalars import leading_int, number_or_zero, web_trim
 from packhouse.operators.joins import lookup_join
 
 # Longest piece of a search text that is matched by equality before the full check.
@@ -19,7 +19,7 @@ def customers_list(customers: DataFrame) -> DataFrame:
 
 
 def products_list(products: DataFrame) -> DataFrame:
-    return products.select("product_id", "product_name", "price").orderBy(F.lower("product_name"), "product_id")
+    return products.select("product_id", "product_name", number_or_zero("price")).orderBy(F.lower("product_name"), "product_id")
 
 
 def _searchable(customers: DataFrame) -> DataFrame:
@@ -39,9 +39,13 @@ def customer_search(customers: DataFrame, needles: Sequence[str] | DataFrame) ->
     hay = _searchable(customers)
     if isinstance(needles, DataFrame):
         return _search_table(hay, needles)
-    typed = F.array(*[F.lit(n) for n in dict.fromkeys(needles)])
-    hits = F.filter(typed, lambda n: F.contains(F.col("_hay"), F.lower(web_trim(n))))
-    return hay.select(F.explode(hits).alias("needle"), "customer_id", "full_name", "email")
+    # Foldable: trimmed and lowered once, not per row.
+    typed = F.array(*[
+        F.struct(F.lit(n).alias("needle"), F.lower(web_trim(F.lit(n))).alias("text")) for n in dict.fromkeys(needles)])
+    # The outer transform binds the text of a customer once for all needles.
+    hits = F.transform(F.array("_hay"), lambda h: F.filter(typed, lambda n: F.contains(h, n["text"])))
+    return hay.select(F.explode(hits[0]).alias("hit"), "customer_id", "full_name", "email").select(
+        "hit.needle", "customer_id", "full_name", "email")
 
 
 def _pieces(df: DataFrame, text: str, sizes: Column, used: DataFrame | None = None) -> DataFrame:
@@ -110,4 +114,4 @@ def product_price(product_ids: DataFrame, products: DataFrame) -> DataFrame:
     """Current price for each asked id; unknown ids give no row."""
     return lookup_join(
         product_ids.select("product_id").distinct(), "product_id",
-        [(products.select("product_id", "price"), "inner")], ["product_id"])
+        [(products.select("product_id", number_or_zero("price")), "inner")], ["product_id"])

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from packhouse.functions.scalars import fulfillment_status, leading_int
-from packhouse.operators.joins import lookup_join
+from packhouse.functions.scalars import fulfillment_status, leading_int, number_or_zero
+from packhouse.operators.joins import fits_broadcast, lookup_join
 
 RECENT = 5
 
@@ -24,7 +24,7 @@ def open_orders(orders: DataFrame, shipments: DataFrame) -> DataFrame:
 def open_orders_for_scoring(orders: DataFrame, shipments: DataFrame, ordered: bool = True) -> DataFrame:
     rows = open_orders(
         orders.select("order_id", "customer_id", F.col("order_datetime").alias("order_timestamp"),
-                      F.col("order_total").alias("total_value")),
+                      number_or_zero("order_total").alias("total_value")),
         shipments)
     return rows.orderBy("order_id") if ordered else rows
 
@@ -76,6 +76,10 @@ def customer_order_counts(orders: DataFrame) -> DataFrame:
 _ORDER_COLUMNS = ["customer_id", "order_id", "order_datetime", "order_total"]
 
 
+def _order_columns(orders: DataFrame) -> DataFrame:
+    return orders.select("customer_id", "order_id", "order_datetime", number_or_zero("order_total"))
+
+
 def _newest_first() -> list:
     return [F.col("order_datetime").desc_nulls_last(), F.col("order_id")]
 
@@ -84,14 +88,14 @@ def _latest(orders: DataFrame, n: int) -> DataFrame:
     """The n newest orders of each customer. Each task keeps its n best before the shuffle,
     so that a customer with very many orders sends few."""
     newest = Window.partitionBy("customer_id").orderBy(*_newest_first())
-    return orders.select(*_ORDER_COLUMNS).withColumn("_rank", F.row_number().over(newest)).where(
+    return _order_columns(orders).withColumn("_rank", F.row_number().over(newest)).where(
         F.col("_rank") <= n)
 
 
 def customer_orders(orders: DataFrame, items: DataFrame, shipments: DataFrame,
                     customer_id: int | None = None) -> DataFrame:
     """All orders per customer, newest first, with line and shipment counts."""
-    chosen = _of_customer(orders, customer_id).select(*_ORDER_COLUMNS)
+    chosen = _order_columns(_of_customer(orders, customer_id))
     counted = order_counts(chosen, items, shipments, narrow=customer_id is not None)
     return counted.withColumn("status", fulfillment_status(F.col("shipment_count"))).select(
         *_ORDER_COLUMNS, "item_count", "shipment_count", "status").orderBy("customer_id", *_newest_first())
@@ -142,9 +146,13 @@ def order_ownership(claims: DataFrame, orders: DataFrame, spread: list[str]) ->
 
 def order_header(claims: DataFrame, orders: DataFrame, items: DataFrame, spread: list[str]) -> DataFrame:
     """Header and line count for each claim that names the customer's own order."""
-    headers = order_counts(
-        orders.select("order_id", F.col("customer_id").alias("_owner"), "order_datetime", "order_total"), items)
     claimed = claims.withColumn("order_id", leading_int(F.col("order_ref")))
+    owned = orders.select(
+        "order_id", F.col("customer_id").alias("_owner"), "order_datetime", number_or_zero("order_total"))
+    few = fits_broadcast(claims)
+    if few:
+        owned = owned.join(claimed.select("order_id"), "order_id", "left_semi")
+    headers = order_counts(owned, items, narrow=few)
     return lookup_join(claimed, "order_id", [(headers, "inner")], spread).where("_owner = customer_id").select(
         *claims.columns, "order_id", "order_datetime", "order_total", "item_count")
 
@@ -155,5 +163,6 @@ def order_line_items(items: DataFrame, products: DataFrame, order_ids: DataFrame
         items = items.join(order_ids.select("order_id").distinct(), "order_id", "left_semi")
     return lookup_join(
         items, "product_id", [(products.select("product_id", "product_name"), "inner")], ["order_item_id"]
-    ).select("order_id", "order_item_id", "product_name", "quantity", "unit_price", "line_total").orderBy(
-        "order_id", "order_item_id")
+    ).select(
+        "order_id", "order_item_id", "product_name", F.coalesce("quantity", F.lit(0)).alias("quantity"),
+        number_or_zero("unit_price"), number_or_zero("line_total")).orderBy("order_id", "order_item_id")

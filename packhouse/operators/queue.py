@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packhouse.functions.scalars import clean_name, time_text
+from packhouse.functions.scalars import clean_name, number_or_zero, time_text
 from packhouse.operators.joins import lookup_join
 from packhouse.operators.orders import open_orders
 
@@ -27,7 +27,7 @@ def warehouse_priority_queue(orders: DataFrame, customers: DataFrame, shipments:
     ).join(scores, "order_id", "left")
     names = customers.select("customer_id", clean_name(F.col("full_name")).alias("customer_name"))
     queue = lookup_join(waiting, "customer_id", [(names, "inner")], ["order_id"], counted=orders).select(
-        "order_id", "order_datetime", "order_total", "customer_id", "customer_name",
+        "order_id", "order_datetime", number_or_zero("order_total"), "customer_id", "customer_name",
         F.coalesce("_scored", F.lit(0)).alias("has_prediction"),
         F.coalesce("late_delivery_probability", F.lit(0.0)).alias("late_delivery_probability"),
         F.coalesce("predicted_late_delivery", F.lit(0)).alias("predicted_late_delivery"),
@@ -47,5 +47,5 @@ def fraud_flagged_open_orders(orders: DataFrame, customers: DataFrame, shipments
         orders.select("order_id", "customer_id", "order_total").join(flagged, "order_id"), shipments)
     names = customers.select("customer_id", clean_name(F.col("full_name")).alias("customer_name"))
     return lookup_join(waiting, "customer_id", [(names, "inner")], ["order_id"], counted=orders).select(
-        "order_id", "order_total", "customer_name", "fraud_probability"
+        "order_id", number_or_zero("order_total"), "customer_name", "fraud_probability"
     ).orderBy(F.col("fraud_probability").desc_nulls_last(), "order_id")

@@ -153,3 +153,13 @@ def test_status_label(spark):
     counts = spark.createDataFrame([(0,), (1,), (3,)], "n int")
     assert [r[0] for r in seed.rows(counts.select(orders.fulfillment_status(F.col("n"))))] == [
         "Open", "Shipped", "Shipped"]
+
+
+def test_numbers_that_are_none_read_as_zero(spark, t):
+    day = dt.datetime(2026, 1, 1)
+    odd = seed.table(spark, "shop_orders", [(1, 1, day, None, 1.0), (2, 1, day, float("nan"), 1.0),
+                                            (4, 1, day, float("inf"), 1.0), (5, 1, day, -2.5, 1.0)])
+    shown = orders.customer_orders(odd, t["order_items"], t["shipments"], 1)
+    assert [r[0] for r in seed.rows(shown, "order_total")] == [0.0, 0.0, 0.0, -2.5]
+    waiting = orders.open_orders_for_scoring(odd, t["shipments"])
+    assert seed.rows(waiting, "order_id", "total_value") == [(1, 0.0), (4, 0.0), (5, -2.5)]
