@@ -97,15 +97,14 @@ def choose_scorer(scorers: Mapping[str, Scorer], setting: str | None, shared_dat
 def upsert_predictions(old: DataFrame, new: DataFrame, run_ts: datetime | str, order_by: str | None = None) -> DataFrame:
     """Replace all scores of the orders in `new` and keep every other row of `old`.
 
-    If `new` may repeat an order, `order_by` names the column whose largest value wins; the
-    choice is made with a mergeable aggregate, so a much repeated order is reduced before it
-    is shuffled. One full outer join reads each side once.
+    If `new` repeats an order, the row with the largest `order_by` wins, or without that column
+    the largest scores: the result has one row per order. The choice is a mergeable aggregate,
+    so a much repeated order is reduced before it is shuffled, and the join that follows uses
+    its partitioning. The full outer join reads each side once.
     """
     scores = F.struct(*SCORES)
-    if order_by is None:
-        batch = new.select("order_id", scores.alias("_new"))
-    else:
-        batch = new.groupBy("order_id").agg(F.max_by(scores, F.col(order_by)).alias("_new"))
+    winner = F.max(scores) if order_by is None else F.max_by(scores, F.col(order_by))
+    batch = new.groupBy("order_id").agg(winner.alias("_new"))
     fresh = F.col("_new").isNotNull()
     stamp = F.lit(str(run_ts)).cast("timestamp_ntz")
     return old.join(batch, "order_id", "full_outer").select(

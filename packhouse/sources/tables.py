@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packhouse.schemas import TABLES
+from packhouse.schemas import FRAUD_LABEL, INT, TABLES
 
 
 def load_tables(spark: SparkSession, folder: str, with_label: bool = False) -> dict[str, DataFrame]:
@@ -19,7 +19,7 @@ def load_tables(spark: SparkSession, folder: str, with_label: bool = False) -> d
     for name, spec in TABLES.items():
         schema = spec.struct
         if with_label and name == "shop_orders":
-            schema = schema.add("is_fraud", "int")
+            schema = schema.add(FRAUD_LABEL, INT)
         tables[name] = spark.read.schema(schema).parquet(f"{folder}/{name}")
     return tables
 

@@ -14,10 +14,10 @@ from packhouse.schemas import REQUESTS
 MARKER = "batch_id long, last_order long, last_item long"
 
 
-def _markers(spark: SparkSession, out_dir: str) -> DataFrame:
+def _markers(spark: SparkSession, out_dir: str, batch: str = "*") -> DataFrame:
     """One row per applied batch, with the last ids it gave out."""
     try:
-        return spark.read.schema(MARKER).json(f"{out_dir}/commits/*")
+        return spark.read.schema(MARKER).json(f"{out_dir}/commits/{batch}")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -31,9 +31,11 @@ def apply_batch(requests: DataFrame, batch_id: int, tables: Tables, out_dir: str
     same place, with the same ids, because ids continue from the previous batch's marker.
     """
     spark = requests.sparkSession
-    earlier = _markers(spark, out_dir).where(F.col("batch_id") <= batch_id).orderBy(F.desc("batch_id")).first()
-    if earlier is not None and earlier.batch_id == batch_id:
+    if _markers(spark, out_dir, f"b{batch_id}").first() is not None:
         return
+    # A stream numbers its batches without gaps; other callers may not.
+    earlier = _markers(spark, out_dir, f"b{batch_id - 1}").first() or (
+        _markers(spark, out_dir).where(F.col("batch_id") < batch_id).orderBy(F.desc("batch_id")).first())
     if earlier is None:
         base_order, base_item = (
             tables[name].agg(F.coalesce(F.max(key), F.lit(0))).first()[0]

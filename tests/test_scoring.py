@@ -27,6 +27,12 @@ def test_upsert_keeps_replaces_and_repeats(spark):
     assert sorted(seed.rows(scoring.upsert_predictions(once, new, seed.NOW, order_by="seq"))) == want
 
 
+def test_upsert_never_repeats_an_order(spark):
+    new = batch(spark, (1, 0.0, 0, 0.2, 0, 1), (1, 0.0, 0, 0.6, 1, 1), (1, 0.0, 0, 0.6, 1, 2))
+    result = scoring.upsert_predictions(seed.table(spark, "order_predictions", []), new, seed.NOW)
+    assert seed.rows(result, "order_id", "fraud_probability") == [(1, 0.6)]
+
+
 def test_run_commits_and_lists_flagged(spark, tmp_path):
     store = VersionedStore(spark, str(tmp_path / "p"))
     t = seed.tables(spark, order_predictions=[(2, 0.3, 1, 0.2, 0, OLD)])
