@@ -40,13 +40,13 @@ def lookup_join(
     spread: Sequence[str],
     counted: DataFrame | None = None,
     costly: bool = False,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    rows_per_slice: int | None = None,
 ) -> DataFrame:
     """Join `fact` to each (table, how) on `key`; the tables usually have one row per key.
 
     Where every table is under the session's broadcast limit the join moves no fact row.
     Otherwise one shuffle serves all lookups, and a key that holds more than
-    `rows_per_slice` fact rows is cut into slices by a hash of the `spread` columns, with
+    `rows_per_slice` fact rows (by default ROWS_PER_SLICE) is cut into slices by a hash of the `spread` columns, with
     the matching lookup row copied to each slice. The list of such keys has at most
     count(fact) / rows_per_slice rows, which is what makes it safe to broadcast.
 
@@ -60,6 +60,7 @@ def lookup_join(
             joined = joined.join(table, key, how)
         return joined
 
+    rows_per_slice = rows_per_slice or ROWS_PER_SLICE
     if costly and counted is None:
         fact = materialize(fact, "lookup")
     heavy = F.broadcast(

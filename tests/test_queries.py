@@ -4,6 +4,7 @@ import compare
 import pytest
 
 import __spark_entry__ as entry
+from packhouse.operators import joins
 
 DATA = "/root/testdata/sf0.001"
 QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
@@ -28,5 +29,24 @@ def test_query_runs(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
 
 
+LOOKUPS = [
+    "customer_search_table", "customer_resolve", "product_price", "order_ownership", "order_header",
+    "order_line_items", "warehouse_priority_queue", "fraud_flagged_open_orders", "item_aggregates_serving",
+    "item_aggregates_training", "fraud_features_serving", "fraud_features_training", "late_delivery_features",
+    "order_intake", "place_orders", "cart_preview",
+]
+
+
+@pytest.mark.parametrize("name", LOOKUPS)
+def test_sliced_lookups_match_too(spark, con, name, monkeypatch):
+    """As on large tables: nothing is small enough to broadcast and many keys are cut into slices."""
+    monkeypatch.setattr(joins, "ROWS_PER_SLICE", 3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert compare.differences(QUERIES[name](spark, DATA), con, ORACLE[name]) == ""
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 50
