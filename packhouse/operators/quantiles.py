@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-# Columns with up to this many distinct values are ranked from their value counts.
+# Up to this many distinct values are ranked from their counts.
 DISTINCT_LIMIT = 1_000_000
 # Margin for the error of the distinct-value sketch (5 % standard error).
 SKETCH_MARGIN = 0.7
@@ -16,88 +17,124 @@ ACCURACY = 10_000
 REACH = 4.0 / ACCURACY
 
 
+@dataclass
+class _Target:
+    """A rank looked for in one column, and the open interval that is known to hold it."""
+
+    column: str
+    rank: int
+    rows: int
+    distinct: int
+    low: float | None = None
+    high: float | None = None
+    value: float | None = None
+
+    def inside(self) -> Column:
+        x = F.col(self.column)
+        condition = x.isNotNull()
+        if self.low is not None:
+            condition = condition & (x > self.low)
+        return condition if self.high is None else condition & (x < self.high)
+
+    def narrow(self, low: float, high: float, counts: Row) -> None:
+        """Go on below, between or above the two values, or settle on one of them.
+
+        `rank` and `rows` are always counted within the interval.
+        """
+        at_high = counts["at_high"] if high > low else 0
+        from_low = self.rank - counts["below"]
+        from_between = from_low - counts["at_low"]
+        from_high = from_between - counts["between"]
+        if from_low < 0:
+            self.high, self.rows = low, counts["below"]
+        elif from_between < 0:
+            self.value = low
+        elif from_high < 0:
+            self.low, self.high, self.rank = low, high, from_between
+            self.rows, self.distinct = counts["between"], counts["distinct"]
+        elif from_high < at_high:
+            self.value = high
+        else:
+            self.low, self.rank = high, from_high - at_high
+            self.rows -= counts["below"] + counts["at_low"] + counts["between"] + at_high
+
+
 def exact_quantiles(
     df: DataFrame, columns: Sequence[str], probabilities: Sequence[float],
     distinct_limit: int = DISTINCT_LIMIT,
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles of each column, nulls skipped. Reads `df` several times.
 
-    Columns with few distinct values are counted per value, all in one pass, and ranked from
-    the counts. For the others the two ranks around a quantile are closed in on: approximate
-    quantiles give an interval, one pass counts the rows below and inside it, and this repeats
-    inside the interval until few distinct values are left. These passes return one row each.
+    A quantile lies between two ranks. While the interval that holds a rank has many distinct
+    values, it is narrowed: approximate quantiles give two values near the rank, and the rows
+    below, at and between them are counted. Both passes serve all columns and ranks together
+    and return one row. What is left is counted per value and ranked from the counts.
     """
-    first = df.agg(*[
+    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    sizes = numbers.agg(*[
         part for i, c in enumerate(columns) for part in (
             F.count(c).alias(f"n{i}"), F.approx_count_distinct(c).alias(f"d{i}"))
     ]).first()
-    small = [c for i, c in enumerate(columns) if first[f"d{i}"] <= distinct_limit * SKETCH_MARGIN]
-    result: dict[str, list[float | None]] = {c: [None] * len(probabilities) for c in columns}
-    if small:
-        values = df.select(F.inline(F.array(*[
-            F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("x")) for c in small])))
-        counts = values.where("x is not null").groupBy("c", "x").agg(F.count(F.lit(1)).alias("n"))
-        ranked = counts.groupBy("c").agg(
-            F.percentile("x", F.array(*map(F.lit, probabilities)), F.col("n")).alias("q"))
-        result.update({row.c: list(row.q) for row in ranked.collect()})  # one row per column
-    for i, column in enumerate(columns):
-        if column not in small:
-            result[column] = [
-                _by_rank(df.select(F.col(column).cast("double").alias("x")).where("x is not null"),
-                         first[f"n{i}"], p, distinct_limit)
-                for p in probabilities
-            ]
-    return result
-
-
-def _by_rank(values: DataFrame, n: int, p: float, distinct_limit: int) -> float:
-    position = p * (n - 1)
-    low, high = math.floor(position), math.ceil(position)
-    at_low = _order_statistic(values, n, low, distinct_limit)
-    at_high = at_low if high == low else _order_statistic(values, n, high, distinct_limit)
-    return at_low + (position - low) * (at_high - at_low)
-
-
-def _pick(values: DataFrame, rank: int) -> float:
-    """The value at `rank`; the window runs over few distinct values, each with its count."""
-    upto = Window.partitionBy(F.lit(0)).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    counted = values.groupBy("x").count().select("x", F.sum("count").over(upto).alias("upto"))
-    return counted.where(F.col("upto") > rank).agg(F.min("x")).first()[0]
-
-
-def _order_statistic(values: DataFrame, n: int, rank: int, distinct_limit: int) -> float:
-    """The value at 0-based `rank` among `n` rows."""
-    inside, rows, skipped = values, n, 0
-    while True:
-        share = (rank - skipped) / max(rows - 1, 1)
-        low, high = inside.agg(F.percentile_approx(
-            "x", F.array(F.lit(max(share - REACH, 0.0)), F.lit(min(share + REACH, 1.0))), ACCURACY)
-        ).first()[0]
-        x = F.col("x")
-        strictly = (x > low) & (x < high)
-        count = inside.agg(
-            F.count_if(x < low).alias("below"), F.count_if(x == low).alias("at_low"),
-            F.count_if(strictly).alias("between"),
-            F.count_if(x == high).alias("at_high"),
-            F.approx_count_distinct(F.when(strictly, x)).alias("distinct"),
-        ).first()
-        into = rank - skipped - count["below"]
-        if 0 <= into < count["at_low"]:
-            return low
-        if into >= count["at_low"]:
-            into -= count["at_low"]
-            if into < count["between"]:
-                inside, skipped = inside.where(strictly), rank - into
-                rows = count["between"]
-                if count["distinct"] <= distinct_limit * SKETCH_MARGIN:
-                    return _pick(inside, into)
-                continue
-            if into - count["between"] < count["at_high"] and high > low:
-                return high
-            # The approximate interval missed the rank: keep the upper rest.
-            inside, skipped = inside.where(x > high), rank - (into - count["between"] - (
-                count["at_high"] if high > low else 0))
-            rows = rows - count["below"] - count["at_low"] - count["between"] - (
-                count["at_high"] if high > low else 0)
-        else:
-            inside, rows = inside.where(x < low), count["below"]
+    targets: dict[tuple[str, int], _Target] = {}
+    for i, c in enumerate(columns):
+        for p in probabilities if sizes[f"n{i}"] else ():
+            position = p * (sizes[f"n{i}"] - 1)
+            for rank in (math.floor(position), math.ceil(position)):
+                targets[c, rank] = _Target(c, rank, sizes[f"n{i}"], sizes[f"d{i}"])
+
+    wide = [t for t in targets.values() if t.distinct > distinct_limit * SKETCH_MARGIN]
+    while wide:
+        _narrow(numbers, wide)
+        wide = [t for t in wide if t.value is None and t.distinct > distinct_limit * SKETCH_MARGIN]
+    _rank(numbers, [t for t in targets.values() if t.value is None])
+
+    def quantile(column: str, n: int, p: float) -> float | None:
+        if not n:
+            return None
+        position = p * (n - 1)
+        low = targets[column, math.floor(position)].value
+        high = targets[column, math.ceil(position)].value
+        return low + (position - math.floor(position)) * (high - low)
+
+    return {c: [quantile(c, sizes[f"n{i}"], p) for p in probabilities] for i, c in enumerate(columns)}
+
+
+def _narrow(numbers: DataFrame, targets: Sequence[_Target]) -> None:
+    def near(t: _Target) -> Column:
+        share = t.rank / max(t.rows - 1, 1)
+        around = F.array(F.lit(max(share - REACH, 0.0)), F.lit(min(share + REACH, 1.0)))
+        return F.percentile_approx(F.when(t.inside(), F.col(t.column)), around, ACCURACY)
+
+    def counted(t: _Target, low: float, high: float) -> Column:
+        x, here = F.col(t.column), t.inside()
+        between = here & (x > low) & (x < high)
+        return F.struct(
+            F.count_if(here & (x < low)).alias("below"), F.count_if(here & (x == low)).alias("at_low"),
+            F.count_if(between).alias("between"), F.count_if(here & (x == high)).alias("at_high"),
+            F.approx_count_distinct(F.when(between, x)).alias("distinct"))
+
+    bounds = numbers.agg(*[near(t).alias(f"b{i}") for i, t in enumerate(targets)]).first()
+    counts = numbers.agg(*[counted(t, *bounds[i]).alias(f"c{i}") for i, t in enumerate(targets)]).first()
+    for i, target in enumerate(targets):
+        target.narrow(*bounds[i], counts[i])
+
+
+def _rank(numbers: DataFrame, targets: Sequence[_Target]) -> None:
+    """Settle targets whose intervals have few distinct values; equal intervals are counted once."""
+    intervals = {(t.column, t.low, t.high): t for t in targets}
+    if not intervals:
+        return
+    number = {key: i for i, key in enumerate(intervals)}
+    values = numbers.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.when(t.inside(), F.col(t.column)).alias("x"))
+        for i, t in enumerate(intervals.values())])))
+    # The window runs over distinct values with their counts.
+    upto = Window.partitionBy("i").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    counts = values.where("x is not null").groupBy("i", "x").count().select(
+        "i", "x", F.sum("count").over(upto).alias("upto"))
+    found = counts.groupBy("i").agg(*[
+        F.min(F.when((F.col("i") == number[t.column, t.low, t.high]) & (F.col("upto") > t.rank), F.col("x")))
+        .alias(f"t{k}") for k, t in enumerate(targets)])
+    rows = {row["i"]: row for row in found.collect()}  # one row per interval
+    for k, t in enumerate(targets):
+        t.value = rows[number[t.column, t.low, t.high]][f"t{k}"]
