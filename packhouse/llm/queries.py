@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from packhouse.llm import simhash
+from packhouse.llm import bpe, decontaminate, language, simhash, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,12 +16,48 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminations(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return language.identify(docs, language.fit_language(docs))
+
+
+def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = substrings.without_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", substrings.kept_digest().alias("kept_sha256"))
+
+
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.toxicity_scores(docs, toxicity.fit_toxicity(docs, table(spark, folder, "labels")))
+
+
 def op5_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, folder, "documents"), shingle=3, distance=2)
 
 
+def op7_byte_level_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    ranks, pattern = public_vocabulary()
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    coded = bpe.decode(bpe.encode(docs, ranks, pattern).drop("text"), ranks, pattern)
+    return bpe.id_digests(coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids"))
+
+
+def public_vocabulary(name: str = "byte_bpe_50k.tiktoken") -> tuple[bytes, str]:
+    """Ranks and pattern of an installed public vocabulary."""
+    import public_tokenizers
+
+    return bpe.read_ranks(public_tokenizers.path(name)), public_tokenizers.PATTERN
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_simhash_near_duplicates,)}
+    return {f.__name__: f for f in (
+        op1_benchmark_decontamination, op2_language_id, op3_substring_dedup, op4_toxicity, op5_simhash_near_duplicates,
+        op7_byte_level_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

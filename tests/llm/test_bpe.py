@@ -1,0 +1,81 @@
+import base64
+import hashlib
+import random
+
+import numpy as np
+import pytest
+
+from packhouse.llm import bpe
+
+tiktoken = pytest.importorskip("tiktoken")
+public = pytest.importorskip("public_tokenizers")
+
+
+@pytest.fixture(scope="module")
+def ranks():
+    return bpe.read_ranks(public.path("byte_bpe_50k.tiktoken"))
+
+
+@pytest.fixture(scope="module")
+def brute(ranks):
+    table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+    return tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=table, special_tokens={})
+
+
+def texts():
+    pick = random.Random(3)
+    alphabet = "abcdefgh EFG  \n\t\x1c\x85\xa0éñ漢字😀'sre1235٣½.,!?́\x00"
+    fixed = [None, "", " ", "a" * 3000, " " * 900, "".join(pick.choices("abr", k=1500)), "they're WE'LL", "<|endoftext|>"]
+    return fixed + ["".join(pick.choices(alphabet, k=pick.choice([1, 5, 60, 400]))) for _ in range(200)]
+
+
+def test_ids_equal_the_library_and_decoding_returns_the_text(spark, ranks, brute):
+    rows = [(i, t, "x") for i, t in enumerate(texts())] + [(1, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
+    found = bpe.decode(bpe.encode(docs, ranks, public.PATTERN), ranks, public.PATTERN)
+    assert found.columns == ["doc_id", "text", "ids", "decoded"]
+    answers = found.collect()
+    assert len(answers) == len(rows)
+    for r in answers:
+        assert r.ids == brute.encode_ordinary(r.text or "")
+        assert bytes(r.decoded) == (r.text or "").encode()
+    digests = bpe.id_digests(found).collect()
+    for r in digests:
+        ids = " ".join(map(str, brute.encode_ordinary(r.text or "")))
+        assert r.ids_sha256 == hashlib.sha256(ids.encode()).hexdigest()
+
+
+def test_every_length_and_the_heap_agree(ranks):
+    own = bpe.vocabulary(ranks, public.PATTERN)
+    pick = random.Random(4)
+    pieces = ["".join(pick.choices("aeinrst", k=n)).encode() for n in [*range(1, 70), 255, 256] for _ in range(4)]
+    places, sizes, ids = own.merge(pieces)
+    assert sorted(places) == list(range(len(pieces)))
+    for place, found in zip(places, np.split(ids, np.cumsum(sizes)[:-1])):
+        if pieces[place] not in own.ranks:
+            assert found.tolist() == own._merge_long(pieces[place]).tolist()
+
+
+def test_pair_table_with_many_collisions():
+    n = 5000
+    left, right = np.arange(n, dtype=np.int32) % 71, np.arange(n, dtype=np.int32) // 71
+    table = bpe.PairTable(left, right, np.arange(n, dtype=np.int32))
+    assert (table(left, right) == np.arange(n)).all()
+    assert (table(left + 1000, right) == bpe.NONE).all() and table(np.array([-1]), np.array([3]))[0] == bpe.NONE
+
+
+def test_forgetting_matches_changes_nothing(ranks, monkeypatch):
+    own = bpe.vocabulary(ranks, public.PATTERN)
+    rows = [t for t in texts() if t]
+    whole = bpe.Encoder(own)(rows)[0]
+    monkeypatch.setattr(bpe, "CACHE", 0)
+    forgetful = bpe.Encoder(own)
+    assert np.concatenate([forgetful([t])[0] for t in rows]).tolist() == whole.tolist()
+
+
+def test_empty_table_and_null_ids(spark, ranks):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert bpe.encode(none, ranks, public.PATTERN).collect() == []
+    ids = spark.createDataFrame([(1, None), (2, []), (3, [65])], "doc_id long, ids array<int>")
+    assert [bytes(r.decoded) for r in bpe.decode(ids, ranks, public.PATTERN).orderBy("doc_id").collect()] == [
+        b"", b"", bpe.vocabulary(ranks, public.PATTERN).tokens[65]]
