@@ -21,7 +21,7 @@ from packhouse.llm.words import MIX_1, mix, slices, texts_of, word_names
 DIMENSION_BITS = 22
 #: Most labelled documents of a class that are fitted on. A bound of the sample, not of what is scored.
 SAMPLE = {1: 4000, 0: 8000}
-ALPHA, BETA, L1, L2, EPOCHS = 0.1, 1.0, 1.0, 1.0, 3
+ALPHA, BETA, L1, L2, EPOCHS = 4.0, 1.0, 4.0, 0.0, 6
 THRESHOLD = 0.7
 _PLAIN = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 
