@@ -323,10 +323,12 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null and text is not null")
     units = texts.mapInArrow(_units(window), "doc_id long, core long, whole long, times long")
     repeated = units.groupBy("core").agg(F.sum("times").alias("n")).filter("n > 1").select("core")
+    # Written, so that a join with a name that very many units have is between two plain shuffles and can be split.
+    repeated = materialize(repeated, "repeated")
     shared = materialize(units.join(repeated, "core", "left_semi").drop("times"), "units")
     first = shared.groupBy("core", "whole").agg(F.min("doc_id").alias("doc_id"))
     mixed = first.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core", F.lit(True).alias("mixed"))
-    first = first.join(mixed, "core", "left").select("doc_id", "whole", F.coalesce("mixed", F.lit(False)).alias("mixed"))
+    first = first.join(materialize(mixed, "mixed"), "core", "left").select("doc_id", "whole", F.coalesce("mixed", F.lit(False)).alias("mixed"))
     facts = shared.select("doc_id", "whole", F.lit(0).alias("kind")).unionByName(
         first.select("doc_id", "whole", F.when(F.col("mixed"), 2).otherwise(1).alias("kind")))
     told = materialize(facts.groupBy("doc_id").agg(
