@@ -6,8 +6,10 @@ path is overwritten while it is read.
 
 from __future__ import annotations
 
+import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -15,15 +17,42 @@ from pyspark.sql import functions as F
 COMMIT_SCHEMA = "version long, path string"
 
 
+def publish(spark: SparkSession, path: str, text: str) -> bool:
+    """Make a file with this text appear in one step; False if `path` is there already.
+
+    The text is written to a hidden file first, so a crash leaves no half-written `path`. HDFS renames without
+    overwriting atomically. A local file system checks for `path` just before, and an object store may copy: with
+    several writers, give those a store that offers renaming without overwriting, or one writer at a time.
+    """
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    target = hadoop.Path(path)
+    system = target.getFileSystem(conf)
+    target = system.makeQualified(target)
+    draft = hadoop.Path(target.getParent(), f".{uuid.uuid4().hex}")
+    out = system.create(draft, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    plain = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0)
+    try:
+        hadoop.FileContext.getFileContext(target.toUri(), conf).rename(draft, target, plain)
+    except Py4JJavaError as error:
+        if error.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+            raise
+        system.delete(draft, False)
+        return False
+    return True
+
+
 class VersionedStore:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark = spark
         self.root = root.rstrip("/")
 
     def commits(self) -> DataFrame:
-        """One row per committed version."""
+        """One row per committed version. Markers that cannot be read are no commits."""
         try:
-            return self.spark.read.schema(COMMIT_SCHEMA).json(f"{self.root}/commits/*")
+            return self.spark.read.schema(COMMIT_SCHEMA).json(f"{self.root}/commits/*").filter(
+                "version is not null and path is not null")
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -44,12 +73,32 @@ class VersionedStore:
     def commit(self, df: DataFrame) -> int:
         """Write `df` as the next version. A crash before the marker leaves the old one current.
 
-        Data folders are unique and markers are created, never replaced: of two writers of
-        one version the second fails and leaves the first's data alone.
+        Of two writers of one version the second fails and leaves the first's data alone, as far as `publish` can tell on the
+        file system at hand. A marker that cannot be read blocks nothing: its number is passed over.
         """
         version = self.current_version() + 1
         path = f"data/v{version}-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.root}/{path}")
-        marker = self.spark.createDataFrame([(version, path)], COMMIT_SCHEMA).coalesce(1)
-        marker.write.mode("error").json(f"{self.root}/commits/v{version}")
+        while not publish(self.spark, f"{self.root}/commits/v{version}", json.dumps({"version": version, "path": path}) + "\n"):
+            if self.current_version() >= version:
+                raise RuntimeError(f"version {version} was committed by another writer")
+            version += 1
         return version
+
+    def expire(self, keep: int = 1) -> None:
+        """Delete the data of all but the newest `keep` committed versions, and data that no commit names.
+
+        Only while no one writes to the store or reads an older version: the data of a commit under way is not named yet.
+        """
+        if keep < 1:
+            raise ValueError("keep at least one version")
+        newest = self.commits().orderBy(F.desc("version")).limit(keep).collect()
+        if not newest:
+            return
+        named = {r.path.removeprefix("data/") for r in newest}
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        folder = hadoop.Path(f"{self.root}/data")
+        system = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for status in system.listStatus(folder):
+            if status.getPath().getName() not in named:
+                system.delete(status.getPath(), True)
