@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packhouse.llm import bpe, decontaminate, language, simhash, substrings, toxicity
+from packhouse.llm import (
+    bpe, decontaminate, imatch, language, maincontent, rollups, simhash, substrings, toxicity, warc)
+from packhouse.sources.shared import materialize, new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +41,10 @@ def op5_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, folder, "documents"), shingle=3, distance=2)
 
 
+def op6_imatch_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, folder, "documents"))
+
+
 def op7_byte_level_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ranks, pattern = public_vocabulary()
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -54,11 +60,71 @@ def public_vocabulary(name: str = "byte_bpe_50k.tiktoken") -> tuple[bytes, str]:
     return bpe.read_ranks(public_tokenizers.path(name)), public_tokenizers.PATTERN
 
 
+def op8_warc_archives(spark: SparkSession, folder: str) -> DataFrame:
+    records = warc.archive_pages(table(spark, folder, "pages"), least=0)
+    return records.select(*warc.digest_columns(records))
+
+
+def op9_token_rollups(spark: SparkSession, folder: str) -> DataFrame:
+    """Totals after four batches over all documents, two of them applied twice: all are counted by words; copies of an
+    earlier text go; toxic ones go; those not in English are counted anew by pieces."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    first = docs.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("digest")).agg(F.min("doc_id").alias("doc_id"))
+    toxic = table(spark, folder, "labels").filter("toxic = 1").select("doc_id").distinct()
+    # Words are counted once, next to the id, and later batches use what was counted.
+    words = materialize(docs.select("doc_id", rollups.count_tokens(F.col("text"), "words-1").alias("tokens"), "source", "lang",
+                                    F.lit("words-1").alias("tokenizer")), "counts")
+    copies = words.join(first, "doc_id", "left_anti")
+    singles = words.join(first, "doc_id", "left_semi")
+    left = singles.join(toxic, "doc_id", "left_anti").filter("lang <> 'en'")
+    anew = docs.filter("lang <> 'en'").join(left.select("doc_id"), "doc_id", "left_semi")
+    totals = rollups.TokenRollup(spark, new_folder(spark, "rollup"))
+    totals.apply("load", rollups.inserts(words))
+    for _ in range(2):
+        totals.apply("copies", rollups.deletes(copies))
+    totals.apply("toxic", rollups.deletes(singles.join(toxic, "doc_id", "left_semi")))
+    for _ in range(2):
+        totals.apply("pieces", rollups.revisions(left, rollups.counted(anew, "pieces-1")))
+    return totals.totals()
+
+
+OP9_SQL = r"""
+with ranked as (
+  select doc_id, text, source, lang, min(doc_id) over (partition by text) as first_id from documents),
+kept as (
+  select source, lang, text, case when lang <> 'en' then 'pieces-1' else 'words-1' end as tokenizer from ranked
+  where doc_id = first_id and doc_id not in (select doc_id from labels where toxic = 1 and doc_id is not null))
+select source, lang, tokenizer, count(*) as n_docs, cast(sum(
+  case when tokenizer = 'words-1' then len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))
+  else len(regexp_extract_all(text, '\p{L}+|\p{N}+|[^\x20\x09-\x0D\p{L}\p{N}]+')) end) as bigint) as n_tokens
+from kept group by source, lang, tokenizer
+"""
+
+OP8_SQL = r"""
+with payloads as (
+  select page_id, encode(coalesce(html, '')) as payload, max(page_id) over (partition by coalesce(html, '')) as largest from pages),
+bits as (
+  select page_id, largest, octet_length(payload) as payload_bytes, sha1(payload) as digest from payloads)
+select page_id, cast(payload_bytes as bigint) as payload_bytes,
+  list_reduce(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast(
+    (cast('0x' || substr(digest, 1 + 5 * (i // 4), 5) as bigint) >> (15 - 5 * (i % 4))) & 31 as integer), 1)),
+    (x, y) -> x || y) as payload_digest,
+  case when largest > page_id then 'revisit' else 'response' end as record_type,
+  case when largest > page_id then largest end as refers_to
+from bits
+"""
+
+
+def op10_main_content(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return maincontent.extract(pages, maincontent.fit_blocks(pages))
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_benchmark_decontamination, op2_language_id, op3_substring_dedup, op4_toxicity, op5_simhash_near_duplicates,
-        op7_byte_level_bpe)}
+        op6_imatch_fingerprints, op7_byte_level_bpe, op8_warc_archives, op9_token_rollups, op10_main_content)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_warc_archives": OP8_SQL, "op9_token_rollups": OP9_SQL}

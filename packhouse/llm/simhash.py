@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packhouse.llm.components import stars
@@ -172,3 +172,16 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, distance: int = 2, bucket:
     named = rooted.select("fp", "root").join(lowest, "root").select("fp", "component_id")
     return marked.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_per_group(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
+    """The rows of `docs`, all columns, that name their group: of each group the one with the smallest doc_id.
+
+    Of rows that share a doc_id one stays, the one whose text has the smallest hash. Rows without doc_id all stay.
+    """
+    groups = simhash_groups(docs, shingle, distance)
+    named = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    found = docs.withColumn("_id", F.col("doc_id").cast("long")).join(named, "_id", "left_semi")
+    place = F.row_number().over(Window.partitionBy("_id").orderBy(F.xxhash64("text")))
+    found = found.withColumn("_place", place).filter("_place = 1")
+    return found.select(docs.columns).unionByName(docs.filter("doc_id is null"))

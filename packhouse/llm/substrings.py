@@ -348,3 +348,19 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def kept_digest(kept: str = "kept") -> Column:
     """SHA-256 of the kept words, in lower-case hex."""
     return F.sha2(F.col(kept).cast("binary"), 256)
+
+
+def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """`docs`, with all their columns, without repeated words; a document that loses all its words goes.
+
+    A text that loses words becomes the others, joined by one space, and n_chars, if there, its new length; other texts stay
+    as they are.
+    """
+    found = without_repeats(docs.withColumnsRenamed({c: f"_own_{c}" for c in ("n_words", "n_removed", "kept") if c in docs.columns}), window)
+    found = found.filter("n_removed = 0 or n_removed < n_words").withColumn(
+        "text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")))
+    found = found.drop("n_words", "n_removed", "kept")
+    return found.withColumnsRenamed({c: c.removeprefix("_own_") for c in found.columns}).select(
+        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in docs.schema])
