@@ -41,4 +41,6 @@ def fit_in_one_task(rows: DataFrame, fit: Callable[[pa.Table], dict[str, np.ndar
         model = fit(pa.Table.from_batches(list(batches), schema))
         yield pa.RecordBatch.from_arrays([pa.array([pack(model)], pa.binary())], ["model"])
 
-    return unpack(bytes(rows.repartition(1).mapInArrow(run, "model binary").first().model))
+    fitted = rows.repartition(1).mapInArrow(run, "model binary").first()
+    # Spark may find out while planning that there are no rows, and then runs no task.
+    return unpack(bytes(fitted.model)) if fitted else fit(schema.empty_table())

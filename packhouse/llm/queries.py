@@ -106,9 +106,9 @@ with payloads as (
 bits as (
   select page_id, largest, octet_length(payload) as payload_bytes, sha1(payload) as digest from payloads)
 select page_id, cast(payload_bytes as bigint) as payload_bytes,
-  list_reduce(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast(
+  list_reduce(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast(
     (cast('0x' || substr(digest, 1 + 5 * (i // 4), 5) as bigint) >> (15 - 5 * (i % 4))) & 31 as integer), 1)),
-    (x, y) -> x || y) as payload_digest,
+    lambda x, y: x || y) as payload_digest,
   case when largest > page_id then 'revisit' else 'response' end as record_type,
   case when largest > page_id then largest end as refers_to
 from bits

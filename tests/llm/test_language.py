@@ -1,0 +1,85 @@
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from packhouse.llm import language
+
+ROWS = "doc_id long, text string, lang string, score int"
+SOUNDS = {"aa": ["kora", "mola", "tira", "vona"], "bb": ["schö", "würz", "pfla", "stüt"], "cc": ["eaux", "çoit", "èrel", "oisé"]}
+
+
+def corpus(n=240):
+    pick = random.Random(2)
+    rows = []
+    for i in range(n):
+        lang = pick.choice(list(SOUNDS))
+        text = " ".join("".join(pick.choices(SOUNDS[lang], k=pick.choice([1, 2]))) for _ in range(pick.choice([8, 60, 300])))
+        rows.append((i, text, lang, 0))
+    return rows
+
+
+@pytest.fixture(scope="module")
+def fitted(spark):
+    rows = corpus()
+    frame = spark.createDataFrame(rows, ROWS)
+    return rows, frame, language.fit_language(frame, per_language=60)
+
+
+def test_held_out_accuracy(fitted):
+    rows, frame, model = fitted
+    found = {r.doc_id: r for r in language.identify(frame, model).collect()}
+    out = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 == 1]
+    assert len(found) == len(rows) and len(out) > 50
+    assert np.mean([found[i].lang_pred == lang for i, _, lang, _ in out]) > 0.97
+    assert all(found[i].held_out for i, *_ in out) and all(0 < r.score <= 1 for r in found.values())
+
+
+def test_whole_texts_are_read(spark, fitted):
+    _, _, model = fitted
+    mixed = "kora " * 60 + "schö" * 3000
+    rows = [(1, mixed, None, 0), (2, None, "aa", 0), (3, "", "aa", 0), (4, "123 !? ½", "aa", 0), (None, "kora mola", None, 0),
+            (5, "kora mola", "bb", 0), (5, "kora mola", "bb", 0)]
+    found = {}
+    for r in language.identify(spark.createDataFrame(rows, ROWS), model).collect():
+        found.setdefault(r.doc_id, []).append((r.lang_pred, r.score))
+    assert found[1][0][0] == "bb" and found[None][0][0] == "aa" and found[5] == found[5][:1] * 2
+    assert [found[i] for i in (2, 3, 4)] == [[("und", 0.0)]] * 3
+
+
+def test_same_model_whatever_the_partitions_and_held_out_rows(spark, fitted):
+    rows, _, model = fitted
+    other = [(i, t, "zz" if zlib.crc32(str(i).encode()) % 3 == 1 else lang, s) for i, t, lang, s in rows]
+    again = language.fit_language(spark.createDataFrame(other, ROWS).repartition(3), per_language=60)
+    assert set(again["langs"].tolist()) == set(SOUNDS)
+    assert all((again[k] == v).all() for k, v in model.items())
+
+
+def test_windows_cover_every_run_of_bytes():
+    step, size = language.STEP, language.WINDOW
+    texts = [bytes([1 + i % 250 for i in range(n)]) for n in (0, 1, size - 1, size, size + 1, size + step, 2000)]
+    matrix, owner, lengths = language.windows(texts)
+    for i, text in enumerate(texts):
+        rows = matrix[owner == i]
+        runs = {bytes(r[p:p + 4]) for r in rows for p in range(size - 3)}
+        assert {text[p:p + 4] for p in range(len(text) - 3)} <= runs
+        assert sum(lengths[owner == i]) == len(text) + (len(rows) - 1) * (size - step)
+
+
+def test_convolution_by_hand():
+    rng = np.random.default_rng(0)
+    tables = [rng.normal(size=(w, 256, 2)).astype(np.float32) for w in language.WIDTHS]
+    matrix = rng.integers(0, 256, (3, language.WINDOW)).astype(np.uint8)
+    pooled, _ = language._pool(tables, matrix)
+    for b in range(3):
+        brute = [max(sum(t[j][matrix[b, p + j], f] for j in range(len(t))) for p in range(language.WINDOW - len(t) + 1))
+                 for t in tables for f in range(2)]
+        assert np.allclose(pooled[b], brute, atol=1e-5)
+
+
+def test_nothing_to_learn_from(spark):
+    none = spark.createDataFrame([(1, "words", None, 0)], ROWS)
+    model = language.fit_language(none)
+    assert [tuple(r)[2:] for r in language.identify(none, model).collect()] == [("und", 0.0)]
+    assert language.identify(spark.createDataFrame([], ROWS), model).collect() == []
