@@ -31,6 +31,11 @@ def number_or_zero(name: str) -> Column:
     return F.when(F.abs(number) < float("inf"), number).otherwise(F.lit(0.0)).alias(name)
 
 
+def as_number(name: str) -> Column:
+    """A column as doubles; null for text that is no number and for NaN, which counts as missing."""
+    return F.nanvl(F.col(name).try_cast("double"), F.lit(None).cast("double"))
+
+
 def time_text(moment: Column) -> Column:
     return F.date_format(moment, TIME_TEXT)
 
@@ -86,15 +91,24 @@ def _time_codes(moment: Column) -> Column:
 
 
 def _score(order_id: Column, customer_id: Column, total: Column, codes: Column) -> Column:
-    cents = F.floor(total * F.lit(100.0) + F.lit(0.5))
-    seed = (
-        order_id.cast("bigint") * F.lit(ORDER_FACTOR)
-        + customer_id.cast("bigint") * F.lit(CUSTOMER_FACTOR)
-        + cents * F.lit(CENTS_FACTOR)
-    )
+    """Nulls and NaN count as 0. All sums are exact; in doubles they would be rounded beyond 2^53."""
+    def or_zero(number: Column) -> Column:
+        return F.coalesce(number.cast("bigint"), F.lit(0).cast("bigint"))
+
+    shifted = F.coalesce(F.nanvl(total.cast("double"), F.lit(0.0)), F.lit(0.0)) * F.lit(100.0) + F.lit(0.5)
+    parts = ((or_zero(order_id), ORDER_FACTOR), (or_zero(customer_id), CUSTOMER_FACTOR))
+    # A double from 2^53 on is a whole number.
+    cents = F.when(F.abs(shifted) < F.lit(float(2**53)), F.pmod(F.floor(shifted), F.lit(WORD))).when(
+        F.abs(shifted) < F.lit(float("inf")), F.pmod(shifted, F.lit(float(WORD))).cast("bigint")).otherwise(F.lit(0))
+    wrapped = cents * F.lit(CENTS_FACTOR)
+    for number, factor in parts:
+        wrapped = wrapped + F.pmod(number, F.lit(WORD)) * F.lit(factor)
     # Without a time text nothing wraps the sum to 32 bits.
-    mixed = F.coalesce(F.pmod(seed + codes, F.lit(WORD)), seed)
-    return F.least(F.lit(0.99), F.greatest(F.lit(0.01), (mixed % F.lit(10000)) / F.lit(10000.0)))
+    plain = F.when(F.abs(shifted) < F.lit(1e30), F.floor(shifted.cast("decimal(38,2)")).cast("decimal(31,0)")) * F.lit(CENTS_FACTOR)
+    for number, factor in parts:
+        plain = plain + number.cast("decimal(20,0)") * F.lit(factor)
+    rest = F.coalesce((F.pmod(wrapped + codes, F.lit(WORD)) % F.lit(10000)).cast("double"), (plain % F.lit(10000)).cast("double"))
+    return F.least(F.lit(0.99), F.greatest(F.lit(0.01), rest / F.lit(10000.0)))
 
 
 def hash_score(order_id: Column, customer_id: Column, total: Column, time: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packhouse.functions.scalars import customer_age
+from packhouse.functions.scalars import as_number, customer_age
 from packhouse.operators.joins import lookup_join
 from packhouse.operators.orders import customer_order_counts, open_orders
 from packhouse.operators.quantiles import exact_quantiles
@@ -38,7 +38,7 @@ def item_aggregates_training(items: DataFrame, products: DataFrame) -> DataFrame
 
 
 def _as_numbers(columns: Sequence[str]) -> list:
-    return [F.col(c).try_cast("double").alias(c) for c in columns]
+    return [as_number(c).alias(c) for c in columns]
 
 
 def fraud_features_serving(tables: Tables) -> DataFrame:
@@ -115,16 +115,16 @@ def label_distribution(df: DataFrame, label: str) -> DataFrame:
 
 
 def feature_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Count, mean, sample deviation, extremes and exact quartiles, one row per column."""
+    """Count, mean, sample deviation, extremes and exact quartiles, one row per column. NaN counts as missing."""
     df = materialize(df.select(*columns), "summary")
     quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
     measures = ["count", "mean", "std", "min", "p25", "p50", "p75", "max"]
 
     def measured(c: str) -> F.Column:
         q25, q50, q75 = quartiles[c]
-        number = F.col(c).cast("double")
+        number = as_number(c)
         return F.struct(
-            F.lit(c).alias("feature"), F.count(c).alias("count"), F.avg(number).alias("mean"),
+            F.lit(c).alias("feature"), F.count(number).alias("count"), F.avg(number).alias("mean"),
             F.stddev_samp(number).alias("std"), F.min(number).alias("min"),
             F.lit(q25).cast("double").alias("p25"), F.lit(q50).cast("double").alias("p50"),
             F.lit(q75).cast("double").alias("p75"), F.max(number).alias("max"))

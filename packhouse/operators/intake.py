@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packhouse.functions.scalars import WEB_SPACE, leading_int
+from packhouse.functions.scalars import WEB_SPACE, leading_int, number_or_zero
 from packhouse.operators.directory import customer_resolve
 from packhouse.operators.joins import lookup_join
 from packhouse.operators.numbering import running_totals
 from packhouse.schemas import DEFAULT_RISK_SCORE
 
-MAX_QUANTITY = 2147483647
-
 
 def _json_array(raw: Column) -> Column:
     """The elements of a text that is exactly one JSON array, else null.
@@ -76,30 +74,38 @@ def order_lines_parse(requests: DataFrame) -> DataFrame:
     ).select("request_id", (F.col("_at") + 1).alias("line_no"), "_line.product_id", "_line.quantity", "lines_ok")
 
 
+def one_per_request(requests: DataFrame) -> DataFrame:
+    """The earliest row of each request id, reduced before any shuffle; rows without an id are requests of their own."""
+    kept = F.struct(F.col("requested_at").isNull(), "requested_at", "customer_ref", "order_lines")
+    first = requests.where("request_id is not null").groupBy("request_id").agg(F.min(kept).alias("_first"))
+    columns = ["request_id", "requested_at", "customer_ref", "order_lines"]
+    return first.select("request_id", "_first.requested_at", "_first.customer_ref", "_first.order_lines").unionByName(
+        requests.where("request_id is null").select(*columns))
+
+
 def order_intake(requests: DataFrame, customers: DataFrame, products: DataFrame) -> DataFrame:
-    """Decide each request: `no_customer`, `lines`, `product`, `tx` or `accepted`, in this order.
+    """Decide each request once: `no_customer`, `lines`, `product` or `accepted`, in this order.
 
-    Lines carry the current catalog price. `tx` is a quantity the line table cannot hold: the
-    insert fails and takes the whole request with it. Requests with bad lines are not exploded,
+    Rows that repeat a request id are one request, of which the earliest counts. Lines carry the
+    current catalog price; one that is null or no number is 0. Requests with bad lines are not exploded,
     and one grouping brings each request's lines back together, so no request is joined to itself.
     """
     keys = ["request_id", "requested_at", "customer_id", "_customer", "_ok"]
-    checked = customer_resolve(requests, customers, "session").withColumnRenamed("status", "_customer")
+    checked = customer_resolve(one_per_request(requests), customers, "session").withColumnRenamed("status", "_customer")
     checked = _with_lines(checked).withColumn("_ok", _lines_ok())
     lines = checked.select(
         *keys, F.posexplode_outer(F.when(F.col("_ok"), F.col("_lines"))).alias("_at", "_line")
     ).select(*keys, (F.col("_at") + 1).alias("line_no"), "_line.product_id", "_line.quantity")
     priced = lookup_join(
         lines, "product_id",
-        [(products.select("product_id", F.col("price").alias("unit_price"), F.lit(True).alias("_found")), "left")],
+        [(products.select("product_id", number_or_zero("price").alias("unit_price"), F.lit(True).alias("_found")), "left")],
         ["request_id", "line_no"], costly=True)
     grouped = priced.groupBy(*keys).agg(
         F.bool_and(F.col("_found").isNotNull()).alias("_known"),
-        F.bool_or(F.col("quantity") > MAX_QUANTITY).alias("_too_many"),
         F.array_sort(F.collect_list(F.struct("line_no", "product_id", "quantity", "unit_price"))).alias("lines"))
     status = (
         F.when(F.col("_customer") != "ok", "no_customer").when(~F.col("_ok"), "lines")
-        .when(~F.col("_known"), "product").when(F.col("_too_many"), "tx").otherwise("accepted"))
+        .when(~F.col("_known"), "product").otherwise("accepted"))
     decided = grouped.withColumn("status", status)
     accepted = F.col("status") == "accepted"
     total = F.aggregate("lines", F.lit(0.0), lambda sum_, line: sum_ + line["quantity"] * line["unit_price"])
@@ -131,7 +137,7 @@ def place_orders(decided: DataFrame, last_order: Column, last_item: Column) -> t
         "order_id", (F.col("_items") - F.size("lines")).alias("_before"), F.explode("lines").alias("l")
     ).select(
         (last_item + F.col("_before") + F.col("l.line_no")).alias("order_item_id"), "order_id",
-        "l.product_id", F.col("l.quantity").cast("int").alias("quantity"), "l.unit_price",
+        "l.product_id", "l.quantity", "l.unit_price",
         (F.col("l.quantity") * F.col("l.unit_price")).alias("line_total"))
     return orders, items
 
@@ -148,7 +154,7 @@ def cart_preview(requests: DataFrame, products: DataFrame) -> DataFrame:
     lines = carts.select(
         "request_id", "n_lines", "can_submit", F.posexplode_outer("_lines").alias("_at", "_line")
     ).select("request_id", "n_lines", "can_submit", "_at", "_line.product_id", "_line.quantity")
-    priced = lookup_join(lines, "product_id", [(products.select("product_id", "price"), "left")],
+    priced = lookup_join(lines, "product_id", [(products.select("product_id", number_or_zero("price")), "left")],
                          ["request_id", "_at"], costly=True)
     amount = F.when(F.col("quantity") > 0, F.col("price") * F.col("quantity"))
     return priced.groupBy("request_id", "n_lines", "can_submit").agg(

@@ -13,6 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packhouse.functions.scalars import as_number
 from packhouse.operators.features import Tables, late_delivery_features
 from packhouse.operators.metrics import binary_metrics, classification_report
 from packhouse.operators.quantiles import exact_quantiles
@@ -31,7 +32,8 @@ def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
 
 
 def median_impute(df: DataFrame, columns: Sequence[str], fitted: Mapping[str, float]) -> DataFrame:
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(fitted[c])) for c in columns})
+    """Put the fitted medians where a value is missing: null, NaN or no number."""
+    return df.withColumns({c: F.coalesce(as_number(c), F.lit(fitted[c])) for c in columns})
 
 
 def scale_parameters(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
@@ -70,12 +72,12 @@ def fit_logistic(train: DataFrame, features: Sequence[str], label: str) -> Pipel
     `stratified_split` returns them.
     """
     rows = train.select(
-        *[F.col(c).cast("double").alias(c) for c in features], F.col(label).cast("int").alias(label)
+        *[as_number(c).alias(c) for c in features], F.col(label).cast("int").alias(label)
     ).where(F.col(label).isNotNull())
     middle = medians(rows, features)
     scale = scale_parameters(median_impute(rows, features, middle), features)
     prepared = ", ".join(
-        f"(coalesce(cast(`{c}` as double), {_literal(middle[c])}) - {_literal(scale[c][0])})"
+        f"(coalesce(nanvl(try_cast(`{c}` as double), cast(null as double)), {_literal(middle[c])}) - {_literal(scale[c][0])})"
         f" / {_literal(scale[c][1])} as `_z_{c}`" for c in features)
     prepare = SQLTransformer(statement=f"select *, {prepared} from __THIS__")
     assemble = VectorAssembler(inputCols=[f"_z_{c}" for c in features], outputCol="_features")
@@ -118,7 +120,7 @@ def predict_linear(parameters: LinearParameters, df: DataFrame, threshold: float
     for name, median, mean, deviation, weight in zip(
             parameters.features, parameters.medians, parameters.means, parameters.deviations,
             parameters.coefficients, strict=True):
-        value = F.coalesce(F.col(name).cast("double"), F.lit(median))
+        value = F.coalesce(as_number(name), F.lit(median))
         margin = margin + F.lit(weight) * ((value - F.lit(mean)) / F.lit(deviation))
     scored = df.withColumn("prob", 1 / (1 + F.exp(-margin)))
     return scored.withColumn("pred", (F.col("prob") >= threshold).cast("int"))
@@ -159,7 +161,7 @@ def require_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
     missing = [c for c in features if c not in df.columns]
     if missing:
         raise ValueError(f"Missing feature columns after ETL: {missing}")
-    return df.withColumns({c: F.col(c).try_cast("double") for c in features})
+    return df.withColumns({c: as_number(c) for c in features})
 
 
 def train_and_store(rows: DataFrame, features: Sequence[str], label: str, key: str, path: str, name: str,
@@ -169,7 +171,8 @@ def train_and_store(rows: DataFrame, features: Sequence[str], label: str, key: s
     Returns the one-row metrics table that the card holds.
     """
     spark = rows.sparkSession
-    train, test = stratified_split(rows.select(key, *features, label), label, key, seed=seed)
+    rows = materialize(rows.select(key, *features, label), "training")
+    train, test = stratified_split(rows, label, key, seed=seed)
     fitted = fit_logistic(train, features, label)
     scored = materialize(predict(fitted, test, strict=True).select(label, "prob", "pred"), "scored")
     entry = F.struct("class", F.struct("precision", "recall", "f1", "support"))

@@ -69,19 +69,24 @@ def contract_audit(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def table_profile(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Data dictionary with row and null counts: one row per column, one pass per table."""
+    """Data dictionary of what is there, with row and null counts: one row per column, one pass per table.
 
-    def profile(spec: TableSpec, table: DataFrame) -> DataFrame:
+    Columns and types are those of the data. Key, default and "not null" are added where the table and column are
+    declared; others count as nullable unless their schema says otherwise.
+    """
+    def profile(name: str, table: DataFrame) -> DataFrame:
+        spec = TABLES.get(name)
+        declared = spec.not_null() if spec else []
         columns = [
             F.struct(
-                F.lit(spec.name).alias("table_name"), F.lit(i).alias("cid"), F.lit(c).alias("name"),
-                F.lit(kind.simpleString()).alias("type"),
-                F.lit(int(c not in spec.nullable)).alias("notnull"),
-                F.lit(spec.defaults.get(c)).cast("string").alias("dflt_value"),
-                F.lit(int(c == spec.primary_key)).alias("pk"),
-                F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(c).isNull()).alias("n_nulls"))
-            for i, (c, kind) in enumerate(spec.columns)
+                F.lit(name).alias("table_name"), F.lit(i).alias("cid"), F.lit(field.name).alias("name"),
+                F.lit(field.dataType.simpleString()).alias("type"),
+                F.lit(int(field.name in declared or not (spec or field.nullable))).alias("notnull"),
+                F.lit(spec.defaults.get(field.name) if spec else None).cast("string").alias("dflt_value"),
+                F.lit(int(bool(spec) and field.name == spec.primary_key)).alias("pk"),
+                F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(f"`{field.name}`").isNull()).alias("n_nulls"))
+            for i, field in enumerate(table.schema)
         ]
         return table.agg(F.array(*columns).alias("p")).select(F.inline("p"))
 
-    return reduce(DataFrame.unionByName, [profile(TABLES[n], t) for n, t in tables.items() if n in TABLES])
+    return reduce(DataFrame.unionByName, [profile(n, t) for n, t in tables.items() if t.columns])

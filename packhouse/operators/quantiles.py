@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from packhouse.functions.scalars import as_number
+
 # Up to this many distinct values are ranked from their counts.
 DISTINCT_LIMIT = 1_000_000
 # Margin for the error of the distinct-value sketch (5 % standard error).
@@ -63,14 +65,14 @@ def exact_quantiles(
     df: DataFrame, columns: Sequence[str], probabilities: Sequence[float],
     distinct_limit: int = DISTINCT_LIMIT,
 ) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles of each column, nulls skipped. Reads `df` several times.
+    """Linearly interpolated quantiles of each column, nulls and NaN skipped. Reads `df` several times.
 
     A quantile lies between two ranks. While the interval that holds a rank has many distinct
     values, it is narrowed: approximate quantiles give two values near the rank, and the rows
     below, at and between them are counted. Both passes serve all columns and ranks together
     and return one row. What is left is counted per value and ranked from the counts.
     """
-    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    numbers = df.select(*[as_number(c).alias(c) for c in columns])
     sizes = numbers.agg(*[
         part for i, c in enumerate(columns) for part in (
             F.count(c).alias(f"n{i}"), F.approx_count_distinct(c).alias(f"d{i}"))

@@ -97,15 +97,16 @@ def choose_scorer(scorers: Mapping[str, Scorer], setting: str | None, shared_dat
 def upsert_predictions(old: DataFrame, new: DataFrame, run_ts: datetime | str, order_by: str | None = None) -> DataFrame:
     """Replace all scores of the orders in `new` and keep every other row of `old`.
 
-    If `new` repeats an order, the row with the largest `order_by` wins, or without that column
-    the largest scores: the result has one row per order. The choice is a mergeable aggregate,
+    If `new` repeats an order, the row with the largest `order_by` wins (nulls lose, ties and a missing column go to
+    the largest scores): the result has one row per order. Rows without order id are left out. The choice is a mergeable aggregate,
     so a much repeated order is reduced before it is shuffled, and the join that follows uses
     its partitioning. The full outer join reads each side once.
     """
     scores = F.struct(*SCORES)
-    winner = F.max(scores) if order_by is None else F.max_by(scores, F.col(order_by))
-    batch = new.groupBy("order_id").agg(winner.alias("_new"))
-    fresh = F.col("_new").isNotNull()
+    rank = [F.col(order_by).isNotNull(), F.col(order_by)] if order_by else [F.lit(True)]
+    winner = F.max_by(scores, F.struct(*rank, scores))
+    batch = new.filter("order_id is not null").groupBy("order_id").agg(winner.alias("_new"), F.lit(True).alias("_fresh"))
+    fresh = F.col("_fresh")
     stamp = F.lit(str(run_ts)).cast("timestamp_ntz")
     return old.join(batch, "order_id", "full_outer").select(
         "order_id",

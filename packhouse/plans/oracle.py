@@ -36,7 +36,7 @@ shop_orders as (
     case when (o_orderkey * 31 + 17) % 101 + (o_orderkey * 7919 + 13) % 61 >= 130 then 1 else 0 end as is_fraud
   from orders),
 items as (
-  select l_orderkey + 1 as order_id, l_partkey + 1 as product_id, cast(l_quantity as int) as quantity,
+  select l_orderkey + 1 as order_id, l_partkey + 1 as product_id, cast(l_quantity as bigint) as quantity,
     l_extendedprice / l_quantity as unit_price, l_extendedprice as line_total
   from lineitem),
 numbered as (
@@ -45,7 +45,7 @@ numbered as (
   from lineitem),
 order_items as (
   select line_id as order_item_id, l_orderkey + 1 as order_id, l_partkey + 1 as product_id,
-    cast(l_quantity as int) as quantity, l_extendedprice / l_quantity as unit_price,
+    cast(l_quantity as bigint) as quantity, l_extendedprice / l_quantity as unit_price,
     l_extendedprice as line_total
   from numbered),
 shipped as (select l_orderkey + 1 as order_id from lineitem where l_linestatus = 'F'),
@@ -191,7 +191,7 @@ _START = (
     " + 42 * 2654435769 % 4294967296) % 4294967296")
 _PLACED = f"""select order_id, request_id, customer_id, {_t('requested_at', 'order_datetime')},
   round(total @shown) as order_total, 50.0::double as risk_score, order_item_id, product_id,
-  cast(quantity as int) as quantity, round(price @shown) as unit_price, round(quantity * price @shown) as line_total
+  cast(quantity as bigint) as quantity, round(price @shown) as unit_price, round(quantity * price @shown) as line_total
   from new_items"""
 _MEDIANS = ", ".join(f"quantile_cont({c}, 0.5) as {c}" for c in FRAUD_FEATURES)
 _FILLED = ", ".join(f"coalesce(t.{c}, m.{c}) as {c}" for c in FRAUD_FEATURES)
@@ -251,12 +251,15 @@ def _audit() -> str:
 
 
 def _profile() -> str:
+    """Types come from the catalog, by Spark's names."""
+    names = {"BIGINT": "bigint", "VARCHAR": "string", "DOUBLE": "double", "INTEGER": "int", "TIMESTAMP": "timestamp_ntz"}
+    cases = " ".join(f"when '{a}' then '{b}'" for a, b in names.items())
     rows = []
     for name, spec in TABLES.items():
-        for i, (c, kind) in enumerate(spec.columns):
+        for i, (c, _) in enumerate(spec.columns):
             default = spec.defaults.get(c)
             rows.append(
-                f"select '{name}' as table_name, {i} as cid, '{c}' as name, '{kind.simpleString()}' as type,"
+                f"select '{name}' as table_name, {i} as cid, '{c}' as name, case any_value(typeof({c})) {cases} end as type,"
                 f" {int(c not in spec.nullable)} as notnull, {repr(default) if default else 'null::varchar'} as dflt_value,"
                 f" {int(c == spec.primary_key)} as pk, count(*) as n_rows, count(*) - count({c}) as n_nulls from {name}")
     return " union all ".join(rows)
@@ -296,7 +299,7 @@ BODIES: dict[str, str] = {
     "customer_search": f"select needle, customer_id, full_name, email from customers, ({_NEEDLES})"
                        f" where contains({_HAY}, lower(trim(needle)))",
     "customer_search_table": f"select needle, customer_id, full_name, email from customers,"
-                             f" (select distinct ' ' || substr(s_name, 9, 10) as needle from supplier)"
+                             f" (select distinct ' ' || regexp_extract(s_name, '#(.*)$', 1) as needle from supplier)"
                              f" where contains({_HAY}, lower(trim(needle)))",
     "customer_resolve": """select request_id, customer_ref, case when asked > 0 then asked end as customer_id,
         case when coalesce(asked, 0) <= 0 then 'invalid' when customer_id is null then 'unknown' else 'ok' end as status

@@ -34,6 +34,7 @@ class TableSpec:
         return [n for n, _ in self.columns if n not in self.nullable]
 
 
+# Tables, columns, types, constraints and defaults of the operational database.
 TABLES: dict[str, TableSpec] = {
     spec.name: spec
     for spec in (
@@ -60,7 +61,7 @@ TABLES: dict[str, TableSpec] = {
         TableSpec(
             "order_items",
             (("order_item_id", LONG), ("order_id", LONG), ("product_id", LONG),
-             ("quantity", INT), ("unit_price", DOUBLE), ("line_total", DOUBLE)),
+             ("quantity", LONG), ("unit_price", DOUBLE), ("line_total", DOUBLE)),
             primary_key="order_item_id",
             foreign_keys=(("order_id", "shop_orders"), ("product_id", "products")),
             checks=(("quantity_positive", "quantity > 0"),),

@@ -99,7 +99,7 @@ class StarTables:
         return [
             (F.col("l_orderkey") + 1).alias("order_id"),
             (F.col("l_partkey") + 1).alias("product_id"),
-            F.col("l_quantity").cast("int").alias("quantity"),
+            F.col("l_quantity").cast("bigint").alias("quantity"),
             (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"),
             F.col("l_extendedprice").alias("line_total"),
         ]

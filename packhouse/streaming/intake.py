@@ -1,7 +1,13 @@
-"""Order intake over arriving request files, each request applied once."""
+"""Order intake over arriving request files, each request applied once.
+
+A request is known by its id: one that a stored batch has decided is left out of later batches, whichever stream or
+checkpoint they come from. One writer at a time works on an output folder.
+"""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,51 +16,69 @@ from pyspark.sql.streaming import StreamingQuery
 from packhouse.operators.features import Tables
 from packhouse.operators.intake import order_intake, place_orders
 from packhouse.schemas import REQUESTS
+from packhouse.sources.store import publish
 
-MARKER = "batch_id long, last_order long, last_item long"
+MARKER = "batch string, last_order long, last_item long"
 
 
-def _markers(spark: SparkSession, out_dir: str, batch: str = "*") -> DataFrame:
-    """One row per applied batch, with the last ids it gave out."""
+def _markers(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per batch that has begun (`starts`) or was applied (`commits`), with the last ids given out by then."""
     try:
-        return spark.read.schema(MARKER).json(f"{out_dir}/commits/{batch}")
+        return spark.read.schema(MARKER).json(f"{folder}/*").where("batch is not null")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], MARKER)
 
 
-def apply_batch(requests: DataFrame, batch_id: int, tables: Tables, out_dir: str) -> None:
+def _mark(spark: SparkSession, folder: str, batch: str, last_order: int, last_item: int) -> None:
+    row = {"batch": batch, "last_order": last_order, "last_item": last_item}
+    publish(spark, f"{folder}/{batch}", json.dumps(row) + "\n")
+
+
+def _last_ids(spark: SparkSession, tables: Tables, out_dir: str) -> tuple[int, int]:
+    """The largest ids in use, whoever gave them out."""
+    given = _markers(spark, f"{out_dir}/commits").agg(F.max("last_order"), F.max("last_item")).first()
+    stored = [tables[name].agg(F.max(key)).first()[0] for name, key in (
+        ("shop_orders", "order_id"), ("order_items", "order_item_id"))]
+    return tuple(max(a or 0, b or 0) for a, b in zip(given, stored))
+
+
+def apply_batch(requests: DataFrame, batch_id: int, tables: Tables, out_dir: str, stream: str = "direct") -> None:
     """Decide one batch and store its orders, lines and decisions; the marker comes last.
 
-    A batch that was marked is skipped. A batch that failed half-way is written again in the
-    same place, with the same ids, because ids continue from the previous batch's marker.
+    Batches are named by their stream and number; one that was marked is skipped. The ids a batch continues from are
+    written down before anything else, so a batch that failed half-way is written again in the same place with the same ids.
     """
     spark = requests.sparkSession
-    if _markers(spark, out_dir, f"b{batch_id}").first() is not None:
+    batch = f"{stream}-{batch_id}"
+    if _markers(spark, f"{out_dir}/commits").where(F.col("batch") == batch).first():
         return
-    # A stream numbers its batches without gaps; other callers may not.
-    earlier = _markers(spark, out_dir, f"b{batch_id - 1}").first() or (
-        _markers(spark, out_dir).where(F.col("batch_id") < batch_id).orderBy(F.desc("batch_id")).first())
-    if earlier is None:
-        base_order, base_item = (
-            tables[name].agg(F.coalesce(F.max(key), F.lit(0))).first()[0]
-            for name, key in (("shop_orders", "order_id"), ("order_items", "order_item_id")))
+    begun = _markers(spark, f"{out_dir}/starts").where(F.col("batch") == batch).first()
+    if begun is None:
+        base_order, base_item = _last_ids(spark, tables, out_dir)
+        _mark(spark, f"{out_dir}/starts", batch, base_order, base_item)
     else:
-        base_order, base_item = earlier.last_order, earlier.last_item
+        base_order, base_item = begun.last_order, begun.last_item
 
-    decided_path = f"{out_dir}/decisions/batch={batch_id}"
-    order_intake(requests, tables["customers"], tables["products"]).write.mode("overwrite").parquet(decided_path)
+    known = placed(spark, out_dir, "decisions")
+    fresh = requests if known is None else requests.join(known.select("request_id"), "request_id", "left_anti")
+    decided_path = f"{out_dir}/decisions/batch={batch}"
+    order_intake(fresh, tables["customers"], tables["products"]).write.mode("overwrite").parquet(decided_path)
     decided = spark.read.parquet(decided_path)
     orders, items = place_orders(decided, F.lit(base_order), F.lit(base_item))
-    orders.write.mode("overwrite").parquet(f"{out_dir}/orders/batch={batch_id}")
-    items.write.mode("overwrite").parquet(f"{out_dir}/items/batch={batch_id}")
+    orders.write.mode("overwrite").parquet(f"{out_dir}/orders/batch={batch}")
+    items.write.mode("overwrite").parquet(f"{out_dir}/items/batch={batch}")
     # Every order has a line, so the stored lines know both last ids.
-    last = spark.read.parquet(f"{out_dir}/items/batch={batch_id}").agg(
+    last = spark.read.parquet(f"{out_dir}/items/batch={batch}").agg(
         F.coalesce(F.max("order_id"), F.lit(base_order)), F.coalesce(F.max("order_item_id"), F.lit(base_item))
     ).first()
-    marker = spark.createDataFrame([(batch_id, last[0], last[1])], MARKER)
-    marker.coalesce(1).write.mode("overwrite").json(f"{out_dir}/commits/b{batch_id}")
+    _mark(spark, f"{out_dir}/commits", batch, last[0], last[1])
+
+
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id Spark gave the stream when it made the checkpoint: a new checkpoint is a new stream."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
 
 
 def intake_stream(spark: SparkSession, in_dir: str, tables: Tables, out_dir: str, checkpoint: str,
@@ -65,16 +89,17 @@ def intake_stream(spark: SparkSession, in_dir: str, tables: Tables, out_dir: str
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return (
         reader.parquet(in_dir).writeStream
-        .foreachBatch(lambda batch, batch_id: apply_batch(batch, batch_id, tables, out_dir))
+        .foreachBatch(lambda batch, batch_id: apply_batch(
+            batch, batch_id, tables, out_dir, _stream_id(spark, checkpoint)))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start())
 
 
-def placed(spark: SparkSession, out_dir: str, name: str) -> DataFrame:
-    """Stored `orders`, `items` or `decisions` of the marked batches."""
+def placed(spark: SparkSession, out_dir: str, name: str) -> DataFrame | None:
+    """Stored `orders`, `items` or `decisions` of the marked batches; None before the first."""
+    marked = _markers(spark, f"{out_dir}/commits").select("batch")
+    if not marked.first():
+        return None
     stored = spark.read.option("basePath", f"{out_dir}/{name}").parquet(f"{out_dir}/{name}")
-    marked = _markers(spark, out_dir).select(F.col("batch_id").alias("batch"))
-    return stored.join(marked, "batch", "left_semi").drop("batch")
-
-
+    return stored.withColumn("batch", F.col("batch").cast("string")).join(marked, "batch", "left_semi").drop("batch")

@@ -38,7 +38,7 @@ PAYLOADS = [
     ('[null]', "lines", None, None, 0.0, False),
     ('[{"product_id":1,"quantity":1},{"product_id":99,"quantity":1}]', "product", None, None, 4.5, True),
     ('[{"product_id":123456789012345678901,"quantity":1}]', "product", None, None, 0.0, True),
-    ('[{"product_id":1,"quantity":3000000000}]', "tx", None, None, 4.5 * 3000000000, True),
+    ('[{"product_id":1,"quantity":3000000000}]', "accepted", 4.5 * 3000000000, [3000000000], 4.5 * 3000000000, True),
     # A repeated key keeps its last value.
     ('[{"product_id":99,"product_id":1,"quantity":1}]', "accepted", 4.5, [1], 4.5, True),
 ]
@@ -127,10 +127,11 @@ def test_replayed_and_half_written_batches(spark, tmp_path):
     t = seed.tables(spark)
     out = str(tmp_path / "out")
     line = '[{"product_id":1,"quantity":1}]'
-    first, second = seed.requests(spark, ("1", line)), seed.requests(spark, ("2", line), ("1", line))
+    requests = seed.requests(spark, ("1", line), ("2", line), ("1", line))
+    first, second = requests.where("request_id = 1"), requests.where("request_id > 1")
     apply_batch(first, 0, t, out)
     # A crash after writing orders: no marker, so nothing of it is visible.
-    first.write.parquet(f"{out}/orders/batch=1")
+    first.write.parquet(f"{out}/orders/batch=direct-1")
     assert len(stored(spark, out)[0]) == 1
     apply_batch(second, 1, t, out)
     once = stored(spark, out)
@@ -141,7 +142,53 @@ def test_replayed_and_half_written_batches(spark, tmp_path):
 def test_empty_batch(spark, tmp_path):
     t = seed.tables(spark)
     out = str(tmp_path / "out")
-    apply_batch(seed.requests(spark, ("x", "nope")), 0, t, out)
-    apply_batch(seed.requests(spark, ("1", '[{"product_id":1,"quantity":1}]')), 1, t, out)
+    requests = seed.requests(spark, ("x", "nope"), ("1", '[{"product_id":1,"quantity":1}]'))
+    apply_batch(requests.where("request_id = 1"), 0, t, out)
+    apply_batch(requests.where("request_id = 2"), 1, t, out)
     assert [o[0] for o in stored(spark, out)[0]] == [4]
-    assert dt.datetime(2026, 2, 1) == placed(spark, out, "orders").first().order_datetime
+    assert dt.datetime(2026, 2, 1, 0, 1) == placed(spark, out, "orders").first().order_datetime
+
+
+def test_a_request_delivered_again_is_one_request(spark, tmp_path):
+    t = seed.tables(spark)
+    out = str(tmp_path / "out")
+    line = '[{"product_id":1,"quantity":2}]'
+    requests = seed.requests(spark, ("1", line), ("2", line))
+    decided = intake.order_intake(requests.unionAll(requests), t["customers"], t["products"]).collect()
+    assert [(r.order_total, len(r.lines)) for r in decided] == [(9.0, 1)] * 2
+    apply_batch(requests.where("request_id = 1"), 0, t, out)
+    apply_batch(requests, 1, t, out)
+    # A new checkpoint starts again at batch 0.
+    apply_batch(requests.unionAll(seed.requests(spark, ("1", line), ("1", line), ("2", line)).where("request_id = 3")), 0, t, out, "other")
+    orders, _ = stored(spark, out)
+    assert [o[:2] for o in orders] == [(4, 1), (5, 2), (6, 3)]
+
+
+def test_ids_given_out_by_another_writer_and_a_retry(spark, tmp_path, monkeypatch):
+    t = seed.tables(spark)
+    out = str(tmp_path / "out")
+    requests = seed.requests(spark, *[("1", '[{"product_id":1,"quantity":1}]')] * 3)
+    apply_batch(requests.where("request_id = 1"), 0, t, out)
+    other = {**t, "shop_orders": t["shop_orders"].unionAll(t["shop_orders"].limit(1).replace(t["shop_orders"].first().order_id, 9, "order_id"))}
+
+    def crash(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patched:
+        patched.setattr("packhouse.streaming.intake.place_orders", crash)
+        with pytest.raises(RuntimeError):
+            apply_batch(requests.where("request_id = 2"), 1, other, out)
+    # The retry continues from the ids that were written down, whatever the tables say by now.
+    apply_batch(requests.where("request_id = 2"), 1, t, out)
+    apply_batch(requests.where("request_id = 3"), 2, t, out)
+    assert [o[:2] for o in stored(spark, out)[0]] == [(4, 1), (10, 2), (11, 3)]
+
+
+def test_null_price_counts_as_zero(spark):
+    t = seed.tables(spark)
+    products = t["products"].withColumn("price", F.when(F.col("product_id") == 1, F.lit(float("nan"))).when(
+        F.col("product_id") == 2, F.col("price")))
+    requests = seed.requests(spark, ("1", '[{"product_id":1,"quantity":2},{"product_id":3,"quantity":1}]'))
+    (decided,) = intake.order_intake(requests, t["customers"], products).collect()
+    assert decided.order_total == 0.0 and [line.unit_price for line in decided.lines] == [0.0, 0.0]
+    assert intake.cart_preview(requests, products).first().preview_total == 0.0

@@ -150,3 +150,17 @@ def test_training_run_stores_a_model_that_scores(spark, tmp_path):
     assert spark.read.json(f"{path}/metrics").first().accuracy == pytest.approx(row.accuracy)
     scored = ModelScorer.stored(spark, path).score(t)
     assert scored.count() == 399 and scored.where("predicted_fraud = 1").count() > 0
+
+
+def test_nan_counts_as_missing(spark):
+    nan = float("nan")
+    rows = spark.createDataFrame([(1.0, 0), (2.0, 1), (nan, 0), (4.0, 1), (None, 0)], "x double, y int")
+    assert model.medians(rows, ["x"]) == {"x": 2.0}
+    filled = [r.x for r in model.median_impute(rows, ["x"], {"x": 2.0}).collect()]
+    assert filled == [1.0, 2.0, 2.0, 4.0, 2.0]
+    fitted = model.fit_logistic(rows, ["x"], "y")
+    probs = [r.prob for r in model.predict(fitted, rows).collect()]
+    assert probs[2] == probs[1] == probs[4] and all(0 < p < 1 for p in probs)
+    parameters = model.LinearParameters(("x",), (2.0,), (0.0,), (1.0,), (-9.0,), 0.0)
+    assert [r.pred for r in model.predict_linear(parameters, rows).collect()] == [0] * 5
+    assert [r.x for r in model.require_features(rows, ["x"]).collect()][2] is None

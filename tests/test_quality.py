@@ -1,6 +1,7 @@
 import datetime as dt
 
 import seed
+from pyspark.sql import functions as F
 
 from packhouse.operators.quality import contract_audit, table_profile
 from packhouse.operators.runlog import run_log_summary
@@ -54,6 +55,18 @@ def test_profile(spark):
     assert rows["order_predictions", "order_id"].n_rows == 0
 
 
+def test_profile_shows_what_is_there(spark):
+    tables = seed.tables(spark)
+    orders = tables["shop_orders"]
+    tables["shop_orders"] = orders.withColumn("order_total", F.col("order_total").cast("string")).withColumn("is_fraud", F.lit(1))
+    tables["extra table"] = spark.createDataFrame([(1, None), (2, None)], "`a b` int, c array<string>")
+    rows = {(r.table_name, r.name): r for r in table_profile(tables).collect()}
+    assert rows["shop_orders", "order_total"].type == "string" and rows["shop_orders", "order_total"].notnull == 1
+    assert (rows["shop_orders", "is_fraud"].cid, rows["shop_orders", "is_fraud"].dflt_value) == (5, None)
+    assert [(r.type, r.n_rows, r.n_nulls, r.pk) for n, r in rows.items() if n[0] == "extra table"] == [
+        ("int", 2, 0, 0), ("array<string>", 2, 2, 0)]
+
+
 def test_run_logs(spark):
     long = "x" * 4001
     cases = [

@@ -1,9 +1,12 @@
 import datetime as dt
+import math
+from fractions import Fraction
 
 import pytest
 import seed
 from pyspark.sql import functions as F
 
+from packhouse.functions.scalars import hash_score
 from packhouse.operators import scoring
 from packhouse.sources.store import VersionedStore
 from packhouse.sources.tables import load_tables
@@ -112,3 +115,47 @@ def test_custom_scorer_with_pandas(spark, tmp_path):
     run = scoring.scoring_run(spark, seed.tables(spark), Half(), seed.NOW, VersionedStore(spark, str(tmp_path / "p")))
     assert run.summary.first().orders_scored == 3
     assert pytest.approx(0.5) == run.predictions.first().fraud_probability
+
+
+def test_upsert_with_repeats_nulls_and_no_sequence(spark):
+    old = seed.table(spark, "order_predictions", [(1, .1, 0, .1, 0, OLD), (2, .2, 0, .2, 0, OLD)])
+    new = spark.createDataFrame(
+        [(1, .5, 1, .5, 1, 3), (1, .6, 1, .6, 1, None), (1, .4, 1, .4, 1, 2), (3, .3, 0, .3, 0, None), (None, .9, 1, .9, 1, 1)],
+        "order_id long, late_delivery_probability double, predicted_late_delivery int, fraud_probability double,"
+        " predicted_fraud int, seq int")
+    rows = {r.order_id: r.fraud_probability for r in scoring.upsert_predictions(old, new, seed.NOW, "seq").collect()}
+    assert rows == {1: .5, 2: .2, 3: .3}
+    rows = {r.order_id: r.fraud_probability for r in scoring.upsert_predictions(old, new, seed.NOW).collect()}
+    assert rows == {1: .6, 2: .2, 3: .3}
+
+
+def test_store_with_unreadable_markers_races_and_expiry(spark, tmp_path):
+    store = VersionedStore(spark, str(tmp_path / "s"))
+    assert store.commit(spark.range(1)) == 1
+    (tmp_path / "s" / "commits" / "v2").write_text("{\"version\": 2, ")
+    assert store.read().count() == 1
+    assert store.commit(spark.range(3)) == 3 and store.read().count() == 3
+    late = VersionedStore(spark, str(tmp_path / "s"))
+    late.current_version = iter([0, 3]).__next__  # it looked before the first commit
+    with pytest.raises(RuntimeError, match="another writer"):
+        late.commit(spark.range(9))
+    before = store.read().count()
+    store.expire()
+    assert store.read().count() == before and len(list((tmp_path / "s" / "data").iterdir())) == 1
+    with pytest.raises(ValueError):
+        store.expire(0)
+
+
+def test_score_with_nulls_nan_and_large_totals(spark):
+    rows = [(5, 7, 1e16, "2026-01-01 00:00:00"), (5, None, float("nan"), "2026-01-01 00:00:00"), (5, 0, 0.0, "2026-01-01 00:00:00"),
+            (10**18, 3, 1e300, ""), (5, 7, 12.5, ""), (5, 7, -1e9, ""), (1, 1, float("inf"), None)]
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, o long, c long, t double, m string")
+    scores = [r.s for r in table.orderBy("i").select(hash_score(F.col("o"), F.col("c"), F.col("t"), F.col("m")).alias("s")).collect()]
+
+    def exact(o, c, t, text):
+        seed_ = o * 374761 + (c or 0) * 66041 + math.floor(Fraction(t) * 100 + Fraction(1, 2)) * 104729
+        seed_ = (seed_ + sum(ord(x) * (k + 1) for k, x in enumerate(text))) % 2**32 if text else seed_
+        return min(.99, max(.01, seed_ % 10000 / 10000 if seed_ >= 0 else 0))
+
+    assert scores[0] == exact(*rows[0]) and scores[1] == scores[2] == exact(*rows[2])
+    assert scores[4] == exact(*rows[4]) and scores[5] == 0.01 and all(.01 <= s <= .99 for s in scores)
