@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packhouse.functions.scalars import as_number, customer_age
-from packhouse.operators.joins import lookup_join
+from packhouse.operators.joins import lookup_join, narrow
 from packhouse.operators.orders import customer_order_counts, open_orders
 from packhouse.operators.quantiles import exact_quantiles
 from packhouse.schemas import FRAUD_FEATURES, FRAUD_LABEL, LATE_LABEL
@@ -21,7 +21,7 @@ Tables = Mapping[str, DataFrame]
 
 def item_aggregates_serving(items: DataFrame, products: DataFrame) -> DataFrame:
     """Per order: quantity, value and mean product cost over lines. Lines of unknown products drop out."""
-    costed = lookup_join(items, "product_id", [(products.select("product_id", "cost"), "inner")], LINE_SPREAD)
+    costed = lookup_join(items, "product_id", [(narrow(products.select("product_id", "cost")), "inner")], LINE_SPREAD)
     return costed.groupBy("order_id").agg(
         F.sum("quantity").alias("num_items"), F.sum("line_total").alias("total_value"),
         F.avg("cost").alias("avg_cost"))
@@ -29,7 +29,7 @@ def item_aggregates_serving(items: DataFrame, products: DataFrame) -> DataFrame:
 
 def item_aggregates_training(items: DataFrame, products: DataFrame) -> DataFrame:
     """As for serving, plus mean unit price; lines of unknown products count, only their cost is skipped."""
-    costed = lookup_join(items, "product_id", [(products.select("product_id", "cost"), "left")], LINE_SPREAD)
+    costed = lookup_join(items, "product_id", [(narrow(products.select("product_id", "cost")), "left")], LINE_SPREAD)
     return costed.where("order_id is not null").groupBy("order_id").agg(
         F.coalesce(F.sum("quantity"), F.lit(0)).alias("num_items"),
         F.avg("unit_price").alias("avg_unit_price"),

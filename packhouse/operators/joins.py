@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from packhouse.sources.shared import materialize
 
-# Keys with more rows than this are spread over several join partitions.
-ROWS_PER_SLICE = 2_000_000
+# Keys with more rows than this are spread over several join partitions; None leaves hot keys to adaptive execution, which
+# splits their partitions without counting first.
+ROWS_PER_SLICE: int | None = None
+# Most bytes that a narrow lookup table may take in each executor, by its counted rows.
+NARROW_BYTES = 256_000_000
 
 
 def planned_bytes(df: DataFrame) -> int | None:
@@ -33,6 +36,14 @@ def fits_broadcast(df: DataFrame) -> bool:
     return size is not None and size <= broadcast_limit(df)
 
 
+def narrow(table: DataFrame, row_bytes: int = 100) -> DataFrame:
+    """A lookup table of a few numbers, marked for broadcasting if its counted rows are within NARROW_BYTES.
+
+    `row_bytes` is what a row takes in the hash table. The count reads no column.
+    """
+    return F.broadcast(table) if table.count() * row_bytes <= NARROW_BYTES else table
+
+
 def lookup_join(
     fact: DataFrame,
     key: str,
@@ -44,9 +55,11 @@ def lookup_join(
 ) -> DataFrame:
     """Join `fact` to each (table, how) on `key`; the tables usually have one row per key.
 
-    Where every table is under the session's broadcast limit the join moves no fact row.
-    Otherwise one shuffle serves all lookups, and a key that holds more than
-    `rows_per_slice` fact rows (by default ROWS_PER_SLICE) is cut into slices by a hash of the `spread` columns, with
+    Where every table is under the session's broadcast limit the join moves no fact row. Beyond it these are plain joins,
+    whose skewed partitions adaptive execution splits (the session turns it on).
+
+    With `rows_per_slice` the result is the same without adaptive execution: one shuffle serves all lookups, and a key that holds more than
+    `rows_per_slice` fact rows is cut into slices by a hash of the `spread` columns, with
     the matching lookup row copied to each slice. The list of such keys has at most
     count(fact) / rows_per_slice rows, which is what makes it safe to broadcast.
 
@@ -54,13 +67,13 @@ def lookup_join(
     (more slices than needed do no harm), or else in `fact` itself, which is then computed
     twice unless `costly` has it written down first.
     """
-    if all(fits_broadcast(table) for table, _ in lookups):
+    rows_per_slice = rows_per_slice or ROWS_PER_SLICE
+    if rows_per_slice is None or all(fits_broadcast(table) for table, _ in lookups):
         joined = fact
         for table, how in lookups:
             joined = joined.join(table, key, how)
         return joined
 
-    rows_per_slice = rows_per_slice or ROWS_PER_SLICE
     if costly and counted is None:
         fact = materialize(fact, "lookup")
     heavy = F.broadcast(

@@ -93,12 +93,16 @@ def _latest(orders: DataFrame, n: int) -> DataFrame:
 
 
 def customer_orders(orders: DataFrame, items: DataFrame, shipments: DataFrame,
-                    customer_id: int | None = None) -> DataFrame:
-    """All orders per customer, newest first, with line and shipment counts."""
+                    customer_id: int | None = None, ordered: bool = True) -> DataFrame:
+    """All orders per customer, with line and shipment counts; newest first unless `ordered` is off.
+
+    Leave it off to process or store the table: sorting all orders of all customers is a shuffle of its own.
+    """
     chosen = _order_columns(_of_customer(orders, customer_id))
     counted = order_counts(chosen, items, shipments, narrow=customer_id is not None)
-    return counted.withColumn("status", fulfillment_status(F.col("shipment_count"))).select(
-        *_ORDER_COLUMNS, "item_count", "shipment_count", "status").orderBy("customer_id", *_newest_first())
+    shown = counted.withColumn("status", fulfillment_status(F.col("shipment_count"))).select(
+        *_ORDER_COLUMNS, "item_count", "shipment_count", "status")
+    return shown.orderBy("customer_id", *_newest_first()) if ordered else shown
 
 
 def _recent_counted(orders: DataFrame, items: DataFrame, shipments: DataFrame,
@@ -157,12 +161,14 @@ def order_header(claims: DataFrame, orders: DataFrame, items: DataFrame, spread:
         *claims.columns, "order_id", "order_datetime", "order_total", "item_count")
 
 
-def order_line_items(items: DataFrame, products: DataFrame, order_ids: DataFrame | None = None) -> DataFrame:
-    """Lines with product names, by order and line id; lines of unknown products are hidden."""
+def order_line_items(items: DataFrame, products: DataFrame, order_ids: DataFrame | None = None,
+                     ordered: bool = True) -> DataFrame:
+    """Lines with product names, by order and line id unless `ordered` is off; lines of unknown products are hidden."""
     if order_ids is not None:
         items = items.join(order_ids.select("order_id").distinct(), "order_id", "left_semi")
-    return lookup_join(
+    shown = lookup_join(
         items, "product_id", [(products.select("product_id", "product_name"), "inner")], ["order_item_id"]
     ).select(
         "order_id", "order_item_id", "product_name", F.coalesce("quantity", F.lit(0)).alias("quantity"),
-        number_or_zero("unit_price"), number_or_zero("line_total")).orderBy("order_id", "order_item_id")
+        number_or_zero("unit_price"), number_or_zero("line_total"))
+    return shown.orderBy("order_id", "order_item_id") if ordered else shown

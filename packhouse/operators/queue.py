@@ -17,7 +17,7 @@ def warehouse_priority_queue(orders: DataFrame, customers: DataFrame, shipments:
     """Open orders, scored ones first, then by fraud and late probability, then oldest first.
 
     A scored 0.0 outranks an order without a score. Scores are joined while the open orders
-    are still partitioned by order, and the ranking is a top-k, not a full sort.
+    are still partitioned by order, and the ranking is a top-k, not a full sort. Names are looked up for its rows only.
     """
     scores = predictions.select(
         "order_id", F.lit(1).alias("_scored"), "late_delivery_probability", "predicted_late_delivery",
@@ -25,18 +25,23 @@ def warehouse_priority_queue(orders: DataFrame, customers: DataFrame, shipments:
     waiting = open_orders(
         orders.select("order_id", "customer_id", "order_datetime", "order_total"), shipments
     ).join(scores, "order_id", "left")
-    names = customers.select("customer_id", clean_name(F.col("full_name")).alias("customer_name"))
-    queue = lookup_join(waiting, "customer_id", [(names, "inner")], ["order_id"], counted=orders).select(
-        "order_id", "order_datetime", number_or_zero("order_total"), "customer_id", "customer_name",
+    known = lookup_join(
+        waiting, "customer_id", [(customers.select("customer_id"), "left_semi")], ["order_id"], counted=orders)
+    queue = known.select(
+        "order_id", "order_datetime", number_or_zero("order_total"), "customer_id",
         F.coalesce("_scored", F.lit(0)).alias("has_prediction"),
         F.coalesce("late_delivery_probability", F.lit(0.0)).alias("late_delivery_probability"),
         F.coalesce("predicted_late_delivery", F.lit(0)).alias("predicted_late_delivery"),
         F.coalesce("fraud_probability", F.lit(0.0)).alias("fraud_probability"),
         F.coalesce("predicted_fraud", F.lit(0)).alias("predicted_fraud"),
         F.coalesce("_scored_at", F.lit("")).alias("prediction_timestamp"))
-    return queue.orderBy(
-        F.desc("has_prediction"), F.desc("fraud_probability"), F.desc("late_delivery_probability"),
-        F.col("order_datetime").asc_nulls_last(), "order_id").limit(limit)
+    ranking = [F.desc("has_prediction"), F.desc("fraud_probability"), F.desc("late_delivery_probability"),
+               F.col("order_datetime").asc_nulls_last(), "order_id"]
+    first = queue.orderBy(*ranking).limit(limit)
+    names = customers.select("customer_id", clean_name(F.col("full_name")).alias("customer_name"))
+    # `first` has at most `limit` rows.
+    return names.join(F.broadcast(first), "customer_id").select(
+        *first.columns[:4], "customer_name", *first.columns[4:]).orderBy(*ranking).limit(limit)
 
 
 def fraud_flagged_open_orders(orders: DataFrame, customers: DataFrame, shipments: DataFrame,

@@ -149,12 +149,12 @@ def customer_recent_orders(star):
 
 @query
 def customer_orders(star):
-    return orders.customer_orders(star.shop_orders, star.items, star.shipped)
+    return orders.customer_orders(star.shop_orders, star.items, star.shipped, ordered=False)
 
 
 @query
 def order_line_items(star):
-    return orders.order_line_items(star.order_items, star.products)
+    return orders.order_line_items(star.order_items, star.products, ordered=False)
 
 
 @query

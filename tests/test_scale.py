@@ -7,7 +7,7 @@ import pytest
 import seed
 from pyspark.sql import functions as F
 
-from packhouse.operators import directory, orders, queue
+from packhouse.operators import directory, features, joins, orders, queue
 from packhouse.operators.joins import lookup_join
 from packhouse.operators.numbering import number_rows, running_totals
 from packhouse.operators.scoring import upsert_predictions
@@ -58,6 +58,21 @@ def test_hot_key_is_spread_over_partitions(spark, no_broadcast, skewed):
     assert parts > 4
 
 
+def test_lookups_count_nothing_first(spark, no_broadcast):
+    star = StarTables(spark, DATA)
+    for df in (orders.order_ownership(star.order_claims, star.shop_orders, ["claim_id"]),
+               lookup_join(star.shop_orders, "customer_id", [(star.customers, "inner")], ["order_id"])):
+        assert "HashAggregate" not in plan(df) and plan(df).count("Exchange hashpartitioning") <= 4
+
+
+def test_narrow_lookups_are_broadcast_by_their_counted_rows(spark, no_broadcast, monkeypatch):
+    star = StarTables(spark, DATA)
+    moved = plan(features.item_aggregates_serving(star.items, star.products))
+    assert "BroadcastHashJoin" in moved and "hashpartitioning(product_id" not in moved
+    monkeypatch.setattr(joins, "NARROW_BYTES", 10)
+    assert "BroadcastHashJoin" not in plan(features.item_aggregates_serving(star.items, star.products))
+
+
 def test_small_lookup_moves_no_fact_row(spark, skewed):
     names = spark.range(90).select(F.col("id").alias("k"), F.lit("n").alias("name"))
     text = plan(lookup_join(skewed, "k", [(names, "inner")], ["id"]))
