@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from packhouse.plans.parameters import DIGITS, FRAUD_PARAMETERS, RUN_TS, SEARCH_TEXTS, TIE_SHIFT
-from packhouse.schemas import FRAUD_FEATURES, TABLES
+from packhouse.schemas import FRAUD_FEATURES, LATE_FEATURES, TABLES
 
 TIME = "'%Y-%m-%d %H:%M:%S.%f'"
 
@@ -265,6 +265,71 @@ def _profile() -> str:
     return " union all ".join(rows)
 
 
+NEWTON_STEPS = 14
+
+
+def _fitted(source: str, features: list[str], label: str, key: str) -> str:
+    """CTEs that split `source`, fit the weighted, penalised regression by Newton steps, and score the test rows.
+
+    `fitted_rows` has key, label, prob and pred. Each step is one row of sums over the training rows, solved by elimination
+    written out as expressions; the parameters are the features' in order and the intercept.
+    """
+    ctes, marks = BODIES["stratified_split"].rsplit("select order_id, o.is_fraud", 1)
+    marks = f"{ctes.rstrip()}, marks as (select order_id, o.is_fraud{marks})"
+    marks = marks.replace("shop_orders", source).replace("is_fraud", label).replace("order_id", key)
+    n = len(features) + 1
+    z = [f"z{i}" for i in range(n - 1)] + ["1.0"]
+    filled = ", ".join(f"coalesce(t.{c}, m.{c}) as {c}" for c in features)
+    middles = ", ".join(f"quantile_cont({c}, 0.5) as {c}" for c in features)
+    stats = ", ".join(f"avg({c}) as m{i}, stddev_pop({c}) as s{i}" for i, c in enumerate(features))
+    scaled = ", ".join(f"(f.{c} - s.m{i}) / case when s.s{i} = 0 then 1 else s.s{i} end as z{i}" for i, c in enumerate(features))
+    margin = " + ".join(f"b{i} * {z[i]}" for i in range(n))
+    parts = [f"""{marks},
+  sides as materialized (select t.*, is_test from {source} t join marks using ({key}) where t.{label} is not null),
+  full_rows as (select t.{key}, t.{label} as y, is_test, {filled} from sides t, (select {middles} from sides where is_test = 0) m),
+  z_rows as materialized (select f.{key}, y, is_test, {scaled}
+    from full_rows f, (select {stats} from full_rows where is_test = 0) s),
+  class_weights as (select y, (select count(*) from z_rows where is_test = 0) / cast(
+    (select count(distinct y) from z_rows where is_test = 0) * count(*) as double) as w from z_rows where is_test = 0 group by y),
+  train_rows as materialized (select r.*, w from z_rows r join class_weights using (y) where is_test = 0),
+  beta0 as materialized (select {", ".join(f"0.0::double as b{i}" for i in range(n))})"""]
+    for step in range(NEWTON_STEPS):
+        sums = [f"sum(w * (p - y) * {z[i]}) + {f'any_value(b{i})' if i < n - 1 else '0'} as a{i}_{n}" for i in range(n)]
+        sums += [f"sum(w * p * (1 - p) * {z[i]} * {z[j]}) + {int(i == j and i < n - 1)} as a{i}_{j}"
+                 for i in range(n) for j in range(n)]
+        parts.append(f"""e{step}_0 as materialized (select {", ".join(sums)}, {", ".join(f"any_value(b{i}) as b{i}" for i in range(n))}
+    from (select *, 1 / (1 + exp(-({margin}))) as p from train_rows, beta{step}))""")
+        for k in range(n):
+            row = [f"a{i}_{j} - a{i}_{k} * a{k}_{j} / a{k}_{k} as a{i}_{j}" if i != k else f"a{k}_{j} / a{k}_{k} as a{k}_{j}"
+                   for i in range(n) for j in range(k + 1, n + 1)]
+            parts.append(f"""e{step}_{k + 1} as materialized (select {", ".join(row)}, {", ".join(f"b{i}" for i in range(n))}
+    from e{step}_{k})""")
+        parts.append(f"""beta{step + 1} as materialized (select {", ".join(f"b{i} - a{i}_{n} as b{i}" for i in range(n))} from e{step}_{n})""")
+    parts.append(f"""fitted_rows as materialized (select {key}, y as label, p as prob, cast(p > 0.5 as int) as pred
+    from (select *, 1 / (1 + exp(-({margin}))) as p from z_rows, beta{NEWTON_STEPS} where is_test = 1)),
+  fitted_confusion as (
+    select count(*) filter (label = 1 and pred = 1) as tp, count(*) filter (label <> 1 and pred = 1) as fp,
+      count(*) filter (label = 1 and pred <> 1) as fn, count(*) filter (label <> 1 and pred <> 1) as tn, count(*) as n
+    from fitted_rows)""")
+    return ", ".join(parts)
+
+
+def _of_fitted(body: str) -> str:
+    return BODIES[body].replace("from labeled", "from fitted_rows").replace("from confusion", "from fitted_confusion")
+
+
+def _model_bodies() -> dict[str, str]:
+    fraud = _fitted("training", FRAUD_FEATURES, "is_fraud", "order_id")
+    late = f", late as materialized ({BODIES['late_delivery_features']})".replace("@shown)", ", 9)").replace("round(order_total , 9)", "order_total")
+    late += _fitted("late", LATE_FEATURES, "late_delivery", "shipment_id")
+    return {
+        "fit_logistic": fraud + _of_fitted("binary_metrics"),
+        "model_smoke_check": f"""{fraud} select order_id, round(round(prob, 4) @shown) as prob
+          from fitted_rows order by order_id limit 3""",
+        "late_delivery_evaluate": late + _of_fitted("classification_report"),
+    }
+
+
 _LOGS = """
 , run_logs as (
   select doc_id + 1 as run_id, case when doc_id % 5 = 0 then 1 else 0 end as exit_code,
@@ -441,5 +506,6 @@ BODIES: dict[str, str] = {
 
 def oracle_sql() -> dict[str, str]:
     # Adding zero turns a negative zero into zero.
+    bodies = BODIES | _model_bodies()
     shown = f"+ {TIE_SHIFT!r}, {DIGITS}) + 0e0"
-    return {name: MAPPED + body.replace("@shown)", shown) for name, body in BODIES.items()}
+    return {name: MAPPED + body.replace("@shown)", shown) for name, body in bodies.items()}
