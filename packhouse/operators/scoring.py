@@ -22,7 +22,7 @@ from packhouse.operators.queue import fraud_flagged_open_orders
 from packhouse.schemas import FRAUD_FEATURES
 from packhouse.sources.shared import materialize
 from packhouse.sources.store import VersionedStore
-from packhouse.sources.tables import load_tables
+from packhouse.sources.tables import load_available, missing_tables
 
 SCORES = ["late_delivery_probability", "predicted_late_delivery", "fraud_probability", "predicted_fraud"]
 
@@ -118,7 +118,7 @@ def upsert_predictions(old: DataFrame, new: DataFrame, run_ts: datetime | str, o
 class ScoringRun:
     """`summary` has one row; the flagged orders are a table, as there may be very many."""
 
-    predictions: DataFrame
+    predictions: DataFrame | None
     flagged: DataFrame | None
     summary: DataFrame
     version: int | None
@@ -133,28 +133,32 @@ def scoring_run(spark: SparkSession, tables: Tables, scorer: Scorer, run_ts: dat
     """Score, commit the new predictions as a version, and list the flagged open orders.
 
     Scores are computed once and everything after reads the written rows. A failing scorer or
-    commit leaves the table as it was and is reported; a failing flagged list is only left out.
+    commit leaves the table as it was and is reported; a failing flagged list is left out and named as the error of a
+    run that is otherwise good. Without all tables nothing runs: the provider is `unavailable` and the error names them.
     """
-    current = store.read()
-    if current is None:
-        current = tables["order_predictions"]
-
-    def summary(ok: bool, scored: int | None, flagged: int | None, error: str | None) -> DataFrame:
-        return spark.createDataFrame([(ok, scorer.key, str(run_ts), scored, flagged, error)], SUMMARY)
-
+    def summary(ok: bool, scored: int | None, flagged: int | None, error: str | None, provider: str = scorer.key) -> DataFrame:
+        return spark.createDataFrame([(ok, provider, str(run_ts), scored, flagged, error)], SUMMARY)
+
+    missing = missing_tables(tables)
+    if missing:
+        error = f"missing tables: {', '.join(missing)}"
+        return ScoringRun(tables.get("order_predictions"), None, summary(False, None, None, error, "unavailable"), None)
+    current = tables["order_predictions"]
     try:
+        stored = store.read()
+        current = current if stored is None else stored
         batch = materialize(scorer.score(tables), "scores")
         scored = batch.count()
         version = store.commit(upsert_predictions(current, batch, run_ts))
     except Exception as error:  # any failure of the scorer or the write is the run's result
         return ScoringRun(current, None, summary(False, None, None, str(error)), None)
-    predictions = store.read()
     try:
+        predictions = store.read()
         flagged = fraud_flagged_open_orders(
             tables["shop_orders"], tables["customers"], tables["shipments"], predictions)
         count = flagged.count()
-    except Exception:  # the scores are committed: the run succeeded without the list
-        return ScoringRun(predictions, None, summary(True, scored, None, None), version)
+    except Exception as error:  # the scores are committed: the run succeeded without the list
+        return ScoringRun(store.read(), None, summary(True, scored, None, f"flagged list: {error}"), version)
     return ScoringRun(predictions, flagged, summary(True, scored, count, None), version)
 
 
@@ -162,5 +166,5 @@ def daily_scoring(spark: SparkSession, folder: str, scorer: Scorer, run_ts: date
                   store_root: str | None = None) -> DataFrame:
     """Re-score all open orders of the stored tables; a repeat for the same time changes nothing."""
     store = VersionedStore(spark, store_root or f"{folder.rstrip('/')}/_predictions")
-    run = scoring_run(spark, load_tables(spark, folder), scorer, run_ts, store)
+    run = scoring_run(spark, load_available(spark, folder), scorer, run_ts, store)
     return run.summary

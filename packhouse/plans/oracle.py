@@ -506,6 +506,6 @@ BODIES: dict[str, str] = {
 
 def oracle_sql() -> dict[str, str]:
     # Adding zero turns a negative zero into zero.
-    bodies = BODIES | _model_bodies()
+    bodies = BODIES | _model_bodies() | {"daily_scoring": BODIES["upsert_predictions"]}
     shown = f"+ {TIE_SHIFT!r}, {DIGITS}) + 0e0"
     return {name: MAPPED + body.replace("@shown)", shown) for name, body in bodies.items()}

@@ -311,6 +311,18 @@ def scoring_run_summary(star):
     return _scoring_run(star).summary
 
 
+@query
+def daily_scoring(star):
+    """The operational tables are stored, read back and scored twice for one time by the scorer of a shared database."""
+    folder = new_folder(star.spark, "shop")
+    for name, table in star.operational().items():
+        table.write.parquet(f"{folder}/{name}")
+    scorer = scoring.choose_scorer({"mock": scoring.HashScorer(), "python": scoring.ModelScorer(FRAUD_PARAMETERS)}, None, True)
+    for _ in range(2):
+        scoring.daily_scoring(star.spark, folder, scorer, RUN_TS)
+    return VersionedStore(star.spark, f"{folder}/_predictions").read()
+
+
 @query
 def order_lines_parse(star):
     return intake.order_lines_parse(star.order_requests)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +25,18 @@ def load_tables(spark: SparkSession, folder: str, with_label: bool = False) -> d
     return tables
 
 
+def load_available(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """As `load_tables`, without the tables that are not there."""
+    found = {}
+    for name, spec in TABLES.items():
+        try:
+            found[name] = spark.read.schema(spec.struct).parquet(f"{folder}/{name}")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+    return found
+
+
 def load_tables_jdbc(
     spark: SparkSession,
     url: str,

@@ -159,3 +159,13 @@ def test_score_with_nulls_nan_and_large_totals(spark):
 
     assert scores[0] == exact(*rows[0]) and scores[1] == scores[2] == exact(*rows[2])
     assert scores[4] == exact(*rows[4]) and scores[5] == 0.01 and all(.01 <= s <= .99 for s in scores)
+
+
+def test_missing_tables_are_named(spark, tmp_path):
+    folder = tmp_path / "shop"
+    for name, table in seed.tables(spark).items():
+        if name not in ("products", "shipments"):
+            table.write.parquet(str(folder / name))
+    row = scoring.daily_scoring(spark, str(folder), scoring.HashScorer(), seed.NOW).first()
+    assert (row.ok, row.provider, row.error_message) == (False, "unavailable", "missing tables: products, shipments")
+    assert VersionedStore(spark, f"{folder}/_predictions").current_version() == 0
