@@ -69,22 +69,26 @@ def op9_token_rollups(spark: SparkSession, folder: str) -> DataFrame:
     """Totals after four batches over all documents, two of them applied twice: all are counted by words; copies of an
     earlier text go; toxic ones go; those not in English are counted anew by pieces."""
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
-    first = docs.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("digest")).agg(F.min("doc_id").alias("doc_id"))
+    # Both versions are counted in one pass over the texts; from here on only counts travel.
+    counts = materialize(docs.select(
+        "doc_id", "source", "lang", F.sha2(F.col("text").cast("binary"), 256).alias("digest"),
+        rollups.count_tokens(F.col("text"), "words-1").alias("words"),
+        F.when(F.col("lang") != "en", rollups.count_tokens(F.col("text"), "pieces-1")).alias("pieces")), "counts")
+    first = counts.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     toxic = table(spark, folder, "labels").filter("toxic = 1").select("doc_id").distinct()
-    # Words are counted once, next to the id, and later batches use what was counted.
-    words = materialize(docs.select("doc_id", rollups.count_tokens(F.col("text"), "words-1").alias("tokens"), "source", "lang",
-                                    F.lit("words-1").alias("tokenizer")), "counts")
-    copies = words.join(first, "doc_id", "left_anti")
-    singles = words.join(first, "doc_id", "left_semi")
+    singles = counts.join(first, "doc_id", "left_semi")
     left = singles.join(toxic, "doc_id", "left_anti").filter("lang <> 'en'")
-    anew = docs.filter("lang <> 'en'").join(left.select("doc_id"), "doc_id", "left_semi")
+
+    def by(rows: DataFrame, version: str) -> DataFrame:
+        return rows.select("source", "lang", F.lit(version).alias("tokenizer"), F.col(version.split("-")[0]).alias("tokens"))
+
     totals = rollups.TokenRollup(spark, new_folder(spark, "rollup"))
-    totals.apply("load", rollups.inserts(words))
+    totals.apply("load", rollups.inserts(by(counts, "words-1")))
     for _ in range(2):
-        totals.apply("copies", rollups.deletes(copies))
-    totals.apply("toxic", rollups.deletes(singles.join(toxic, "doc_id", "left_semi")))
+        totals.apply("copies", rollups.deletes(by(counts.join(first, "doc_id", "left_anti"), "words-1")))
+    totals.apply("toxic", rollups.deletes(by(singles.join(toxic, "doc_id", "left_semi"), "words-1")))
     for _ in range(2):
-        totals.apply("pieces", rollups.revisions(left, rollups.counted(anew, "pieces-1")))
+        totals.apply("pieces", rollups.revisions(by(left, "words-1"), by(left, "pieces-1")))
     return totals.totals()
 
 
