@@ -29,9 +29,6 @@ LINE_ORDER = [
     "l_shipdate", "l_linestatus",
 ]
 
-# Numbered lines are imported once per session and folder.
-_imported: dict[tuple[str, str], DataFrame] = {}
-
 
 def _case(*branches: tuple[Column, Column], otherwise: Column) -> Column:
     column = F.when(*branches[0])
@@ -111,12 +108,8 @@ class StarTables:
 
     @cached_property
     def _numbered_lines(self) -> DataFrame:
-        """The lines with ids 1..n: a sort of the whole table, done once as an import."""
-        key = (self.spark.conf.get("spark.app.id", ""), self.folder)
-        if key not in _imported:
-            lines = self.raw("lineitem").select(*LINE_ORDER)
-            _imported[key] = number_rows(lines, LINE_ORDER, "line_id")
-        return _imported[key]
+        """The lines with ids 1..n: a sort of the whole table, done by each query that needs the ids."""
+        return number_rows(self.raw("lineitem").select(*LINE_ORDER), LINE_ORDER, "line_id")
 
     @cached_property
     def order_items(self) -> DataFrame:
