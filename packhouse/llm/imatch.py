@@ -5,10 +5,11 @@ The terms of a text are its distinct words in lower case, cut at white space and
 frequency, far below the band at any number of documents. The lexicon has the terms whose inverse document frequency lies in a band, that is, which are in at least `RARE` and at
 most `COMMON` of all documents. Randomised subsets of the lexicon are drawn at several rates: at each rate the terms are
 dealt by a hash into `SUBSETS` * 4^rate parts, and the first `SUBSETS` parts are the subsets. The fingerprint has one hash for
-each subset, of the sorted terms that the text has of it; 0 where it has none.
+each subset, of the sorted terms that the text has of it; 0 where it has none. A text without any term of the lexicon is
+fingerprinted by all its terms instead, so that only texts without words have an empty fingerprint.
 
 Likeness of two fingerprints: at the finest rate at which enough subsets are not empty in both, the share of these that agree.
-Equal fingerprints have likeness 1; a fingerprint without any term has likeness 0 to all others.
+Equal fingerprints have likeness 1; an empty one has likeness 0 to all others.
 
 The lexicon is the only thing sent to all tasks, as a bitmap of 2^TERM_BITS bits; it has at most (mean number of terms of a
 text) / RARE entries, whatever the number of documents.
@@ -85,9 +86,11 @@ def subset_hashes(rates: list[Column]) -> Column:
     return F.flatten(F.array(*[rate(own) for own in rates]))
 
 
-def with_hashes(df: DataFrame, known: str) -> DataFrame:
-    """`df` with the terms of the lexicon in column `known` replaced by the subset hashes."""
+def with_hashes(df: DataFrame, known: str, words: list[int]) -> DataFrame:
+    """`df` with the terms in column `known` replaced by the subset hashes."""
     rates = [f"_rate{i}" for i in range(RATES)]
+    df = df.withColumn("_kept", in_lexicon(F.col(known), words)).withColumn(
+        known, F.when(F.size("_kept") > 0, F.col("_kept")).otherwise(F.col(known))).drop("_kept")
     return df.withColumns(dict(zip(rates, dealt(F.col(known))))).withColumn(
         known, subset_hashes([F.col(c) for c in rates])).drop(*rates)
 
@@ -150,8 +153,8 @@ def fingerprints(docs: DataFrame, rare: float = RARE, common: float = COMMON) ->
                             edited(F.col("text"), F.col("head")).alias("edited"))
     answers = answers.select(
         "doc_id", "mark", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        in_lexicon(terms(F.col("text")), words).alias("own"), in_lexicon(terms(F.col("edited")), words).alias("other"))
-    answers = with_hashes(with_hashes(answers, "own"), "other")
+        terms(F.col("text")).alias("own"), terms(F.col("edited")).alias("other"))
+    answers = with_hashes(with_hashes(answers, "own", words), "other", words)
     answers = materialize(answers.select(
         "doc_id", "mark", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"),
         fingerprint(F.col("other")).alias("edited_fingerprint"),

@@ -36,7 +36,7 @@ def terms(text):
 def hashes(text, words):
     out = []
     for level in range(imatch.RATES):
-        parts = {t: level_hash(t, level) % (imatch.SUBSETS * 4**level) for t in terms(text) & words}
+        parts = {t: level_hash(t, level) % (imatch.SUBSETS * 4**level) for t in (terms(text) & words) or terms(text)}
         for s in range(imatch.SUBSETS):
             own = sorted((s << 32) | t for t, p in parts.items() if p == s)
             out.append(chained(own) % 65535 + 1 if own else 0)
@@ -97,3 +97,10 @@ def test_small_tables(spark, rows):
     found = imatch.fingerprints(spark.createDataFrame(rows, ROWS)).collect()
     assert len(found) == len(rows)
     assert all(r.near_next == 1.0 and len(r.fingerprint) == 384 for r in found)
+
+
+def test_texts_without_common_words_differ(spark):
+    rows = [(1, "quite alone"), (2, "never seen"), (3, "quite alone"), (4, "...")]
+    found = {r.doc_id: r for r in imatch.fingerprints(spark.createDataFrame(rows, ROWS)).collect()}
+    assert found[1].fingerprint == found[3].fingerprint != found[2].fingerprint
+    assert found[3].near_next == 0.0 and set(found[4].fingerprint) == {"0"}
