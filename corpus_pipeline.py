@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from packhouse.llm import bpe, decontaminate, simhash, substrings, toxicity
 from packhouse.llm.queries import public_vocabulary, table
+from packhouse.llm.ship import shipped
 from packhouse.sources.shared import materialize
 
 
@@ -37,18 +38,18 @@ def without_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with token ids, their number, and the text decoded from them (null stays null)."""
     ranks, pattern = public_vocabulary()
-    coded = bpe.decode(bpe.encode(docs, ranks, pattern), ranks, pattern)
+    coded = bpe.decode(bpe.encode(docs, ranks, pattern), ranks)
     text = F.when(F.col("text").isNotNull(), F.col("decoded").cast("string")).alias("text")
     return coded.select(*[text if c == "text" else F.col(c) for c in docs.columns if c not in ("ids", "n_tokens")],
                         "ids", F.size("ids").cast("long").alias("n_tokens"))
 
 
 STAGES = [
-    ("toxicity", without_toxic),
-    ("simhash_near_dedup", without_near_copies),
-    ("substring_dedup", without_repeated_passages),
-    ("benchmark_decontamination", without_benchmark_passages),
-    ("byte_level_bpe", encoded),
+    ("toxicity", shipped(without_toxic)),
+    ("simhash_near_dedup", shipped(without_near_copies)),
+    ("substring_dedup", shipped(without_repeated_passages)),
+    ("benchmark_decontamination", shipped(without_benchmark_passages)),
+    ("byte_level_bpe", shipped(encoded)),
 ]
 
 #: Recompression, trained scores and merges are beyond SQL; tests compare the stages with brute force.

@@ -10,7 +10,6 @@ the same order from a heap, so no length is refused.
 from __future__ import annotations
 
 import base64
-import hashlib
 import heapq
 from collections.abc import Iterator
 from itertools import chain
@@ -26,7 +25,7 @@ from packhouse.llm.words import MIX_1, slices
 
 LONG = 256
 #: Encoded matches kept between slices of a task.
-CACHE = 400_000
+CACHE = 200_000
 NONE = np.int32(2**31 - 1)
 
 
@@ -35,7 +34,7 @@ class PairTable:
 
     def __init__(self, left: np.ndarray, right: np.ndarray, joined: np.ndarray) -> None:
         keys = (left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)
-        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.bits = max(4, int(2 * len(keys)).bit_length())
         self.keys = np.full(1 << self.bits, np.uint64(2**64 - 1))
         self.values = np.full(1 << self.bits, NONE)
         waiting, slot = np.arange(len(keys)), self._slot(keys)
@@ -75,10 +74,6 @@ class Vocabulary:
                  if (a := t[:i]) in ranks and (b := t[i:]) in ranks]
         self.pairs = PairTable(*np.array(found or np.zeros((0, 3)), np.int64).T.astype(np.int32))
         self.tokens = {r: t for t, r in ranks.items()}
-        size = max(ranks.values()) + 1
-        self.lengths = np.array([len(self.tokens.get(i, b"")) for i in range(size)], np.int64)
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        self.flat = np.frombuffer(b"".join(self.tokens.get(i, b"") for i in range(size)), np.uint8)
 
     def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places of the pieces in an order of our own, the number of ids of each, and all ids in that order."""
@@ -97,7 +92,7 @@ class Vocabulary:
         sizes = [[len(x) for x in ids]]
         for members in buckets.values():
             width = max(len(pieces[i]) for i in members)
-            step = max(1, 1_000_000 // width)
+            step = max(1, 500_000 // width)
             for at in range(0, len(members), step):
                 some = members[at:at + step]
                 counts, flat = self._merge_rows([pieces[i] for i in some], width)
@@ -178,14 +173,26 @@ def read_ranks(path: str) -> bytes:
         return file.read()
 
 
-_loaded: dict[tuple[str, str], Vocabulary] = {}
+def parsed(ranks: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
 
 
 def vocabulary(ranks: bytes, pattern: str) -> Vocabulary:
-    key = (hashlib.sha256(ranks).hexdigest(), pattern)
-    if key not in _loaded:
-        _loaded[key] = Vocabulary({base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}, pattern)
-    return _loaded[key]
+    """Built anew by each task, in about half a second: idle Python workers should hold no tables."""
+    return Vocabulary(parsed(ranks), pattern)
+
+
+class Decoder:
+    """The bytes of all tokens in a row, by id."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        size = max(ranks.values()) + 1
+        tokens = [b""] * size
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        self.lengths = np.array([len(t) for t in tokens], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
 
 
 class Encoder:
@@ -236,7 +243,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, out: str = "ids") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary(ranks, pattern))
-        for part in slices(batches, text, 1_000_000):
+        for part in slices(batches, text, 600_000):
             ids, counts = encoder([t or "" for t in part.column(text).to_pylist()])
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -246,13 +253,13 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, out: str = "ids") -> Dat
     return docs.mapInArrow(run, docs.withColumn(out, F.lit(None).cast("array<int>")).schema)
 
 
-def decode(rows: DataFrame, ranks: bytes, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+def decode(rows: DataFrame, ranks: bytes, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """`rows` with the bytes that the token ids in column `ids` stand for in column `out`; null ids give no bytes."""
     rows = rows.drop(out)
     at = rows.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = vocabulary(ranks, pattern)
+        own = Decoder(parsed(ranks))
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)

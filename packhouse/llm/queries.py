@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from packhouse.llm import (
     bpe, decontaminate, imatch, language, maincontent, rollups, simhash, substrings, toxicity, warc)
+from packhouse.llm.ship import shipped
 from packhouse.sources.shared import materialize, new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,7 +49,7 @@ def op6_imatch_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 def op7_byte_level_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ranks, pattern = public_vocabulary()
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    coded = bpe.decode(bpe.encode(docs, ranks, pattern).drop("text"), ranks, pattern)
+    coded = bpe.decode(bpe.encode(docs, ranks, pattern).drop("text"), ranks)
     return bpe.id_digests(coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids"))
 
@@ -125,7 +126,7 @@ def op10_main_content(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (
+    return {f.__name__: shipped(f) for f in (
         op1_benchmark_decontamination, op2_language_id, op3_substring_dedup, op4_toxicity, op5_simhash_near_duplicates,
         op6_imatch_fingerprints, op7_byte_level_bpe, op8_warc_archives, op9_token_rollups, op10_main_content)}
 

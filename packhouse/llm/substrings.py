@@ -33,7 +33,7 @@ from packhouse.llm.words import MIX_1, MIX_2, MIX_3, RangeHash, mix, slices, tex
 from packhouse.sources.shared import materialize
 
 WINDOW = 20
-SLICE = 1_000_000
+SLICE = 400_000
 FAR = 1 << 40
 
 

@@ -20,7 +20,7 @@ from packhouse.llm.words import MIX_1, mix, slices, texts_of, word_names
 
 DIMENSION_BITS = 22
 #: Most labelled documents of a class that are fitted on. A bound of the sample, not of what is scored.
-SAMPLE = {1: 4000, 0: 8000}
+SAMPLE = {1: 4000, 0: 6000}
 ALPHA, BETA, L1, L2, EPOCHS = 4.0, 1.0, 4.0, 0.0, 6
 THRESHOLD = 0.7
 _PLAIN = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
@@ -53,9 +53,9 @@ def fit_ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -
     def weights(zi, ni):
         return np.where(np.abs(zi) <= L1, 0.0, (np.sign(zi) * L1 - zi) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
 
-    rows = [np.append(r, size - 1) for r in rows]
     for _ in range(epochs):
-        for at, y in zip(rows, labels):
+        for row, y in zip(rows, labels):
+            at = np.append(row, size - 1)
             zi, ni = z[at], n[at]
             w = weights(zi, ni)
             g = _sigmoid(w.sum()) - y
@@ -77,9 +77,10 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _fit(sample: pa.Table) -> dict[str, np.ndarray]:
     ids = np.array(sample["doc_id"].to_pylist(), np.int64)
     order = np.lexsort((np.arange(len(ids)), ids, mix(ids.view(np.uint64))))
-    features = sample["features"].to_pylist()
+    # Views of the column's own memory, which is the only copy of the features.
+    features = [np.frombuffer(x.as_buffer(), np.int32) for x in sample["features"]]
     labels = sample["label"].to_pylist()
-    return fit_ftrl([np.frombuffer(features[i], np.int32) for i in order], np.array([labels[i] for i in order], float))
+    return fit_ftrl([features[i] for i in order], np.array([labels[i] for i in order], float))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = None) -> dict[str, np.ndarray]:
@@ -101,14 +102,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | No
 
 
 def _dense(model: dict[str, np.ndarray]) -> np.ndarray:
-    dense = np.zeros((1 << DIMENSION_BITS) + 1)
+    dense = np.zeros((1 << DIMENSION_BITS) + 1, np.float32)
     dense[model["index"]] = model["weight"]
     return dense
 
 
 def _score(dense: np.ndarray, texts: list[bytes]) -> np.ndarray:
     index, counts = coordinates(texts)
-    sums = np.concatenate([[0.0], np.cumsum(dense[index])])
+    sums = np.concatenate([[0.0], np.cumsum(dense[index], dtype=np.float64)])
     ends = np.cumsum(counts)
     return _sigmoid(sums[ends] - sums[ends - counts] + dense[-1])
 

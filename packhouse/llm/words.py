@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 400_000
 MIX_1 = np.uint64(0x9E3779B97F4A7C15)
 MIX_2 = np.uint64(0xBF58476D1CE4E5B9)
 MIX_3 = np.uint64(0x94D049BB133111EB)

@@ -32,7 +32,7 @@ def texts():
 def test_ids_equal_the_library_and_decoding_returns_the_text(spark, ranks, brute):
     rows = [(i, t, "x") for i, t in enumerate(texts())] + [(1, "", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
-    found = bpe.decode(bpe.encode(docs, ranks, public.PATTERN), ranks, public.PATTERN)
+    found = bpe.decode(bpe.encode(docs, ranks, public.PATTERN), ranks)
     assert found.columns == ["doc_id", "text", "ids", "decoded"]
     answers = found.collect()
     assert len(answers) == len(rows)
@@ -77,5 +77,5 @@ def test_empty_table_and_null_ids(spark, ranks):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.encode(none, ranks, public.PATTERN).collect() == []
     ids = spark.createDataFrame([(1, None), (2, []), (3, [65])], "doc_id long, ids array<int>")
-    assert [bytes(r.decoded) for r in bpe.decode(ids, ranks, public.PATTERN).orderBy("doc_id").collect()] == [
+    assert [bytes(r.decoded) for r in bpe.decode(ids, ranks).orderBy("doc_id").collect()] == [
         b"", b"", bpe.vocabulary(ranks, public.PATTERN).tokens[65]]
