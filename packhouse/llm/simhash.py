@@ -25,6 +25,8 @@ from packhouse.sources.shared import materialize
 
 SEGMENTS, BITS = 8, 8
 BUCKET = 512
+# Columns that no table of documents should have.
+OWN_ID, OWN_PLACE = "__simhash_id", "__simhash_place"
 LANES = np.uint64(0x0101010101010101)
 
 
@@ -180,8 +182,8 @@ def one_per_group(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataF
     Of rows that share a doc_id one stays, the one whose text has the smallest hash. Rows without doc_id all stay.
     """
     groups = simhash_groups(docs, shingle, distance)
-    named = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    found = docs.withColumn("_id", F.col("doc_id").cast("long")).join(named, "_id", "left_semi")
-    place = F.row_number().over(Window.partitionBy("_id").orderBy(F.xxhash64("text")))
-    found = found.withColumn("_place", place).filter("_place = 1")
+    named = groups.filter("doc_id = component_id").select(F.col("doc_id").alias(OWN_ID)).distinct()
+    found = docs.withColumn(OWN_ID, F.col("doc_id").cast("long")).join(named, OWN_ID, "left_semi")
+    place = F.row_number().over(Window.partitionBy(OWN_ID).orderBy(F.xxhash64("text")))
+    found = found.withColumn(OWN_PLACE, place).filter(F.col(OWN_PLACE) == 1)
     return found.select(docs.columns).unionByName(docs.filter("doc_id is null"))

@@ -226,9 +226,9 @@ class _Told:
 
     def __init__(self, part: pa.RecordBatch, texts: list[bytes], window: int) -> None:
         self.units = units = Units(texts, window)
-        self.repeated = _member(units.row, units.whole, *_swap(_list(part, "_repeated")))
-        told_first = _member(units.row, units.whole, *_swap(_list(part, "_first")))
-        self.mixed = _member(units.row, units.whole, *_swap(_list(part, "_mixed")))
+        self.repeated = _member(units.row, units.whole, *_swap(_list(part, "__repeated")))
+        told_first = _member(units.row, units.whole, *_swap(_list(part, "__first")))
+        self.mixed = _member(units.row, units.whole, *_swap(_list(part, "__mixed")))
         # The first of equal units of the text.
         earliest = np.zeros(len(units.row), bool)
         earliest[_distinct(units.row, units.core, units.whole)] = True
@@ -261,7 +261,7 @@ def _covered(part: pa.RecordBatch, texts: list[bytes], window: int) -> tuple[Uni
     at, _, _ = units.windows(np.flatnonzero(told.repeated & ~told.first))
     single, names, unit = units.windows(np.flatnonzero(told.mixed))
     rows = units.row[unit]
-    first = _member(rows, names, *_swap(_list(part, "_windows")))
+    first = _member(rows, names, *_swap(_list(part, "__windows")))
     earliest = np.zeros(len(rows), bool)
     earliest[_distinct(rows, units.core[unit], names)] = True
     at = np.concatenate([at, single[~(first & earliest)]])
@@ -332,15 +332,15 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     facts = shared.select("doc_id", "whole", F.lit(0).alias("kind")).unionByName(
         first.select("doc_id", "whole", F.when(F.col("mixed"), 2).otherwise(1).alias("kind")))
     told = materialize(facts.groupBy("doc_id").agg(
-        F.collect_list(F.when(F.col("kind") == 0, F.col("whole"))).alias("_repeated"),
-        F.collect_list(F.when(F.col("kind") > 0, F.col("whole"))).alias("_first"),
-        F.collect_list(F.when(F.col("kind") == 2, F.col("whole"))).alias("_mixed")), "told")
-    singles = _packed(texts).join(told.filter(F.size("_mixed") > 0), "doc_id").mapInArrow(
+        F.collect_list(F.when(F.col("kind") == 0, F.col("whole"))).alias("__repeated"),
+        F.collect_list(F.when(F.col("kind") > 0, F.col("whole"))).alias("__first"),
+        F.collect_list(F.when(F.col("kind") == 2, F.col("whole"))).alias("__mixed")), "told")
+    singles = _packed(texts).join(told.filter(F.size("__mixed") > 0), "doc_id").mapInArrow(
         _single_windows(window), "doc_id long, core long, name long")
     wins = singles.groupBy("core", "name").agg(F.min("doc_id").alias("doc_id"))
-    wins = wins.groupBy("doc_id").agg(F.collect_list("name").alias("_windows"))
-    known = told.join(wins, "doc_id", "left").withColumnRenamed("doc_id", "_id")
-    joined = _packed(docs).join(known, F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
+    wins = wins.groupBy("doc_id").agg(F.collect_list("name").alias("__windows"))
+    known = told.join(wins, "doc_id", "left").withColumnRenamed("doc_id", "__id")
+    joined = _packed(docs).join(known, F.col("doc_id").cast("long") == F.col("__id"), "left").drop("__id")
     schema = docs.selectExpr("*", "0L as n_words", "0L as n_removed", "'' as kept").schema
     return joined.mapInArrow(_cut(columns, columns.index("text"), window), schema)
 

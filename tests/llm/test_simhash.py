@@ -4,7 +4,7 @@ import pytest
 import xxhash
 
 from packhouse.llm.components import stars
-from packhouse.llm.simhash import near_links, simhash_groups
+from packhouse.llm.simhash import near_links, one_per_group, simhash_groups
 
 ROWS = "doc_id long, text string"
 
@@ -103,3 +103,10 @@ def test_missing_ids_repeated_rows_and_other_columns(spark):
     found = simhash_groups(spark.createDataFrame(rows, "doc_id long, text string, fp int")).collect()
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in found) == [(-1, -1), (-1, 7), (7, 7), (7, 7)]
     assert simhash_groups(spark.createDataFrame([], ROWS)).collect() == []
+
+
+def test_one_row_of_each_group_with_all_its_columns(spark):
+    rows = [(3, "x y z", 1), (7, "x  y z", 2), (3, "x y z", 1), (None, "q", 4), (8, "other words here", 5)]
+    kept = one_per_group(spark.createDataFrame(rows, "doc_id long, text string, _id int"))
+    assert kept.columns == ["doc_id", "text", "_id"]
+    assert sorted((r.doc_id or 0, r._id) for r in kept.collect()) == [(0, 4), (3, 1), (8, 5)]

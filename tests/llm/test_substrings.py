@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from packhouse.llm.substrings import Units, representatives, without_repeats
+from packhouse.llm.substrings import Units, cut_repeats, representatives, without_repeats
 from packhouse.llm.words import word_names
 
 ROWS = "doc_id long, text string, n_words string"
@@ -90,3 +90,11 @@ def test_units_are_few():
 
 def test_empty_table(spark):
     assert without_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_columns_with_names_of_our_own(spark):
+    docs = spark.createDataFrame([(1, "a " * 30, 5, [1], 7)], "doc_id long, text string, _id int, _first array<int>, n_words int")
+    (row,) = without_repeats(docs).collect()
+    assert (row._id, row._first, row.n_words) == (5, [1], 30)
+    (row,) = cut_repeats(docs).collect()
+    assert (row._id, row._first, row.n_words) == (5, [1], 7)
