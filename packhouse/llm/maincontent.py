@@ -51,7 +51,7 @@ SAMPLE, ROUNDS, RATE, DECAY = 2000, 400, 0.5, 1e-3
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'">]++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)""",
     re.DOTALL)
-_NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 _PARTS = re.compile(r"[^a-z0-9]+")
 
 
@@ -71,6 +71,14 @@ class _Open:
         self.tag, self.number, self.prior, self.dropped, self.linked = tag, number, prior, dropped, linked
 
 
+def _attributes(inside: str) -> dict[str, str]:
+    """Lower-case names and values of a tag, each value read whole; of a repeated name the first counts."""
+    out: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(inside):
+        out.setdefault(name.lower(), "".join(values).lower())
+    return out
+
+
 def _prior(tag: str, attributes: str, above: _Open) -> int:
     """1 inside the nearest sign of content, -1 inside the nearest of boilerplate, 0 without one."""
     if tag in CONTENT:
@@ -80,10 +88,11 @@ def _prior(tag: str, attributes: str, above: _Open) -> int:
     else:
         own = above.prior
     if attributes:
-        for name, value in _NAMES.findall(attributes):
-            name, value = name.lower(), value.strip("\"'").lower()
+        for name, value in _attributes(attributes).items():
             if name == "hidden" or name == "aria-hidden" and value == "true":
                 return -1
+            if name not in ("class", "id", "role"):
+                continue
             words = set(_PARTS.split(value))
             if name == "role":
                 own = -1 if value in BOILERPLATE_ROLES else 1 if value in ("main", "article") else own

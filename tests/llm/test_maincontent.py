@@ -88,3 +88,14 @@ def test_long_and_broken_pages_end():
     assert main_text("<p>" + "word " * 60000, NONE) in ("", ("word " * 60000).strip())
     for piece in ("<a href='", "<", "&", "<p ", "<!--", "<script>"):
         assert len(main_text(piece * 2000, NONE)) <= 2000 * len(piece)
+
+
+@pytest.mark.parametrize(("attributes", "kept"), [
+    ('style="overflow: hidden"', True), ("style='overflow: hidden; x'", True), ('title="The hidden cost"', True),
+    ('title="a class=ad b"', True), ("data-x=hidden", True), ("title='say \" hidden \"'", True), ('title = " id=nav "', True),
+    ("hidden", False), ("HIDDEN=''", False), ('title="x"hidden', False), ("a=b hidden /", False), ("aria-hidden = 'true'", False),
+    ("aria-hidden=true", False), ("aria-hidden=false", True), ('class="" hidden', False), ("x=/hidden", True),
+])
+def test_only_names_of_attributes_hide(attributes, kept):
+    page = f"<div {attributes}><article><p>One.</p></article></div><article><p>Two <a {attributes}>three</a> four.</p></article>"
+    assert main_text(page, NONE) == ("One.\n\nTwo three four." if kept else "One.\n\nTwo\n\nfour.")
