@@ -5,6 +5,9 @@ for either label; the cost becomes a capacity to one of two terminals. Blocks th
 document tree, are joined by smoothness edges, weaker the further apart they are. The minimum cut between the terminals
 separates content from boilerplate.
 
+Landmarks are tags and roles, and settle their blocks. Class and id names are only signs: a name that opposes the landmark
+around it suspends it, and weighs less than the classifier at its surest, so that prose, links and smoothness can outweigh it.
+
 The classifier sees length, links, punctuation, tag and place of a block. Its labels come from pages with landmarks (`article` or
 `nav`, for instance) in a bounded sample; no page needs labels of its own.
 """
@@ -44,7 +47,11 @@ BOILERPLATE_NAMES = set(
     "header masthead share sharing social related recommended newsletter subscribe signup login search pagination toolbar".split())
 BOILERPLATE_ROLES = set("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+
 LANDMARK, CLASSIFIER = 6.0, 2.0
+#: Of a name that is on a list as a whole, and of one with a part that is.
+NAME, NAME_PART = 1.0, 0.25
 ADJACENT, PROXIMITY = 1.0, 0.5
 SAMPLE, ROUNDS, RATE, DECAY = 2000, 400, 0.5, 1e-3
 
@@ -62,13 +69,14 @@ class Block:
     tag: str
     path: tuple[int, ...]
     prior: int
+    named: float = 0.0
 
 
 class _Open:
-    __slots__ = ("tag", "number", "prior", "dropped", "linked")
+    __slots__ = ("tag", "number", "prior", "named", "dropped", "linked")
 
-    def __init__(self, tag: str, number: int, prior: int, dropped: bool, linked: bool) -> None:
-        self.tag, self.number, self.prior, self.dropped, self.linked = tag, number, prior, dropped, linked
+    def __init__(self, tag: str, number: int, prior: int, named: float, dropped: bool, linked: bool) -> None:
+        self.tag, self.number, self.prior, self.named, self.dropped, self.linked = tag, number, prior, named, dropped, linked
 
 
 def _attributes(inside: str) -> dict[str, str]:
@@ -79,34 +87,53 @@ def _attributes(inside: str) -> dict[str, str]:
     return out
 
 
-def _prior(tag: str, attributes: str, above: _Open) -> int:
-    """1 inside the nearest sign of content, -1 inside the nearest of boilerplate, 0 without one."""
-    if tag in CONTENT:
-        own = 1
-    elif tag in BOILERPLATE and not (tag == "header" and above.prior > 0):
-        own = -1
-    else:
-        own = above.prior
-    if attributes:
-        for name, value in _attributes(attributes).items():
-            if name == "hidden" or name == "aria-hidden" and value == "true":
-                return -1
-            if name not in ("class", "id", "role"):
-                continue
-            words = set(_PARTS.split(value))
-            if name == "role":
-                own = -1 if value in BOILERPLATE_ROLES else 1 if value in ("main", "article") else own
-            elif words & BOILERPLATE_NAMES and tag not in ("body", "html", "article", "main"):
-                return -1
-            elif words & CONTENT_NAMES:
-                own = 1
-    return own
+def _sign(name: str) -> float:
+    """NAME for a name of content, -NAME for one of boilerplate, as a whole or in all its parts; NAME_PART where some
+    parts are; 0 where parts speak for both or none does."""
+    parts = [x for x in _PARTS.split(name) if x]
+    whole = {"".join(parts)}
+    for names, sign in ((CONTENT_NAMES, 1), (BOILERPLATE_NAMES, -1)):
+        if parts and (whole <= names or names.issuperset(parts)):
+            return sign * NAME
+    some = (not CONTENT_NAMES.isdisjoint(parts)) - (not BOILERPLATE_NAMES.isdisjoint(parts))
+    return some * NAME_PART
+
+
+def _named(tag: str, attributes: dict[str, str]) -> float:
+    """The strongest sign among class names and id; 0 where the strongest oppose each other."""
+    # The id of a heading is made from its words.
+    names = attributes.get("class", "").split() + ([] if tag in HEADINGS else attributes.get("id", "").split())
+    signs = [_sign(x) for x in names] or [0.0]
+    high, low = max(0.0, *signs), min(0.0, *signs)
+    return 0.0 if high == -low else max(high, low, key=abs)
+
+
+def _prior(tag: str, inside: str, above: _Open) -> tuple[int, float]:
+    """The landmark, 1 inside the nearest sign of content, -1 inside the nearest of boilerplate, 0 without one or where a
+    nearer name opposes it; and what the nearest name says since that landmark."""
+    attributes = _attributes(inside) if inside else {}
+    if "hidden" in attributes or attributes.get("aria-hidden") == "true":
+        return -1, 0.0
+    role = attributes.get("role", "")
+    if role in BOILERPLATE_ROLES:
+        return -1, 0.0
+    if role in ("main", "article") or tag in CONTENT:
+        return 1, 0.0
+    own, named = above.prior, above.named
+    if tag in BOILERPLATE and not (tag == "header" and (own > 0 or named > 0)):
+        own, named = -1, 0.0
+    sign = _named(tag, attributes) if attributes else 0.0
+    if sign < 0 and tag in ("body", "html") or abs(sign) < (NAME if tag in HEADINGS else abs(named)):
+        sign = 0.0
+    if sign:
+        return (own if own * sign > 0 else 0), sign
+    return own, named
 
 
 def blocks(page: str) -> list[Block]:
     """Blocks of text in page order. Character references are decoded and white space is one space."""
     out: list[Block] = []
-    stack = [_Open("", 0, 0, False, False)]
+    stack = [_Open("", 0, 0, 0.0, False, False)]
     pieces: list[str] = []
     linked, number, at = 0, 0, 0
 
@@ -117,7 +144,7 @@ def blocks(page: str) -> list[Block]:
             if text:
                 owner = next((e for e in reversed(stack) if e.tag in BLOCK), stack[0])
                 path = tuple(e.number for e in stack if e.tag in BLOCK)
-                out.append(Block(text, linked, owner.tag, path, stack[-1].prior))
+                out.append(Block(text, linked, owner.tag, path, stack[-1].prior, stack[-1].named))
             pieces.clear()
         linked = 0
 
@@ -131,7 +158,7 @@ def blocks(page: str) -> list[Block]:
                 linked += len(text.strip())
 
     def close(depth: int) -> None:
-        if any(e.tag in BLOCK or e.prior != stack[depth - 1].prior for e in stack[depth:]):
+        if any(e.tag in BLOCK or (e.prior, e.named) != (stack[depth - 1].prior, stack[depth - 1].named) for e in stack[depth:]):
             flush()
         del stack[depth:]
 
@@ -175,12 +202,12 @@ def blocks(page: str) -> list[Block]:
                     break
         number += 1
         top = stack[-1]
-        prior = _prior(tag, found[3] or "", top)
-        if tag in BLOCK or prior != top.prior:
+        prior, named = _prior(tag, found[3] or "", top)
+        if tag in BLOCK or (prior, named) != (top.prior, top.named):
             flush()
         if (found[3] or "").endswith("/") and tag not in BLOCK and tag not in RAW and tag != "a":
             continue
-        stack.append(_Open(tag, number, prior, top.dropped or tag in DROPPED, top.linked or tag == "a"))
+        stack.append(_Open(tag, number, prior, named, top.dropped or tag in DROPPED, top.linked or tag == "a"))
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.IGNORECASE).search(page, at)
             at = end.start() if end else len(page)
@@ -217,7 +244,8 @@ def _fit(sample: pa.Table) -> dict[str, np.ndarray]:
     if not parsed:
         return {"weights": np.zeros(10)}
     x = np.concatenate([features(p) for p in parsed])
-    prior = np.array([b.prior for p in parsed for b in p])
+    # Where names stand alone they label, too.
+    prior = np.array([b.prior or (abs(b.named) == NAME) * b.named for p in parsed for b in p])
     return {"weights": fit_classifier(x[prior != 0], (prior[prior != 0] > 0).astype(float))}
 
 
@@ -231,7 +259,7 @@ def fit_blocks(pages: DataFrame, sample: int = SAMPLE) -> np.ndarray:
 def costs(page: list[Block], weights: np.ndarray) -> np.ndarray:
     """Per block, how much more it costs to call it boilerplate than content."""
     logit = np.clip(features(page) @ weights, -CLASSIFIER, CLASSIFIER)
-    return logit + LANDMARK * np.array([b.prior for b in page])
+    return logit + np.array([LANDMARK * b.prior + b.named for b in page])
 
 
 def _distance(a: tuple[int, ...], b: tuple[int, ...]) -> int:

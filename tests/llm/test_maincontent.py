@@ -99,3 +99,36 @@ def test_long_and_broken_pages_end():
 def test_only_names_of_attributes_hide(attributes, kept):
     page = f"<div {attributes}><article><p>One.</p></article></div><article><p>Two <a {attributes}>three</a> four.</p></article>"
     assert main_text(page, NONE) == ("One.\n\nTwo three four." if kept else "One.\n\nTwo\n\nfour.")
+
+
+PROSE = "Some words of prose, quite a few of them, and they go on. " * 4
+LINKS = "".join(f"<li><a href='/{i}'>link {i}</a></li>" for i in range(6))
+
+
+@pytest.fixture(scope="module")
+def fitted():
+    known = blocks(f"<nav><ul>{LINKS}</ul></nav><article><h1>Title</h1>{f'<p>{PROSE}</p>' * 4}</article><footer>x</footer>")
+    return fit_classifier(features(known), np.array([b.prior > 0 for b in known], float))
+
+
+@pytest.mark.parametrize(("opening", "closing"), [
+    ("<h2 id='related-work'>", "</h2>"), ("<h2 id=search>", "</h2>"), ("<h3 id='notice'>", "</h3>"),
+    ("<h2 class='section-header'>", "</h2>"), ("<div class='entry-header'><h1>", "</h1></div>"),
+    ("<div class='page-header'><h1>", "</h1></div>"), ("<section id='related-work'><p>", f"{PROSE}</p></section>"),
+    ("<section id='search'><p>", f"{PROSE}</p></section>"), ("<p class='notice'>", f"{PROSE}</p>"),
+])
+def test_names_inside_an_article_do_not_settle_a_block(fitted, opening, closing):
+    page = f"<article><p>{PROSE}</p>{opening}Kept: {closing}<p>{PROSE}</p></article>"
+    assert "Kept:" in main_text(page, fitted) and main_text(page, fitted).count(PROSE.strip()) == page.count(PROSE)
+
+
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "has-sidebar", "search", "social"])
+def test_names_around_a_page_without_landmarks_do_not_settle_it(fitted, name):
+    page = f"<body><ul>{LINKS}</ul><div class='{name}'>{f'<p>{PROSE}</p>' * 3}<ul>{LINKS}</ul></div></body>"
+    assert main_text(page, fitted) == "\n\n".join([PROSE.strip()] * 3)
+
+
+@pytest.mark.parametrize("name", ["share", "related-posts", "social-share", "sidebar widget", "ad"])
+def test_names_still_help_against_boilerplate(fitted, name):
+    page = f"<article><p>{PROSE}</p><div class='{name}'><ul>{LINKS}</ul></div><p>{PROSE}</p></article>"
+    assert main_text(page, fitted) == f"{PROSE.strip()}\n\n{PROSE.strip()}"
