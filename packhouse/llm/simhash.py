@@ -26,7 +26,7 @@ from packhouse.sources.shared import materialize
 SEGMENTS, BITS = 8, 8
 BUCKET = 512
 # Columns that no table of documents should have.
-OWN_ID, OWN_PLACE = "__simhash_id", "__simhash_place"
+OWN_NAME, OWN_OTHER, OWN_PLACE = "__simhash_name", "__simhash_other", "__simhash_place"
 LANES = np.uint64(0x0101010101010101)
 
 
@@ -56,6 +56,7 @@ def majority(h: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarra
 
 
 def _fingerprints(size: int):
+    """All columns but the text, which is the second one, and the fingerprint."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             own = [hashes(s, len(s)) for s in (shingles(t.lower().split(), size) for t in texts_of(part))]
@@ -63,7 +64,8 @@ def _fingerprints(size: int):
             out, some = np.zeros(len(own), np.uint64), counts > 0
             if some.any():
                 out[some] = majority(np.concatenate(own), (np.cumsum(counts) - counts)[some], counts[some])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
+            names = [n for n in part.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(out.view(np.int64))], [*names, "fp"])
     return run
 
 
@@ -158,6 +160,12 @@ def near_links(fps: DataFrame, distance: int = 2, bucket: int = BUCKET) -> DataF
     return groups.select("start", "members").mapInArrow(_links(distance), "a long, b long")
 
 
+def _rooted(fps: DataFrame, distance: int, bucket: int = BUCKET) -> DataFrame:
+    """Rows of distinct fingerprints `fp`, with the smallest fingerprint of the group as `root`."""
+    star = stars(near_links(fps.select("fp"), distance, bucket)).withColumnsRenamed({"a": "fp", "b": "root"})
+    return fps.join(star, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def simhash_groups(docs: DataFrame, shingle: int = 3, distance: int = 2, bucket: int = BUCKET) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, fingerprint (16 hex digits), component_id.
 
@@ -168,22 +176,33 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, distance: int = 2, bucket:
     """
     marked = materialize(fingerprints(docs, shingle), "simhash")
     fps = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprints")
-    star = stars(near_links(fps.select("fp"), distance, bucket)).withColumnsRenamed({"a": "fp", "b": "root"})
-    rooted = fps.join(star, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = _rooted(fps, distance, bucket)
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.select("fp", "root").join(lowest, "root").select("fp", "component_id")
     return marked.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _names() -> list[Column]:
+    """Two 64-bit hashes of id and text together; both tell a row without id from any with one."""
+    both = F.col("text").cast("string"), F.col("doc_id").cast("long")
+    return [F.xxhash64(*both).alias(OWN_NAME), F.xxhash64(F.lit(1), *both).alias(OWN_OTHER)]
+
+
 def one_per_group(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
-    """The rows of `docs`, all columns, that name their group: of each group the one with the smallest doc_id.
+    """One row of each group of `docs`, with all columns: the one with the smallest doc_id.
 
-    Of rows that share a doc_id one stays, the one whose text has the smallest hash. Rows without doc_id all stay.
+    If several texts of a group share that id, the one with the smallest fingerprint stays, then the one with the smallest hash;
+    of rows with equal id and text any one. A row without doc_id stays only where no row of its group has one. The same doc_id
+    in two groups stays in both.
     """
-    groups = simhash_groups(docs, shingle, distance)
-    named = groups.filter("doc_id = component_id").select(F.col("doc_id").alias(OWN_ID)).distinct()
-    found = docs.withColumn(OWN_ID, F.col("doc_id").cast("long")).join(named, OWN_ID, "left_semi")
-    place = F.row_number().over(Window.partitionBy(OWN_ID).orderBy(F.xxhash64("text")))
-    found = found.withColumn(OWN_PLACE, place).filter(F.col(OWN_PLACE) == 1)
-    return found.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    own = [OWN_NAME, OWN_OTHER]
+    marked = materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *_names()).mapInArrow(
+        _fingerprints(shingle), f"doc_id long, {OWN_NAME} long, {OWN_OTHER} long, fp long"), "simhash")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", *own))
+    fps = materialize(marked.groupBy("fp").agg(least.alias("first")), "fingerprints")
+    kept = _rooted(fps, distance).groupBy("root").agg(F.min("first").alias("first")).select(*[f"first.{c}" for c in own])
+    # Cut to one row in each task before the shuffle, which the join uses again.
+    place = F.row_number().over(Window.partitionBy(*own).orderBy(OWN_NAME))
+    found = docs.select("*", *_names()).withColumn(OWN_PLACE, place).filter(F.col(OWN_PLACE) == 1)
+    return found.join(kept, own, "left_semi").select(docs.columns)

@@ -2,6 +2,7 @@ import random
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from packhouse.llm.components import stars
 from packhouse.llm.simhash import near_links, one_per_group, simhash_groups
@@ -110,3 +111,14 @@ def test_one_row_of_each_group_with_all_its_columns(spark):
     kept = one_per_group(spark.createDataFrame(rows, "doc_id long, text string, _id int"))
     assert kept.columns == ["doc_id", "text", "_id"]
     assert sorted((r.doc_id or 0, r._id) for r in kept.collect()) == [(0, 4), (3, 1), (8, 5)]
+
+
+def test_each_group_keeps_one_row_whatever_the_ids(spark):
+    near, other, third = "a b c d e f", "quite another text than that", "and one more of its own kind"
+    rows = [(3, near, 1), (5, near, 2), (5, other, 3), (None, near, 4), (None, third, 5), (None, third, 6), (None, "alone here now", 7),
+            (9, None, 8), (9, "", 9), (3, third.upper() + " x", 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int")
+    for some in (docs, docs.repartition(7, "row"), docs.orderBy(F.desc("row"))):
+        kept = sorted(r.row for r in one_per_group(some).collect())
+        assert {1, 3, 7, 10} <= set(kept) and len(kept) == 6
+        assert len({5, 6} & set(kept)) == len({8, 9} & set(kept)) == 1
