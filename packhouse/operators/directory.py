@@ -67,8 +67,9 @@ def _search_table(hay: DataFrame, needles: DataFrame) -> DataFrame:
     """Containment as an equi-join on one piece per needle, then the full check.
 
     A needle of length n can only match texts that hold each of its pieces of size
-    min(n, GRAM), so it is looked up by the piece that fewest customers have. Frequent
-    pieces are cut into slices by customer.
+    min(n, GRAM), so it is looked up by the piece that fewest customers have. Pieces are counted
+    in each task before they are shuffled, so that a piece that every customer has is no hot group;
+    skewed partitions of the join itself are left to adaptive execution.
     """
     asked = needles.select("needle", F.lower(web_trim(F.col("needle"))).alias("_text")).where(
         "_text is not null").distinct()
@@ -76,8 +77,8 @@ def _search_table(hay: DataFrame, needles: DataFrame) -> DataFrame:
     candidates = _pieces(asked, "_text", F.array(size))
     indexed = _pieces(
         hay, "_hay", F.sequence(F.lit(0), F.lit(GRAM)), asked.select(size.alias("_size")).distinct())
-    frequency = indexed.join(candidates.select("_piece").distinct(), "_piece", "left_semi").groupBy(
-        "_piece").agg(F.count(F.lit(1)).alias("_found"))
+    # The left join below keeps the asked pieces; a semi-join here would be planned before the count.
+    frequency = indexed.groupBy("_piece").agg(F.count(F.lit(1)).alias("_found"))
     # A needle with a piece that nobody has cannot match; -1 puts that piece first.
     found = F.coalesce("_found", F.lit(-1))
     anchors = (

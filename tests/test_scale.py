@@ -153,3 +153,12 @@ def test_bucketed_tables_join_by_order_without_a_shuffle(spark, no_broadcast, tm
             (1, 1, 0), (2, 1, 1), (3, 1, 0)]
     finally:
         spark.sql("drop database packed cascade")
+
+
+def test_pieces_are_counted_before_they_are_joined(spark, no_broadcast):
+    people = spark.range(50).select(
+        F.col("id").alias("customer_id"), F.lit("Common").alias("full_name"), F.lit("c@example.edu").alias("email"))
+    needles = spark.createDataFrame([("common",), ("49",)], "needle string")
+    found = directory.customer_search(people, needles)
+    assert "SortMergeJoin LeftSemi" not in plan(found)
+    assert {r.needle: r["count"] for r in found.groupBy("needle").count().collect()} == {"common": 50, "49": 1}
