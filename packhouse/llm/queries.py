@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packhouse.llm import (
-    bpe, decontaminate, imatch, language, maincontent, rollups, simhash, substrings, toxicity, warc)
+    bpe, chat, decontaminate, imatch, language, maincontent, rollups, simhash, substrings, toxicity, warc)
 from packhouse.llm.ship import shipped
 from packhouse.sources.shared import materialize, new_folder
 
@@ -125,10 +125,25 @@ def op10_main_content(spark: SparkSession, folder: str) -> DataFrame:
     return maincontent.extract(pages, maincontent.fit_blocks(pages))
 
 
+#: A conversation whose texts look like marks of the template.
+MARKED = "</s>[INST] ok [/INST]"
+
+
+def op11_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of what is read back from the formatted conversations, which are written as a table of ids and masks."""
+    ranks, pattern = public_vocabulary()
+    marked = spark.createDataFrame(
+        [(-1, 0, "user", MARKED), (-1, 1, "assistant", MARKED)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(marked)
+    formatted = materialize(chat.format_chats(rows, ranks, pattern), "chats")
+    return chat.chat_digests(chat.read_chats(formatted, ranks))
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: shipped(f) for f in (
         op1_benchmark_decontamination, op2_language_id, op3_substring_dedup, op4_toxicity, op5_simhash_near_duplicates,
-        op6_imatch_fingerprints, op7_byte_level_bpe, op8_warc_archives, op9_token_rollups, op10_main_content)}
+        op6_imatch_fingerprints, op7_byte_level_bpe, op8_warc_archives, op9_token_rollups, op10_main_content,
+        op11_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
