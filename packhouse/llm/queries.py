@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packhouse.llm import (
-    bpe, chat, decontaminate, imatch, language, maincontent, rollups, simhash, substrings, toxicity, warc)
+    bpe, bursttrie, chat, decontaminate, imatch, language, maincontent, rollups, simhash, substrings, toxicity, warc)
 from packhouse.llm.ship import shipped
 from packhouse.sources.shared import materialize, new_folder
 
@@ -139,12 +139,68 @@ def op11_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return chat.chat_digests(chat.read_chats(formatted, ranks))
 
 
+def rebuilt(own: DataFrame) -> DataFrame:
+    """Sequences (conv_id, ids, chars) whose first h turns are those of the conversation that begins their hundred."""
+    h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6).cast("int")
+    firsts = own.filter("conv_id % 100 = 0").select(
+        F.col("conv_id").alias("hundred"), F.slice("ids", 1, 10).alias("first_ids"), F.slice("chars", 1, 5).alias("first_chars"))
+    joined = own.join(firsts, F.col("conv_id") - F.col("conv_id") % 100 == F.col("hundred"), "left")
+
+    def mixed(first: str, rest: str, width: int) -> F.Column:
+        taken = F.coalesce(F.slice(first, F.lit(1), h * width), F.slice(rest, 1, 0))
+        return F.concat(taken, F.slice(rest, h * width + 1, F.size(rest))).alias(rest)
+
+    return joined.select("conv_id", mixed("first_ids", "ids", 2), mixed("first_chars", "chars", 1))
+
+
+def op12_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    own = materialize(bursttrie.sequences(table(spark, folder, "conversations")), "sequences")
+    return bursttrie.prefix_trie(materialize(rebuilt(own), "rebuilt"))
+
+
+OP12_SQL = r"""
+with own as (
+  select conv_id, list(struct_pack(id := sha256(coalesce(role, '')) || sha256(coalesce(text, '')),
+                                   chars := length(coalesce(text, '')))
+                       order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as turns
+  from conversations where conv_id is not null group by conv_id),
+cut as (
+  select conv_id, turns, (4294967295 - list_reduce(range(0, 8 * length(cast(conv_id as varchar))),
+    lambda a, k: case when (xor(a, case when k % 8 = 0 then ascii(substr(cast(conv_id as varchar), 1 + k // 8, 1)) else 0 end) & 1) = 1
+      then xor(xor(a, case when k % 8 = 0 then ascii(substr(cast(conv_id as varchar), 1 + k // 8, 1)) else 0 end) >> 1, 3988292384)
+      else xor(a, case when k % 8 = 0 then ascii(substr(cast(conv_id as varchar), 1 + k // 8, 1)) else 0 end) >> 1 end,
+    4294967295)) % 6 as h
+  from own),
+convs as (
+  select c.conv_id, list_concat(coalesce(list_slice(b.turns, 1, c.h), []), list_slice(c.turns, c.h + 1, len(c.turns))) as turns
+  from cut c left join own b on b.conv_id = c.conv_id - c.conv_id % 100),
+passed as (
+  select conv_id, d, len(turns) as length, case when d = 0 then 0 else turns[d].chars end as chars,
+    sha256(array_to_string(list_transform(list_slice(turns, 1, d), lambda t: t.id), ',')) as node,
+    case when d > 0 then sha256(array_to_string(list_transform(list_slice(turns, 1, d - 1), lambda t: t.id), ',')) end as parent
+  from (select conv_id, turns, unnest(range(0, len(turns) + 1)) as d from convs)),
+nodes as (
+  select node, any_value(parent) as parent, any_value(d) as depth, min(conv_id) as conv_id, count(*) as n_convs,
+    any_value(chars) as chars,
+    sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (where length = d), '')) as ends_sha256
+  from passed group by node),
+children as (select parent, count(*) as n_children from nodes where parent is not null group by parent),
+sums as (
+  select p.node, count(*) filter (where c.n_children is null) as n_leaves, sum((n.n_convs - 1) * n.chars) as saved_tokens
+  from nodes n left join children c on c.parent = n.node join passed p on p.conv_id = n.conv_id and p.d <= n.depth
+  group by p.node)
+select n.conv_id, cast(n.depth as bigint) as depth, u.conv_id as parent_conv_id, n.n_convs,
+  coalesce(c.n_children, 0) as n_children, s.n_leaves, cast(s.saved_tokens as bigint) as saved_tokens, n.ends_sha256
+from nodes n join sums s on s.node = n.node left join nodes u on u.node = n.parent left join children c on c.parent = n.node
+"""
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: shipped(f) for f in (
         op1_benchmark_decontamination, op2_language_id, op3_substring_dedup, op4_toxicity, op5_simhash_near_duplicates,
         op6_imatch_fingerprints, op7_byte_level_bpe, op8_warc_archives, op9_token_rollups, op10_main_content,
-        op11_chat_formatting)}
+        op11_chat_formatting, op12_conversation_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc_archives": OP8_SQL, "op9_token_rollups": OP9_SQL}
+    return {"op8_warc_archives": OP8_SQL, "op9_token_rollups": OP9_SQL, "op12_conversation_trie": OP12_SQL}
