@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packhouse.llm import (
-    bpe, bursttrie, chat, decontaminate, imatch, language, maincontent, rollups, simhash, substrings, toxicity, warc)
+    align, bpe, bursttrie, chat, decontaminate, imatch, language, maincontent, rollups, simhash, substrings, toxicity, warc)
 from packhouse.llm.ship import shipped
 from packhouse.sources.shared import materialize, new_folder
 
@@ -195,11 +195,25 @@ from nodes n join sums s on s.node = n.node left join nodes u on u.node = n.pare
 """
 
 
+def op13_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts are tokenised once; groups are kept as digests, and linked pairs wait in a table until all are counted."""
+    import public_tokenizers
+
+    sides = [(kind, bpe.read_ranks(public_tokenizers.path(file))) for kind, file in (
+        ("byte_level", "byte_bpe_50k.json"), ("pieces", "piece_bpe_32k.model"))]
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    digest = F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
+    aligned = materialize(align.align(docs, *sides).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", digest.alias("groups_sha256"), "pairs", "pair_links"), "aligned")
+    counts = align.link_counts(aligned, align.vocabulary_size(sides[1]))
+    return align.with_counts(aligned, counts).drop("pairs", "pair_links")
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: shipped(f) for f in (
         op1_benchmark_decontamination, op2_language_id, op3_substring_dedup, op4_toxicity, op5_simhash_near_duplicates,
         op6_imatch_fingerprints, op7_byte_level_bpe, op8_warc_archives, op9_token_rollups, op10_main_content,
-        op11_chat_formatting, op12_conversation_trie)}
+        op11_chat_formatting, op12_conversation_trie, op13_tokenizer_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:

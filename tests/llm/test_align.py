@@ -1,0 +1,152 @@
+"""Alignments against a loop over the bytes of every token."""
+
+import hashlib
+import random
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from packhouse.llm import align, bpe, queries
+
+public = pytest.importorskip("public_tokenizers")
+pytest.importorskip("tokenizers")
+pytest.importorskip("sentencepiece")
+
+
+@pytest.fixture(scope="module")
+def sides():
+    return [(kind, bpe.read_ranks(public.path(file))) for kind, file in (
+        ("byte_level", "byte_bpe_50k.json"), ("pieces", "piece_bpe_32k.model"))]
+
+
+def brute_tokens(text):
+    """Ids and bytes of both vocabularies by the libraries, or nothing."""
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+
+    if not hasattr(brute_tokens, "own"):
+        first = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+        first.encode_special_tokens = True
+        ranks = bpe.parsed(bpe.read_ranks(public.path("byte_bpe_50k.tiktoken")))
+        brute_tokens.own = first, {r: t for t, r in ranks.items()}, SentencePieceProcessor(model_file=public.path("piece_bpe_32k.model"))
+    first, names, second = brute_tokens.own
+    if not text:
+        return [], [], [], []
+    a, b = first.encode(" " + text, add_special_tokens=False).ids, second.encode(text)
+    a_bytes = [names[i] for i in a]
+    b_bytes = [bytes([int(p[3:-1], 16)]) if p.startswith("<0x") and len(p) == 6 else p.replace("▁", " ").encode()
+               for p in map(second.id_to_piece, b)]
+    raw = (" " + text).encode()
+    return (a, b, a_bytes, b_bytes) if b"".join(a_bytes) == raw == b"".join(b_bytes) else ([], [], [], [])
+
+
+def brute(text):
+    """(n_a, n_b, groups as text, links as a counter of id pairs)."""
+    a, b, a_bytes, b_bytes = brute_tokens(text)
+
+    def spans(tokens):
+        at, out = 0, []
+        for t in tokens:
+            out.append((at, at + len(t)))
+            at += len(t)
+        return out
+
+    a_spans, b_spans = spans(a_bytes), spans(b_bytes)
+    shared = sorted({e for _, e in a_spans} & {e for _, e in b_spans})
+    groups, low = [], 0
+    for high in shared:
+        groups.append("|".join(",".join(str(i) for i, (s, e) in zip(ids, where) if low < e <= high)
+                               for ids, where in ((a, a_spans), (b, b_spans))))
+        low = high
+    links, j = Counter(), 0
+    for i, (s, e) in zip(a, a_spans):
+        while j < len(b_spans) and b_spans[j][1] <= s:
+            j += 1
+        k = j
+        while k < len(b_spans) and b_spans[k][0] < e:
+            links[i, b[k]] += 1
+            k += 1
+    return len(a), len(b), groups, links
+
+
+def texts():
+    pick = random.Random(9)
+    alphabet = "abcdefgh EFG  \n\t\x1c\x85\xa0éñ漢字😀'sre1235٣½.,!?́\x00▁"
+    words = "the quick brown fox über straße l'été don't 1234567 <|endoftext|> </s> <0x41> naïve space".split(" ")
+    fixed = [None, "", " ", "  ", "a" * 3000, " lead", "trail ", "▁", "a▁b", "\x00", "<s>", "ﬁ ① ﷺ", "é", "\n\n x", "words " * 3000]
+    return (fixed + ["".join(pick.choices(alphabet, k=pick.choice([1, 5, 60, 400]))) for _ in range(80)]
+            + [" ".join(pick.choices(words, k=pick.choice([1, 3, 40]))) for _ in range(80)])
+
+
+def checked(rows, expected):
+    counts = Counter()
+    for *_, links in expected:
+        counts.update(links)
+    most = defaultdict(int)
+    for (_, b), n in counts.items():
+        most[b] = max(most[b], n)
+    for r, (n_a, n_b, groups, links) in zip(rows, expected):
+        assert (r.n_a, r.n_b, r.n_groups, r.n_links) == (n_a, n_b, len(groups), sum(links.values()))
+        assert r.n_best == sum(n for p, n in links.items() if counts[p] == most[p[1]])
+        assert r.count_sum == sum(n * counts[p] for p, n in links.items())
+        yield r, groups, links
+
+
+@pytest.mark.parametrize("block_pairs", [align.BLOCK_PAIRS, 300])
+def test_equals_loops_over_bytes(spark, sides, block_pairs):
+    rows = [(i, t, "x", 3) for i, t in enumerate(texts())]
+    rows.append((len(rows), rows[-1][1], "x", 3))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, groups string, n_best int")
+    aligned = align.align(docs, *sides).persist()
+    n_b = align.vocabulary_size(sides[1])
+    found = align.with_counts(aligned, align.link_counts(aligned, n_b), block_pairs).orderBy("doc_id").collect()
+    assert len(found) == len(rows)
+    some = 0
+    for r, groups, links in checked(found, [brute(t) for _, t, _, _ in rows]):
+        assert r.groups == ";".join(groups)
+        assert dict(zip(r.pairs, r.pair_links)) == {a * n_b + b: n for (a, b), n in links.items()}
+        some += r.n_a > 0
+    assert 100 < some < len(rows)
+
+
+def test_windows_begin_at_spaces_and_are_worked_out_once(sides, monkeypatch):
+    aligner = align._Aligner(align.Side(*sides[0]), align.Side(*sides[1]))
+    worked = []
+    real = align.Windows._align
+    monkeypatch.setattr(align.Windows, "_align", lambda self, keys: (worked.extend(keys), real(self, keys)))
+    aligner(["the quick fox", "the slow fox"])
+    aligner(["fox the fox the"])
+    assert len(worked) == len(set(worked)) == 4
+
+
+def test_untrusted_hashes_and_forgetting_change_nothing(sides, monkeypatch):
+    some = [t for t in texts() if t]
+    make = lambda: align._Aligner(align.Side(*sides[0]), align.Side(*sides[1]))
+    whole = [x.to_pylist() for x in make()(some)]
+    monkeypatch.setattr(align, "CACHE", 0)
+    forgetful = make()
+    parts = [forgetful([t]) for t in some]
+    assert [sum((p[i].to_pylist() for p in parts), []) for i in range(7)] == whole
+    monkeypatch.setattr(align.Windows, "_same", staticmethod(lambda *_: False))
+    assert [x.to_pylist() for x in make()(some)] == whole
+    monkeypatch.undo()
+    # Names that all collide: the check of ids must notice.
+    monkeypatch.setattr(align, "mix", lambda x: np.zeros_like(x))
+    monkeypatch.setattr(align, "RangeHash", lambda s: lambda a, b: np.zeros(len(a), np.uint64))
+    assert [x.to_pylist() for x in make()(some)] == whole
+
+
+def test_query_digests(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text for r in queries.table(spark, folder, "documents").collect()}
+    found = {r.doc_id: r for r in queries.op13_tokenizer_alignment(spark, folder).collect()}
+    assert set(found) == set(docs)
+    for r, groups, _ in checked([found[i] for i in docs], [brute(t) for t in docs.values()]):
+        assert r.groups_sha256 == (hashlib.sha256(";".join(groups).encode()).hexdigest() if r.n_a else "")
+
+
+def test_empty_table(spark, sides):
+    none = align.align(spark.createDataFrame([], "doc_id long, text string"), *sides)
+    counts = align.link_counts(none, 7)
+    assert counts.collect() == [] and align.with_counts(none, counts).collect() == []
