@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from packhouse.sources.shared import materialize
 
 #: A container with more entries, or with more turns in several entries, bursts.
-MAX_ENTRIES = 5_000
+MAX_ENTRIES = 500
 MAX_TURNS = 200_000
 #: Conversation ids whose decimal text one row holds while members are hashed.
 ID_BLOCK = 1 << 16
