@@ -43,6 +43,34 @@ def publish(spark: SparkSession, path: str, text: str) -> bool:
     return True
 
 
+def _located(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def children(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the files and folders in `folder`, hidden ones left out; none if there is no such folder."""
+    system, target = _located(spark, folder)
+    names = [s.getPath().getName() for s in system.listStatus(target)] if system.exists(target) else []
+    return sorted(n for n in names if n[0] not in "._")
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """The text of one small file."""
+    system, target = _located(spark, path)
+    stream = system.open(target)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder; one that is not there is no error."""
+    system, target = _located(spark, path)
+    system.delete(target, True)
+
+
 class VersionedStore:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark = spark
@@ -96,9 +124,6 @@ class VersionedStore:
         if not newest:
             return
         named = {r.path.removeprefix("data/") for r in newest}
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        folder = hadoop.Path(f"{self.root}/data")
-        system = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        for status in system.listStatus(folder):
-            if status.getPath().getName() not in named:
-                system.delete(status.getPath(), True)
+        for name in children(self.spark, f"{self.root}/data"):
+            if name not in named:
+                delete(self.spark, f"{self.root}/data/{name}")

@@ -1,14 +1,17 @@
 """Order intake over arriving request files, each request applied once.
 
 A request is known by its id: one that a stored batch has decided is left out of later batches, whichever stream or
-checkpoint they come from. One writer at a time works on an output folder.
+checkpoint they come from. Rows without an id cannot be known again: within a stream each is applied once, under a new
+checkpoint it is applied anew. One writer at a time works on an output folder.
+
+What a batch reads does not grow with the batches before it: applied ids are looked up in pruned runs (`applied`), the last
+ids come from the state and from table rows beyond it, and streams are known by the number of their last batch.
 """
 
 from __future__ import annotations
 
 import json
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,55 +19,46 @@ from pyspark.sql.streaming import StreamingQuery
 from packhouse.operators.features import Tables
 from packhouse.operators.intake import order_intake, place_orders
 from packhouse.schemas import REQUESTS
-from packhouse.sources.store import publish
-
-MARKER = "batch string, last_order long, last_item long"
-
-
-def _markers(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per batch that has begun (`starts`) or was applied (`commits`), with the last ids given out by then."""
-    try:
-        return spark.read.schema(MARKER).json(f"{folder}/*").where("batch is not null")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], MARKER)
+from packhouse.sources.store import children, delete, publish, read_text
+from packhouse.streaming.applied import IntakeState, State
 
 
-def _mark(spark: SparkSession, folder: str, batch: str, last_order: int, last_item: int) -> None:
-    row = {"batch": batch, "last_order": last_order, "last_item": last_item}
-    publish(spark, f"{folder}/{batch}", json.dumps(row) + "\n")
+def _last_ids(tables: Tables, state: State) -> tuple[int, int]:
+    """The largest ids in use, whoever gave them out. Only ids above the state's are asked for, which the statistics of stored
+    tables answer without reading rows."""
+    return tuple(
+        tables[name].where(F.col(key) > given).agg(F.coalesce(F.max(key), F.lit(given))).first()[0]
+        for name, key, given in (("shop_orders", "order_id", state.last_order),
+                                 ("order_items", "order_item_id", state.last_item)))
 
 
-def _last_ids(spark: SparkSession, tables: Tables, out_dir: str) -> tuple[int, int]:
-    """The largest ids in use, whoever gave them out."""
-    given = _markers(spark, f"{out_dir}/commits").agg(F.max("last_order"), F.max("last_item")).first()
-    stored = [tables[name].agg(F.max(key)).first()[0] for name, key in (
-        ("shop_orders", "order_id"), ("order_items", "order_item_id"))]
-    return tuple(max(a or 0, b or 0) for a, b in zip(given, stored))
+def _base(spark: SparkSession, batch: str, tables: Tables, state: State, out_dir: str) -> tuple[int, int]:
+    """The ids a batch continues from: written down when it first begins, and read again when it is repeated."""
+    begun = f"{out_dir}/starts"
+    for name in children(spark, begun):
+        if name == batch:
+            return tuple(json.loads(read_text(spark, f"{begun}/{name}")))
+    base = _last_ids(tables, state)
+    publish(spark, f"{begun}/{batch}", json.dumps(base) + "\n")
+    return base
 
 
 def apply_batch(requests: DataFrame, batch_id: int, tables: Tables, out_dir: str, stream: str = "direct") -> None:
-    """Decide one batch and store its orders, lines and decisions; the marker comes last.
+    """Decide one batch and store its orders, lines and decisions; the state that names it comes last.
 
-    Batches are named by their stream and number; one that was marked is skipped. The ids a batch continues from are
-    written down before anything else, so a batch that failed half-way is written again in the same place with the same ids.
+    A stream's batches come in the order of their numbers; one that is not beyond the last applied is skipped. The ids a
+    batch continues from are written down before anything else, so a batch that failed half-way is written again in the same
+    place with the same ids.
     """
     spark = requests.sparkSession
     batch = f"{stream}-{batch_id}"
-    if _markers(spark, f"{out_dir}/commits").where(F.col("batch") == batch).first():
+    own = IntakeState(spark, out_dir)
+    state = own.read()
+    if batch_id <= state.streams.get(stream, -1):
         return
-    begun = _markers(spark, f"{out_dir}/starts").where(F.col("batch") == batch).first()
-    if begun is None:
-        base_order, base_item = _last_ids(spark, tables, out_dir)
-        _mark(spark, f"{out_dir}/starts", batch, base_order, base_item)
-    else:
-        base_order, base_item = begun.last_order, begun.last_item
-
-    known = placed(spark, out_dir, "decisions")
-    fresh = requests if known is None else requests.join(known.select("request_id"), "request_id", "left_anti")
+    base_order, base_item = _base(spark, batch, tables, state, out_dir)
     decided_path = f"{out_dir}/decisions/batch={batch}"
-    order_intake(fresh, tables["customers"], tables["products"]).write.mode("overwrite").parquet(decided_path)
+    order_intake(own.fresh(requests, state), tables["customers"], tables["products"]).write.mode("overwrite").parquet(decided_path)
     decided = spark.read.parquet(decided_path)
     orders, items = place_orders(decided, F.lit(base_order), F.lit(base_item))
     orders.write.mode("overwrite").parquet(f"{out_dir}/orders/batch={batch}")
@@ -73,7 +67,8 @@ def apply_batch(requests: DataFrame, batch_id: int, tables: Tables, out_dir: str
     last = spark.read.parquet(f"{out_dir}/items/batch={batch}").agg(
         F.coalesce(F.max("order_id"), F.lit(base_order)), F.coalesce(F.max("order_item_id"), F.lit(base_item))
     ).first()
-    _mark(spark, f"{out_dir}/commits", batch, last[0], last[1])
+    own.commit(state, stream, batch_id, decided.select("request_id").where("request_id is not null"), last[0], last[1])
+    delete(spark, f"{out_dir}/starts/{batch}")
 
 
 def _stream_id(spark: SparkSession, checkpoint: str) -> str:
@@ -97,9 +92,13 @@ def intake_stream(spark: SparkSession, in_dir: str, tables: Tables, out_dir: str
 
 
 def placed(spark: SparkSession, out_dir: str, name: str) -> DataFrame | None:
-    """Stored `orders`, `items` or `decisions` of the marked batches; None before the first."""
-    marked = _markers(spark, f"{out_dir}/commits").select("batch")
-    if not marked.first():
+    """Stored `orders`, `items` or `decisions` of the applied batches; None before the first. Folders of other batches are
+    not read: the batch is the partition, and a stream's batches up to its last are applied."""
+    streams = IntakeState(spark, out_dir).read().streams
+    if not streams:
         return None
     stored = spark.read.option("basePath", f"{out_dir}/{name}").parquet(f"{out_dir}/{name}")
-    return stored.withColumn("batch", F.col("batch").cast("string")).join(marked, "batch", "left_semi").drop("batch")
+    batch = F.col("batch").cast("string")
+    last = F.create_map(*[F.lit(x) for pair in streams.items() for x in pair])
+    number = F.regexp_extract(batch, r"-(\d+)$", 1).cast("long")
+    return stored.where(number <= last[F.regexp_extract(batch, r"^(.*)-\d+$", 1)]).drop("batch")

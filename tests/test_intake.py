@@ -5,6 +5,8 @@ import seed
 from pyspark.sql import functions as F
 
 from packhouse.operators import intake
+from packhouse.streaming import applied
+from packhouse.streaming.applied import IntakeState
 from packhouse.streaming.intake import apply_batch, intake_stream, placed
 
 # payload, status, accepted total, quantities, preview total, submittable
@@ -192,3 +194,70 @@ def test_null_price_counts_as_zero(spark):
     (decided,) = intake.order_intake(requests, t["customers"], products).collect()
     assert decided.order_total == 0.0 and [line.unit_price for line in decided.lines] == [0.0, 0.0]
     assert intake.cart_preview(requests, products).first().preview_total == 0.0
+
+
+def scanned(df):
+    """Rows that the scans of an executed query put out, and the number of files they had."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if "AdaptiveSparkPlan" in plan.nodeName() else plan
+    leaves = plan.collectLeaves()
+    found = [leaves.apply(i).metrics() for i in range(leaves.length())]
+    return [sum(m.get(name).get().value() for m in found if m.contains(name)) for name in ("numOutputRows", "numFiles")]
+
+
+def test_looking_up_new_ids_reads_nothing_however_many_batches_came_before(spark, tmp_path):
+    own, state = IntakeState(spark, str(tmp_path)), applied.State()
+    read = []
+    for batch in range(12):
+        ids = spark.range(batch * 1000, (batch + 1) * 1000).withColumnRenamed("id", "request_id")
+        assert own.known(ids, state) is None
+        state = own.commit(state, "s", batch, ids, 0, 0)
+        # An old id among new ones is still found, from the one run that can have it.
+        known = own.known(spark.createDataFrame([(5,), (10**6,)], "request_id long"), state)
+        read.append((scanned(known)[1], len(state.runs)))
+        assert [r.request_id for r in known.collect()] == [5]
+    assert [r[1] for r in read] == [1, 2, 3, 4, 5, 6, 7, 1, 2, 3, 4, 5]
+    assert {r[0] for r in read} == {1} and sum(r.rows for r in state.runs) == 12_000
+    assert IntakeState(spark, str(tmp_path)).read() == state
+    assert len(list((tmp_path / "state").glob("v*"))) == 2 and len(list((tmp_path / "applied").iterdir())) == 5
+
+
+def test_bloom_filters_answer_for_ids_inside_the_range(spark, tmp_path, monkeypatch):
+    own = IntakeState(spark, str(tmp_path))
+    ids = spark.range(0, 400_000).select((F.col("id") * 2).alias("request_id"))
+    state = own.commit(applied.State(), "s", 0, ids, 0, 0)
+    odd = spark.createDataFrame([(2 * i * 1000 + 1,) for i in range(30)], "request_id long")
+    few, files = scanned(own.known(odd, state))
+    monkeypatch.setattr(applied, "FEW_IDS", 5)
+    ranged = scanned(own.known(odd, state))[0]
+    assert files > 0 and few == 0 < ranged
+    assert own.fresh(odd.union(spark.createDataFrame([(4000,), (None,)], "request_id long")), state).count() == 31
+
+
+def test_merging_keeps_every_id_and_a_crash_keeps_the_old_state(spark, tmp_path, monkeypatch):
+    own, state = IntakeState(spark, str(tmp_path)), applied.State()
+    for batch in range(7):
+        ids = spark.createDataFrame([(batch + 7 * i,) for i in range(20)], "request_id long")
+        state = own.commit(state, "s", batch, ids, batch, batch)
+    monkeypatch.setattr(applied, "publish", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        own.commit(state, "s", 7, spark.createDataFrame([(999,)], "request_id long"), 7, 7)
+    monkeypatch.undo()
+    assert own.read() == state and state.streams == {"s": 6} and len(state.runs) == 7
+    state = own.commit(state, "s", 7, spark.createDataFrame([(999,)], "request_id long"), 7, 7)
+    assert [(r.level, r.rows) for r in state.runs] == [(1, 141)]
+    asked = spark.range(0, 1000).withColumnRenamed("id", "request_id")
+    assert own.fresh(asked, state).count() == 1000 - 141
+
+
+def test_the_last_ids_of_stored_tables_are_read_only_beyond_the_state(spark, tmp_path):
+    t = seed.tables(spark)
+    spark.range(1, 50_001).select(F.col("id").alias("order_id")).write.parquet(str(tmp_path / "orders"))
+    stored = spark.read.parquet(str(tmp_path / "orders"))
+    assert scanned(stored.where(F.col("order_id") > 50_000).agg(F.max("order_id")))[0] == 0
+    from packhouse.streaming.intake import _last_ids
+
+    tables = {**t, "shop_orders": stored}
+    assert _last_ids(tables, applied.State(last_order=50_000, last_item=1))[0] == 50_000
+    assert _last_ids(tables, applied.State(last_order=49_000, last_item=1)) == (50_000, 3)
