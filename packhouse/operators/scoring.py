@@ -132,7 +132,8 @@ def scoring_run(spark: SparkSession, tables: Tables, scorer: Scorer, run_ts: dat
                 store: VersionedStore) -> ScoringRun:
     """Score, commit the new predictions as a version, and list the flagged open orders.
 
-    Scores are computed once and everything after reads the written rows. A failing scorer or
+    Scores are computed once and everything after reads the written rows. The commit writes the store's parts that hold
+    scored orders; an empty store begins with the table's predictions. A failing scorer or
     commit leaves the table as it was and is reported; a failing flagged list is left out and named as the error of a
     run that is otherwise good. Without all tables nothing runs: the provider is `unavailable` and the error names them.
     """
@@ -149,7 +150,7 @@ def scoring_run(spark: SparkSession, tables: Tables, scorer: Scorer, run_ts: dat
         current = current if stored is None else stored
         batch = materialize(scorer.score(tables), "scores")
         scored = batch.count()
-        version = store.commit(upsert_predictions(current, batch, run_ts))
+        version = store.merge(batch, "order_id", lambda old, new: upsert_predictions(old, new, run_ts), current)
     except Exception as error:  # any failure of the scorer or the write is the run's result
         return ScoringRun(current, None, summary(False, None, None, str(error)), None)
     try:

@@ -473,7 +473,17 @@ BODIES: dict[str, str] = {
     "hash_score": f"select order_id, {_score()} as score from shop_orders",
     "score_open_orders_hash": f"select order_id, {_SCORES} from hash_predictions",
     "score_open_orders_model": _model_score(),
-    "upsert_predictions": f"""select order_id, {_SCORES}, strftime(ts, {TIME}) as prediction_timestamp from (
+    "upsert_predictions": f"""select order_id, late_delivery_probability, predicted_late_delivery, {_r('fraud_probability')},
+        predicted_fraud, prediction_timestamp from (
+          select order_id, late_delivery_probability, predicted_late_delivery,
+            case when order_id % 3 = 0 then fraud_probability / 2 else fraud_probability end as fraud_probability,
+            case when order_id % 3 = 0 then 0 else predicted_fraud end as predicted_fraud,
+            strftime(timestamp '{RUN_TS}', {TIME}) as prediction_timestamp from hash_predictions
+          union all by name
+          select order_id, late_delivery_probability, predicted_late_delivery, fraud_probability, predicted_fraud,
+            strftime(prediction_timestamp, {TIME}) as prediction_timestamp from order_predictions
+          where order_id not in (select order_id from hash_predictions))""",
+    "daily_scoring": f"""select order_id, {_SCORES}, strftime(ts, {TIME}) as prediction_timestamp from (
           select *, timestamp '{RUN_TS}' as ts from hash_predictions
           union all by name
           select order_id, {_SCORES}, prediction_timestamp as ts from order_predictions
@@ -506,6 +516,6 @@ BODIES: dict[str, str] = {
 
 def oracle_sql() -> dict[str, str]:
     # Adding zero turns a negative zero into zero.
-    bodies = BODIES | _model_bodies() | {"daily_scoring": BODIES["upsert_predictions"]}
+    bodies = BODIES | _model_bodies()
     shown = f"+ {TIE_SHIFT!r}, {DIGITS}) + 0e0"
     return {name: MAPPED + body.replace("@shown)", shown) for name, body in bodies.items()}

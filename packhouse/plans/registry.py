@@ -292,8 +292,18 @@ def score_open_orders_model(star):
 
 @query
 def upsert_predictions(star):
-    return scoring.upsert_predictions(
-        star.order_predictions, scoring.score_open_orders_hash(_slim(star)), RUN_TS)
+    """A batch that repeats orders: a third of them with a later sequence and half the score, a fifth without sequence. It
+    is merged into the parts of a store, then once more."""
+    scored = scoring.score_open_orders_hash(_slim(star)).withColumn("seq", F.lit(1))
+    later = scored.where("order_id % 3 = 0").withColumns(
+        {"seq": F.lit(2), "fraud_probability": F.col("fraud_probability") / 2, "predicted_fraud": F.lit(0)})
+    unknown = scored.where("order_id % 5 = 0").withColumns(
+        {"seq": F.lit(None).cast("int"), "fraud_probability": F.lit(1.0), "predicted_fraud": F.lit(1)})
+    batch = materialize(scored.unionByName(later).unionByName(unknown), "batch")
+    store = VersionedStore(star.spark, new_folder(star.spark, "predictions"))
+    for _ in range(2):
+        store.merge(batch, "order_id", lambda old, new: scoring.upsert_predictions(old, new, RUN_TS, "seq"), star.order_predictions)
+    return store.read()
 
 
 def _scoring_run(star: StarTables) -> scoring.ScoringRun:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from packhouse.functions.scalars import hash_score
 from packhouse.operators import scoring
-from packhouse.sources.store import VersionedStore
+from packhouse.sources.store import VersionedStore, part_of
 from packhouse.sources.tables import load_tables
 
 OLD = dt.datetime(2025, 1, 1)
@@ -169,3 +169,62 @@ def test_missing_tables_are_named(spark, tmp_path):
     row = scoring.daily_scoring(spark, str(folder), scoring.HashScorer(), seed.NOW).first()
     assert (row.ok, row.provider, row.error_message) == (False, "unavailable", "missing tables: products, shipments")
     assert VersionedStore(spark, f"{folder}/_predictions").current_version() == 0
+
+
+def predictions(spark, ids, probability=.5):
+    return spark.createDataFrame([(i, 0.0, 0, probability, 1) for i in ids], "order_id long, late_delivery_probability double,"
+                                 " predicted_late_delivery int, fraud_probability double, predicted_fraud int")
+
+
+def upserted(old, new):
+    return scoring.upsert_predictions(old, new, seed.NOW)
+
+
+def test_a_merge_writes_only_the_parts_it_touches(spark, tmp_path):
+    store = VersionedStore(spark, str(tmp_path / "p"))
+    old = upserted(seed.table(spark, "order_predictions", []), predictions(spark, range(1000)))
+    assert store.merge(predictions(spark, [1000]), "order_id", upserted, old) == 1
+    first = store.manifest(1)
+    assert first["n_parts"] == len(first["folders"]) == 64 and store.read().count() == 1001
+    one = [r[0] for r in spark.range(1000).where(part_of("id", 64) == 7).collect()][:3]
+    assert store.merge(predictions(spark, one, .9), "order_id", upserted) == 2
+    second = store.manifest(2)
+    fresh = [f for f in second["folders"] if f not in first["folders"]]
+    assert len(fresh) == 1 and fresh[0].endswith("store_part=7") and len(second["folders"]) == 64
+    folder = tmp_path / "p" / fresh[0].split("/store_part")[0]
+    assert [f.name for f in folder.iterdir() if f.name.startswith("store_part")] == ["store_part=7"]
+    found = {r.order_id: r.fraud_probability for r in store.read().collect()}
+    assert len(found) == 1001 and {i for i, p in found.items() if p == .9} == set(one)
+    # A new order in an empty table's missing part, and a batch without rows.
+    assert store.merge(predictions(spark, []), "order_id", upserted) == 2
+    store.expire()
+    assert store.read().count() == 1001
+    assert sorted(f"data/{p.relative_to(tmp_path / 'p' / 'data')}" for p in (tmp_path / "p" / "data").glob("*/store_part=*")) == sorted(
+        second["folders"])
+
+
+def test_a_crash_between_parts_and_manifest_leaves_the_old_version(spark, tmp_path, monkeypatch):
+    store = VersionedStore(spark, str(tmp_path / "p"))
+    store.merge(predictions(spark, range(50)), "order_id", upserted, seed.table(spark, "order_predictions", []))
+    before = sorted(seed.rows(store.read()))
+    monkeypatch.setattr("packhouse.sources.store.publish", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        store.merge(predictions(spark, range(20), .9), "order_id", upserted)
+    monkeypatch.undo()
+    assert store.current_version() == 1 and sorted(seed.rows(store.read())) == before
+    assert store.merge(predictions(spark, range(20), .9), "order_id", upserted) == 2
+    assert store.read().where("fraud_probability = 0.9").count() == 20
+    store.expire()
+    assert store.read().count() == 50
+
+
+def test_a_store_written_whole_goes_over_to_parts_and_parts_may_empty(spark, tmp_path):
+    store = VersionedStore(spark, str(tmp_path / "p"))
+    store.commit(upserted(seed.table(spark, "order_predictions", []), predictions(spark, range(10))))
+    assert store.merge(predictions(spark, [3, 11], .9), "order_id", upserted, parts=4) == 2
+    assert store.read().count() == 11 and store.manifest(2)["n_parts"] == 4
+    gone = lambda old, new: old.join(new, "order_id", "left_anti")
+    assert store.merge(predictions(spark, range(12)), "order_id", gone) == 3
+    assert store.read().count() == 0 and store.manifest(3)["folders"] == []
+    assert store.merge(predictions(spark, [5]), "order_id", upserted) == 4
+    assert seed.rows(store.read(), "order_id") == [(5,)]
