@@ -1,17 +1,21 @@
 """Byte-level BPE encoding and decoding with the ranks of a public vocabulary, in padded numpy matrices.
 
 A text is split by a pattern and each match is merged by itself. A match that is a token is its id; the others start as single
-bytes, are sorted into length buckets and stacked as rows of a padded matrix. In each round every row merges its leftmost
-pair of minimum rank; pair ranks come from an open-addressing hash table, the row is compacted by one column, and rows
-without a mergeable pair leave. Matches over `LONG` bytes would need as many rounds as they have bytes; they take the same merges in
-the same order from a heap, so no length is refused.
+bytes, are sorted into length buckets and stacked as rows of a padded matrix. In each round every row merges its
+pair of minimum rank, from the left wherever it occurs without overlap; pair ranks come from an open-addressing hash table, the rows
+are compacted, and rows without a mergeable pair leave. A row has as many rounds as there are ranks in it, so a match of any length
+goes this way.
+
+This equals merging one leftmost pair a round if the bytes of every token, by themselves, merge into that token. For then no
+new pair has a lower rank than the pair just merged: the bytes of the token it makes would have become that token before. `together`
+checks this once, on the driver; with a vocabulary where it fails, rows merge one pair a round.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -23,7 +27,6 @@ from pyspark.sql import functions as F
 
 from packhouse.llm.words import MIX_1, slices
 
-LONG = 256
 #: Encoded matches kept between slices of a task.
 CACHE = 200_000
 NONE = np.int32(2**31 - 1)
@@ -65,10 +68,11 @@ class PairTable:
 
 
 class Vocabulary:
-    """Ranks of a byte-level vocabulary that has all single bytes; a token's id is its rank."""
+    """Ranks of a byte-level vocabulary that has all single bytes; a token's id is its rank. `together` says whether all places
+    of a pair may be merged in one round."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        self.ranks, self.pattern = ranks, regex.compile(pattern)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, together: bool = False) -> None:
+        self.ranks, self.pattern, self.together = ranks, regex.compile(pattern), together
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         found = [(ranks[a], ranks[b], r) for t, r in ranks.items() for i in range(1, len(t))
                  if (a := t[:i]) in ranks and (b := t[i:]) in ranks]
@@ -84,18 +88,11 @@ class Vocabulary:
             if known is not None:
                 places.append([i])
                 ids.append([known])
-            elif len(p) > LONG:
-                places.append([i])
-                ids.append(self._merge_long(p))
             else:
                 buckets.setdefault((len(p) - 1).bit_length(), []).append(i)
         sizes = [[len(x) for x in ids]]
         for members in buckets.values():
-            width = max(len(pieces[i]) for i in members)
-            step = max(1, 500_000 // width)
-            for at in range(0, len(members), step):
-                some = members[at:at + step]
-                counts, flat = self._merge_rows([pieces[i] for i in some], width)
+            for some, counts, flat in self._merge_bucket(pieces, members):
                 places.append(some)
                 sizes.append(counts)
                 ids.append(flat)
@@ -103,68 +100,72 @@ class Vocabulary:
         return (np.concatenate(join + places).astype(np.int64), np.concatenate(join + sizes).astype(np.int64),
                 np.concatenate(join + ids).astype(np.int32))
 
+    def _merge_bucket(self, pieces: list[bytes], members: list[int]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+        width = max(len(pieces[i]) for i in members)
+        step = max(1, 500_000 // width)
+        for at in range(0, len(members), step):
+            some = members[at:at + step]
+            yield some, *self._merge_rows([pieces[i] for i in some], width)
+
+    def whole_tokens(self) -> bool:
+        """Whether the bytes of every token merge into that token, one leftmost pair a round."""
+        tokens = sorted(self.ranks, key=len)
+        buckets: dict[int, list[int]] = {}
+        for i, t in enumerate(tokens):
+            buckets.setdefault((len(t) - 1).bit_length(), []).append(i)
+        return all((counts == 1).all() and flat.tolist() == [self.ranks[tokens[i]] for i in some]
+                   for members in buckets.values() for some, counts, flat in self._merge_bucket(tokens, members))
+
     def _merge_rows(self, pieces: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
         """The number of ids of each piece, and all ids, row after row."""
         sizes = np.array([len(p) for p in pieces])
         raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(-1, width)
         ids = np.where(np.arange(width) < sizes[:, None], self.bytes[raw], np.int32(-1))
-        ranks = self.pairs(ids[:, :-1], ids[:, 1:])
+        # The rank of each id with the one after it; the last column has none.
+        ranks = np.full(ids.shape, NONE)
+        ranks[:, :-1] = self.pairs(ids[:, :-1], ids[:, 1:])
         done = np.full(raw.shape, np.int32(-1))
         rows = np.arange(len(pieces))
-        while len(rows):
-            at = ranks.argmin(axis=1) if ranks.shape[1] else np.zeros(len(rows), np.int64)
-            low = ranks[np.arange(len(rows)), at] if ranks.shape[1] else np.full(len(rows), NONE)
+        while True:
+            low = ranks.min(axis=1)
             on = low < NONE
             done[rows[~on], :ids.shape[1]] = ids[~on]
-            rows, ids, ranks, at, low = rows[on], ids[on], ranks[on], at[on], low[on]
+            rows, ids, ranks, low = rows[on], ids[on], ranks[on], low[on]
             if not len(rows):
-                break
-            sizes[rows] -= 1
-            line, columns = np.arange(len(rows)), np.arange(ids.shape[1] - 1)
-            ids[line, at] = low
-            ids = np.take_along_axis(ids, columns + (columns > at[:, None]), axis=1)
-            ranks = np.take_along_axis(ranks, columns[:-1] + (columns[:-1] > at[:, None]), axis=1)
-            for left in (at - 1, at):
-                inside = (left >= 0) & (left < ranks.shape[1])
-                ranks[line[inside], left[inside]] = self.pairs(
-                    ids[line[inside], left[inside]], ids[line[inside], left[inside] + 1])
-        return sizes, done[done >= 0]
-
-    def _merge_long(self, piece: bytes) -> np.ndarray:
-        ids = self.bytes[np.frombuffer(piece, np.uint8)]
-        first = self.pairs(ids[:-1], ids[1:]).tolist()
-        ids, n = ids.tolist(), len(piece)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i) for i, r in enumerate(first) if r < NONE]
-        heapq.heapify(heap)
-        rank_at = {i: r for r, i in heap}
-
-        def look(i: int) -> None:
-            j = after[i]
-            r = self._joined(ids[i], ids[j]) if j < n else None
-            if r is None:
-                rank_at.pop(i, None)
-            else:
-                rank_at[i] = r
-                heapq.heappush(heap, (r, i))
-
-        while heap:
-            r, i = heapq.heappop(heap)
-            if rank_at.get(i) != r:
-                continue
-            j = after[i]
-            ids[i], ids[j] = r, -1
-            rank_at.pop(j, None)
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            look(i)
-            if before[i] >= 0:
-                look(before[i])
-        return np.array([x for x in ids if x >= 0], np.int32)
-
-    def _joined(self, left: int, right: int) -> int | None:
-        return self.ranks.get(self.tokens[left] + self.tokens[right])
+                return sizes, done[done >= 0]
+            merged = self._places(ranks == low[:, None])
+            sizes[rows] -= merged.sum(axis=1)
+            ids[merged] = np.broadcast_to(low[:, None], ids.shape)[merged]
+            keep = ids >= 0
+            keep[:, 1:] &= ~merged[:, :-1]
+            # Compaction: what stays moves to the front of its row.
+            row, old = np.nonzero(keep)
+            starts = np.searchsorted(row, np.arange(len(rows)))
+            column = np.arange(len(row)) - starts[row]
+            shape = len(rows), int(column.max()) + 1
+            packed, fresh, stale = np.full(shape, np.int32(-1)), np.full(shape, NONE), np.zeros(shape, bool)
+            packed[row, column], fresh[row, column] = ids[row, old], ranks[row, old]
+            stale[row, column] = merged[row, old]
+            stale[:, :-1] |= stale[:, 1:]
+            line, at = np.nonzero(stale)
+            inside = at < shape[1] - 1
+            fresh[line[~inside], at[~inside]] = NONE
+            line, at = line[inside], at[inside]
+            fresh[line, at] = self.pairs(packed[line, at], packed[line, at + 1])
+            ids, ranks = packed, fresh
+
+    def _places(self, hit: np.ndarray) -> np.ndarray:
+        """Of the places where a row's pair of minimum rank is, those to merge: the first, or from the left all without overlap."""
+        if not self.together:
+            first = np.zeros(hit.shape, bool)
+            first[np.arange(len(hit)), hit.argmax(axis=1)] = True
+            return first
+        place = np.arange(hit.shape[1])
+        begins = hit.copy()
+        begins[:, 1:] &= ~hit[:, :-1]
+        # Neighbouring places overlap: every other one of a run is merged.
+        run = np.maximum.accumulate(np.where(begins, place, 0), axis=1)
+        return hit & ((place - run) % 2 == 0)
 
 
 def read_ranks(path: str) -> bytes:
@@ -177,9 +178,15 @@ def parsed(ranks: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
 
 
-def vocabulary(ranks: bytes, pattern: str) -> Vocabulary:
+def vocabulary(ranks: bytes, pattern: str, together: bool = False) -> Vocabulary:
     """Built anew by each task, in about half a second: idle Python workers should hold no tables."""
-    return Vocabulary(parsed(ranks), pattern)
+    return Vocabulary(parsed(ranks), pattern, together)
+
+
+@lru_cache(maxsize=4)
+def together(ranks: bytes) -> bool:
+    """Whether rows may merge all places of a pair at once; worked out on the driver, for tasks to be told."""
+    return vocabulary(ranks, "").whole_tokens()
 
 
 class Decoder:
@@ -240,9 +247,10 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, out: str = "ids") -> Dat
     """
     docs = docs.drop(out)
     text = docs.columns.index("text")
+    at_once = together(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary(ranks, pattern))
+        encoder = Encoder(vocabulary(ranks, pattern, at_once))
         for part in slices(batches, text, 600_000):
             ids, counts = encoder([t or "" for t in part.column(text).to_pylist()])
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)

@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packhouse.llm.bpe import Encoder, _ranges, parsed, vocabulary
+from packhouse.llm.bpe import Encoder, _ranges, parsed, together, vocabulary
 from packhouse.llm.words import slices
 from packhouse.operators.numbering import running_totals
 from packhouse.sources.shared import materialize
@@ -143,9 +143,10 @@ def format_chats(
     sized = rows.withColumn("_bytes", (F.octet_length("text") + F.octet_length("role") + 1).cast("long"))
     placed = _pieces(sized, piece_bytes).select("conv_id", "piece", "pieces", "turn", "role", "text")
     kind = placed.schema["conv_id"].dataType.simpleString()
+    at_once = together(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        assemble = _Assembler(Encoder(vocabulary(ranks, pattern)), template, reserved_ids(ranks))
+        assemble = _Assembler(Encoder(vocabulary(ranks, pattern, at_once)), template, reserved_ids(ranks))
         held, last = None, None
 
         def rows_of(keys: list, ids: list, masks: list) -> pa.RecordBatch:

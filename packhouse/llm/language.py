@@ -15,8 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from packhouse.llm.folds import fit_in_one_task, held_out
+from packhouse.llm.folds import below, fit_in_one_task, held_out
 from packhouse.llm.words import mix, slices, texts_of
+from packhouse.sources.shared import materialize
 
 WINDOW, WIDTHS, FILTERS = 192, (2, 3, 4), 12
 STEP = WINDOW - max(WIDTHS) + 1
@@ -137,10 +138,24 @@ def fit_language(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> dict[str,
     rows = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string")).filter(
         "doc_id is not null and lang is not null").filter(~held_out()).filter(F.col("text").rlike(r"\p{L}"))
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # The window function is cut to per_language rows in each task before ids are shuffled; the list has at most
-    # per_language rows of a language.
-    chosen = rows.select("doc_id", "lang").withColumn("place", F.row_number().over(by_hash)).filter(
-        F.col("place") <= per_language).select("doc_id")
+
+    def smallest(some: DataFrame) -> DataFrame:
+        ranked = some.select("doc_id", "lang").withColumn("place", F.row_number().over(by_hash))
+        return materialize(ranked.filter(F.col("place") <= per_language).drop("place"), "chosen")
+
+    # Only rows whose hash can be among the smallest of their language are sorted, whatever the number of tasks. The model has a
+    # class for each language, so the counts by language are no longer than the model.
+    counts = {r.lang: r["count"] for r in docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string")).filter(
+        "doc_id is not null and lang is not null").filter(~held_out()).groupBy("lang").count().collect()}
+    if not counts:
+        return _fit(pa.table({"doc_id": [], "window": [], "lang": []}))
+    count = F.create_map(*[F.lit(x) for pair in counts.items() for x in pair])[F.col("lang")]
+    chosen = smallest(rows.filter(below(F.xxhash64("doc_id"), per_language, count)))
+    full = {r.lang for r in chosen.groupBy("lang").count().filter(F.col("count") >= per_language).collect()}
+    if any(n > 2 * per_language + 100 and lang not in full for lang, n in counts.items()):
+        # Many texts without a letter: take all rows.
+        chosen = smallest(rows)
+    chosen = chosen.select("doc_id")
     sample = rows.join(F.broadcast(chosen.distinct()), "doc_id").mapInArrow(_drawn, "doc_id long, lang string, window binary")
     return fit_in_one_task(sample, _fit)
 

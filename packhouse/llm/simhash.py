@@ -149,7 +149,8 @@ def near_links(fps: DataFrame, distance: int = 2, bucket: int = BUCKET) -> DataF
     inner = max(n for n in range(exact, SEGMENTS) if _budget(n, distance) <= 1)
     turned = fps.select("fp", F.posexplode(F.array(*[_turned(F.col("fp"), i) for i in range(SEGMENTS)])).alias("start", "ring"))
     keyed = turned.withColumn("key", F.col("ring").bitwiseAND(mask))
-    full = keyed.groupBy("start", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    # Written first: joins of two plain shuffles are split where one key has very many rows.
+    full = materialize(keyed.groupBy("start", "key").agg(F.count("*").alias("n")).filter("n > 1"), "full")
     keyed = keyed.join(full, ["start", "key"])
     whole = F.lit((1 << BITS * inner) - 1).cast("long")
     holes = F.array(F.lit(0).cast("long"), *[F.lit(1 << b).cast("long") for b in range(BITS * exact, BITS * inner)])
@@ -176,8 +177,8 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, distance: int = 2, bucket:
     """
     marked = materialize(fingerprints(docs, shingle), "simhash")
     fps = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprints")
-    rooted = _rooted(fps, distance, bucket)
-    lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    rooted = materialize(_rooted(fps, distance, bucket), "rooted")
+    lowest = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "lowest")
     named = rooted.select("fp", "root").join(lowest, "root").select("fp", "component_id")
     return marked.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

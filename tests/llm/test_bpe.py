@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -45,15 +46,37 @@ def test_ids_equal_the_library_and_decoding_returns_the_text(spark, ranks, brute
         assert r.ids_sha256 == hashlib.sha256(ids.encode()).hexdigest()
 
 
-def test_every_length_and_the_heap_agree(ranks):
-    own = bpe.vocabulary(ranks, public.PATTERN)
+def test_every_length_equals_the_library(ranks, brute):
+    assert bpe.together(ranks)
+    own = bpe.vocabulary(ranks, public.PATTERN, True)
     pick = random.Random(4)
-    pieces = ["".join(pick.choices("aeinrst", k=n)).encode() for n in [*range(1, 70), 255, 256] for _ in range(4)]
+    pieces = ["".join(pick.choices(letters, k=n)).encode() for n in [*range(1, 70), 255, 256, 257, 1000, 5000]
+              for letters in ("aeinrst", "a", "ab", "aab ", "eé") for _ in range(2)]
     places, sizes, ids = own.merge(pieces)
     assert sorted(places) == list(range(len(pieces)))
     for place, found in zip(places, np.split(ids, np.cumsum(sizes)[:-1])):
-        if pieces[place] not in own.ranks:
-            assert found.tolist() == own._merge_long(pieces[place]).tolist()
+        assert found.tolist() == brute._encode_single_piece(pieces[place])
+    single = bpe.vocabulary(ranks, public.PATTERN)
+    assert all((x == y).all() for x, y in zip(own.merge(pieces[:600]), single.merge(pieces[:600])))
+
+
+def test_a_vocabulary_whose_tokens_do_not_merge_whole_merges_one_pair_a_round():
+    ranks = {bytes([b]): b for b in range(256)} | {b"bc": 256, b"abc": 257, b"ab": 258, b"xyz": 259}
+    odd = b"\n".join(base64.b64encode(t) + b" %d" % r for t, r in ranks.items())
+    assert not bpe.together(odd)
+    own = bpe.vocabulary(odd, public.PATTERN, bpe.together(odd))
+    library = tiktoken.Encoding("odd", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for piece in (b"abcab", b"ababc", b"xyzab", b"aabcc"):
+        assert own.merge([piece])[2].tolist() == library._encode_single_piece(piece)
+
+
+def test_very_long_matches_take_few_rounds(ranks, brute):
+    own = bpe.vocabulary(ranks, public.PATTERN, True)
+    pick = random.Random(5)
+    for piece in (b"a" * 400_000, "".join(pick.choices("aeinrst", k=300_000)).encode()):
+        start = time.time()
+        _, _, ids = own.merge([piece])
+        assert time.time() - start < 20 and b"".join(brute.decode_single_token_bytes(int(i)) for i in ids) == piece
 
 
 def test_pair_table_with_many_collisions():
