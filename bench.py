@@ -25,7 +25,7 @@ HEADLINE = [
     "order_lines_parse", "order_intake", "place_orders", "cart_preview", "intake_stream",
     "contract_audit", "table_profile", "run_log_summary",
     "customers_list", "products_list", "customer_resolve_session", "product_price", "open_orders", "fulfillment_status",
-    "order_counts", "customer_order_counts", "label_distribution", "customer_age", "model_smoke_check",
+    "order_counts", "customer_order_counts", "label_distribution", "customer_age", "model_card", "model_smoke_check",
     "scoring_run_summary", "daily_scoring",
 ]
 

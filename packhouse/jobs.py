@@ -44,7 +44,8 @@ def _train(spark, args) -> int:
     else:
         rows, features, label, key = late_delivery_features(tables), LATE_FEATURES, LATE_LABEL, "shipment_id"
     quality = train_and_store(
-        rows, features, label, key, args.model, f"{args.kind}_detection_pipeline", args.run_ts).first()
+        rows, features, label, key, args.model, f"{args.kind}_detection_pipeline", args.run_ts,
+        training_data=args.tables).first()
     print(f"accuracy={quality.accuracy:.4f} f1={quality.f1:.4f} roc_auc={quality.roc_auc:.4f}")
     return 0
 

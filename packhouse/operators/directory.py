@@ -9,10 +9,7 @@ from pyspark.sql import functions as F
 
 from packhouse.functions.scalars import leading_int, number_or_zero, web_trim
 from packhouse.operators.joins import lookup_join
-
-# Longest piece of a search text that is matched by equality before the full check.
-GRAM = 3
-
+from packhouse.sources.shared import materialize
 
 def customers_list(customers: DataFrame) -> DataFrame:
     return customers.select("customer_id", "full_name", "email").orderBy(F.lower("full_name"), "customer_id")
@@ -34,7 +31,7 @@ def customer_search(customers: DataFrame, needles: Sequence[str] | DataFrame) ->
     """Customers whose "name email id" contains each needle literally; blank finds everyone.
 
     Typed needles (a list) are checked in place: one scan, no join, no shuffle. A table of
-    needles (column `needle`) is matched through short pieces, see `_search_table`.
+    needles (column `needle`) is matched through hashes, see `_search_table`.
     """
     hay = _searchable(customers)
     if isinstance(needles, DataFrame):
@@ -48,53 +45,34 @@ def customer_search(customers: DataFrame, needles: Sequence[str] | DataFrame) ->
         "hit.needle", "customer_id", "full_name", "email")
 
 
-def _pieces(df: DataFrame, text: str, sizes: Column, used: DataFrame | None = None) -> DataFrame:
-    """One row per distinct `_piece` of the given sizes; size 0 gives the empty text.
-
-    Of equal pieces only the leftmost is kept, which needs no grouping. `used` lists the
-    sizes to keep: at most GRAM + 1 rows.
-    """
-    sized = df.withColumn("_size", F.explode(sizes)).where(F.length(text) >= F.col("_size"))
-    if used is not None:
-        sized = sized.join(F.broadcast(used), "_size", "left_semi")
-    last = F.when(F.col("_size") == 0, F.lit(1)).otherwise(F.length(text) - F.col("_size") + 1)
-    placed = sized.withColumn("_at", F.explode(F.sequence(F.lit(1), last)))
-    return placed.withColumn("_piece", F.substr(F.col(text), F.col("_at"), F.col("_size"))).where(
-        F.position(F.col("_piece"), F.col(text)) == F.col("_at")).drop("_size", "_at")
+def _hashed(text: Column) -> Column:
+    return F.xxhash64(text)
 
 
 def _search_table(hay: DataFrame, needles: DataFrame) -> DataFrame:
-    """Containment as an equi-join on one piece per needle, then the full check.
+    """Containment as an equi-join on hashes of whole needles, then the full check.
 
-    A needle of length n can only match texts that hold each of its pieces of size
-    min(n, GRAM), so it is looked up by the piece that fewest customers have. Pieces are counted
-    in each task before they are shuffled, so that a piece that every customer has is no hot group;
-    skewed partitions of the join itself are left to adaptive execution.
+    A needle of n characters can only lie in a text that has a piece of n characters with its hash. So each text gives
+    the distinct hashes of its pieces at the lengths that needles have, one row of two numbers and an id each; names, mails and
+    texts are fetched by id for the hits alone. A piece that everyone has costs rows only if it is a needle, and then these
+    are its answers; their join is one of plain shuffles, which adaptive execution splits. A text of m characters gives
+    at most m rows a length.
     """
-    asked = needles.select("needle", F.lower(web_trim(F.col("needle"))).alias("_text")).where(
-        "_text is not null").distinct()
-    size = F.least(F.length("_text"), F.lit(GRAM))
-    candidates = _pieces(asked, "_text", F.array(size))
-    indexed = _pieces(
-        hay, "_hay", F.sequence(F.lit(0), F.lit(GRAM)), asked.select(size.alias("_size")).distinct())
-    # The left join below keeps the asked pieces; a semi-join here would be planned before the count.
-    frequency = indexed.groupBy("_piece").agg(F.count(F.lit(1)).alias("_found"))
-    # A needle with a piece that nobody has cannot match; -1 puts that piece first.
-    found = F.coalesce("_found", F.lit(-1))
-    anchors = (
-        candidates.join(frequency, "_piece", "left").groupBy("needle", "_text")
-        .agg(F.min_by("_piece", F.struct(found, F.col("_piece"))).alias("_piece"), F.min(found).alias("_found"))
-        .where("_found > 0").drop("_found")
-    )
-    return (
-        lookup_join(indexed, "_piece", [(anchors, "inner")], ["customer_id"])
-        .where(F.contains("_hay", F.col("_text")))
-        .select("needle", "customer_id", "full_name", "email")
-    )
-
-
-def customer_resolve(requests: DataFrame, customers: DataFrame, mode: str, ref: str = "customer_ref",
-                     spread: Sequence[str] = ("request_id",)) -> DataFrame:
+    asked = materialize(needles.select("needle", F.lower(web_trim(F.col("needle"))).alias("_text")).where(
+        "_text is not null").distinct().select(
+        "needle", "_text", F.length("_text").alias("_length"), _hashed(F.col("_text")).alias("_hash")), "needles")
+    # No longer list than the longest needle has characters.
+    lengths = F.broadcast(asked.select("_length").distinct())
+    sized = hay.select("customer_id", "_hay").join(lengths, F.length("_hay") >= F.col("_length"))
+    places = F.sequence(F.lit(1), F.when(F.col("_length") == 0, F.lit(1)).otherwise(F.length("_hay") - F.col("_length") + 1))
+    hashes = F.array_distinct(F.transform(places, lambda at: _hashed(F.substr(F.col("_hay"), at, F.col("_length")))))
+    pieces = sized.select("customer_id", "_length", F.explode(hashes).alias("_hash"))
+    hits = pieces.join(asked, ["_length", "_hash"]).select("customer_id", "needle", "_text")
+    return hits.join(hay, "customer_id").where(F.contains("_hay", F.col("_text"))).select(
+        "needle", "customer_id", "full_name", "email")
+
+
+def customer_resolve(requests: DataFrame, customers: DataFrame, mode: str, ref: str = "customer_ref") -> DataFrame:
     """Classify typed customer ids.
 
     Mode "form": `invalid` (no positive number), `unknown` (no such customer), `ok`.
@@ -105,7 +83,7 @@ def customer_resolve(requests: DataFrame, customers: DataFrame, mode: str, ref:
     known = customers.select("customer_id", F.lit(True).alias("_known"))
     looked_up = lookup_join(
         requests.withColumn("customer_id", F.when(parsed > 0, parsed)), "customer_id",
-        [(known, "left")], spread)
+        [(known, "left")])
     status = (
         F.when(F.col("customer_id").isNull(), bad).when(F.col("_known").isNull(), absent).otherwise("ok"))
     return looked_up.select(*requests.columns, "customer_id", status.alias("status"))
@@ -115,4 +93,4 @@ def product_price(product_ids: DataFrame, products: DataFrame) -> DataFrame:
     """Current price for each asked id; unknown ids give no row."""
     return lookup_join(
         product_ids.select("product_id").distinct(), "product_id",
-        [(products.select("product_id", number_or_zero("price")), "inner")], ["product_id"])
+        [(products.select("product_id", number_or_zero("price")), "inner")])

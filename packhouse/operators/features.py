@@ -8,20 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packhouse.functions.scalars import as_number, customer_age
-from packhouse.operators.joins import lookup_join, narrow
+from packhouse.operators.joins import lookup_join, narrow, settled
 from packhouse.operators.orders import customer_order_counts, open_orders
 from packhouse.operators.quantiles import exact_quantiles
 from packhouse.schemas import FRAUD_FEATURES, FRAUD_LABEL, LATE_LABEL
 from packhouse.sources.shared import materialize
 
-# Lines are spread over slices by their own values: they may come without an id.
-LINE_SPREAD = ["order_id", "quantity", "unit_price", "line_total"]
 Tables = Mapping[str, DataFrame]
 
 
 def item_aggregates_serving(items: DataFrame, products: DataFrame) -> DataFrame:
     """Per order: quantity, value and mean product cost over lines. Lines of unknown products drop out."""
-    costed = lookup_join(items, "product_id", [(narrow(products.select("product_id", "cost")), "inner")], LINE_SPREAD)
+    costed = lookup_join(items, "product_id", [(narrow(products.select("product_id", "cost")), "inner")])
     return costed.groupBy("order_id").agg(
         F.sum("quantity").alias("num_items"), F.sum("line_total").alias("total_value"),
         F.avg("cost").alias("avg_cost"))
@@ -29,7 +27,7 @@ def item_aggregates_serving(items: DataFrame, products: DataFrame) -> DataFrame:
 
 def item_aggregates_training(items: DataFrame, products: DataFrame) -> DataFrame:
     """As for serving, plus mean unit price; lines of unknown products count, only their cost is skipped."""
-    costed = lookup_join(items, "product_id", [(narrow(products.select("product_id", "cost")), "left")], LINE_SPREAD)
+    costed = lookup_join(items, "product_id", [(narrow(products.select("product_id", "cost")), "left")])
     return costed.where("order_id is not null").groupBy("order_id").agg(
         F.coalesce(F.sum("quantity"), F.lit(0)).alias("num_items"),
         F.avg("unit_price").alias("avg_unit_price"),
@@ -41,6 +39,13 @@ def _as_numbers(columns: Sequence[str]) -> list:
     return [as_number(c).alias(c) for c in columns]
 
 
+def _customer_facts(tables: Tables, counts: DataFrame, how: str) -> DataFrame:
+    """Birthdate and order count of each customer, as one table: orders look it up once, so that a customer with very many
+    orders is a plain skewed join."""
+    born = tables["customers"].select("customer_id", "birthdate")
+    return settled(born.join(counts, "customer_id", how), born, "customers")
+
+
 def fraud_features_serving(tables: Tables) -> DataFrame:
     """The six features for every open order whose customer is known.
 
@@ -53,11 +58,7 @@ def fraud_features_serving(tables: Tables) -> DataFrame:
     # Open orders are partitioned by order here, as are the line aggregates.
     with_items = waiting.join(
         item_aggregates_serving(tables["order_items"], tables["products"]), "order_id", "left")
-    described = lookup_join(
-        with_items, "customer_id",
-        [(tables["customers"].select("customer_id", "birthdate"), "inner"),
-         (customer_order_counts(orders), "left")],
-        ["order_id"], counted=orders)
+    described = lookup_join(with_items, "customer_id", [(_customer_facts(tables, customer_order_counts(orders), "left"), "inner")])
     total = F.col("order_total")
     return described.select(
         "order_id", "risk_score",
@@ -80,10 +81,7 @@ def fraud_features_training(tables: Tables, strict_dates: bool = False) -> DataF
     # Counted over the orders themselves: a customer missing from the directory has a count too.
     counts = orders.where("customer_id is not null").groupBy("customer_id").agg(
         F.count("order_id").alias("customer_order_count"))
-    described = lookup_join(
-        with_items, "customer_id",
-        [(tables["customers"].select("customer_id", "birthdate"), "left"), (counts, "left")],
-        ["order_id"], counted=orders)
+    described = lookup_join(with_items, "customer_id", [(_customer_facts(tables, counts, "full_outer"), "left")])
     born = F.col("birthdate").cast("timestamp_ntz") if strict_dates else F.col("birthdate")
     return described.withColumn("customer_age", customer_age(F.col("order_datetime"), born)).select(
         "order_id", *_as_numbers(FRAUD_FEATURES), F.col(FRAUD_LABEL).cast("int").alias(FRAUD_LABEL))
@@ -97,8 +95,7 @@ def late_delivery_features(tables: Tables) -> DataFrame:
     shipments = tables["shipments"]
     key = ["shipment_id"] if "shipment_id" in shipments.columns else []
     return lookup_join(
-        shipments.select(*key, "order_id", LATE_LABEL), "order_id", [(orders, "inner")], [*key, "order_id"]
-    ).select(
+        shipments.select(*key, "order_id", LATE_LABEL), "order_id", [(orders, "inner")]).select(
         *key, "order_id", "order_total",
         F.coalesce("num_items", F.lit(0)).alias("num_items"),
         F.hour("order_datetime").alias("hour_of_day"),

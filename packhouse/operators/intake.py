@@ -98,8 +98,7 @@ def order_intake(requests: DataFrame, customers: DataFrame, products: DataFrame)
     ).select(*keys, (F.col("_at") + 1).alias("line_no"), "_line.product_id", "_line.quantity")
     priced = lookup_join(
         lines, "product_id",
-        [(products.select("product_id", number_or_zero("price").alias("unit_price"), F.lit(True).alias("_found")), "left")],
-        ["request_id", "line_no"], costly=True)
+        [(products.select("product_id", number_or_zero("price").alias("unit_price"), F.lit(True).alias("_found")), "left")])
     grouped = priced.groupBy(*keys).agg(
         F.bool_and(F.col("_found").isNotNull()).alias("_known"),
         F.array_sort(F.collect_list(F.struct("line_no", "product_id", "quantity", "unit_price"))).alias("lines"))
@@ -154,8 +153,7 @@ def cart_preview(requests: DataFrame, products: DataFrame) -> DataFrame:
     lines = carts.select(
         "request_id", "n_lines", "can_submit", F.posexplode_outer("_lines").alias("_at", "_line")
     ).select("request_id", "n_lines", "can_submit", "_at", "_line.product_id", "_line.quantity")
-    priced = lookup_join(lines, "product_id", [(products.select("product_id", number_or_zero("price")), "left")],
-                         ["request_id", "_at"], costly=True)
+    priced = lookup_join(lines, "product_id", [(products.select("product_id", number_or_zero("price")), "left")])
     amount = F.when(F.col("quantity") > 0, F.col("price") * F.col("quantity"))
     return priced.groupBy("request_id", "n_lines", "can_submit").agg(
         F.coalesce(F.sum(amount), F.lit(0.0)).alias("preview_total")

@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from packhouse.sources.shared import materialize
 
-# Keys with more rows than this are spread over several join partitions; None leaves hot keys to adaptive execution, which
-# splits their partitions without counting first.
-ROWS_PER_SLICE: int | None = None
 # Most bytes that a narrow lookup table may take in each executor, by its counted rows.
 NARROW_BYTES = 256_000_000
 
@@ -44,59 +41,19 @@ def narrow(table: DataFrame, row_bytes: int = 100) -> DataFrame:
     return F.broadcast(table) if table.count() * row_bytes <= NARROW_BYTES else table
 
 
-def lookup_join(
-    fact: DataFrame,
-    key: str,
-    lookups: Sequence[tuple[DataFrame, str]],
-    spread: Sequence[str],
-    counted: DataFrame | None = None,
-    costly: bool = False,
-    rows_per_slice: int | None = None,
-) -> DataFrame:
+def lookup_join(fact: DataFrame, key: str, lookups: Sequence[tuple[DataFrame, str]]) -> DataFrame:
     """Join `fact` to each (table, how) on `key`; the tables usually have one row per key.
 
-    Where every table is under the session's broadcast limit the join moves no fact row. Beyond it these are plain joins,
-    whose skewed partitions adaptive execution splits (the session turns it on).
-
-    With `rows_per_slice` the result is the same without adaptive execution: one shuffle serves all lookups, and a key that holds more than
-    `rows_per_slice` fact rows is cut into slices by a hash of the `spread` columns, with
-    the matching lookup row copied to each slice. The list of such keys has at most
-    count(fact) / rows_per_slice rows, which is what makes it safe to broadcast.
-
-    Keys are counted in `counted`, a stored table that has at least the key rows of `fact`
-    (more slices than needed do no harm), or else in `fact` itself, which is then computed
-    twice unless `costly` has it written down first.
+    Where every table is under the session's broadcast limit the join moves no fact row. Beyond it these are plain joins.
+    Adaptive execution (the session turns it on) splits the partition of a hot key if both sides are plain shuffles, of scans
+    or written tables, and nothing else needs the partitioning; so give one lookup beyond that limit, and one that is no
+    aggregate: join aggregates into one table and `settled` it first.
     """
-    rows_per_slice = rows_per_slice or ROWS_PER_SLICE
-    if rows_per_slice is None or all(fits_broadcast(table) for table, _ in lookups):
-        joined = fact
-        for table, how in lookups:
-            joined = joined.join(table, key, how)
-        return joined
-
-    if costly and counted is None:
-        fact = materialize(fact, "lookup")
-    heavy = F.broadcast(
-        (fact if counted is None else counted).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-        .where((F.col("_rows") > rows_per_slice) & F.col(key).isNotNull())
-        .select(F.col(key), F.ceil(F.col("_rows") / rows_per_slice).cast("int").alias("_slices"))
-    )
-    spread_hash = F.xxhash64(*spread)
-    # Null keys match nothing, so they may go anywhere.
-    joined = (
-        fact.join(heavy, key, "left")
-        .withColumn(
-            "_slice",
-            F.when(F.col(key).isNull(), F.pmod(spread_hash, F.lit(1 << 20)).cast("int"))
-            .otherwise(F.pmod(spread_hash, F.coalesce("_slices", F.lit(1))).cast("int")),
-        )
-        .drop("_slices")
-    )
     for table, how in lookups:
-        sliced = (
-            table.join(heavy, key, "left")
-            .withColumn("_slice", F.explode(F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1)))
-            .drop("_slices")
-        )
-        joined = joined.join(sliced, [key, "_slice"], how)
-    return joined.drop("_slice")
+        fact = fact.join(table, key, how)
+    return fact
+
+
+def settled(table: DataFrame, size_of: DataFrame, label: str) -> DataFrame:
+    """`table` written down, unless `size_of`, which has as many rows, is small enough to be broadcast."""
+    return table if fits_broadcast(size_of) else materialize(table, label)

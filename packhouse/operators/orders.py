@@ -136,19 +136,19 @@ def customer_overview(customers: DataFrame, orders: DataFrame, items: DataFrame,
     )
 
 
-def order_ownership(claims: DataFrame, orders: DataFrame, spread: list[str]) -> DataFrame:
+def order_ownership(claims: DataFrame, orders: DataFrame) -> DataFrame:
     """Whether each (order_ref, customer_id) names an order of that customer.
 
-    `order_ref` is text; a leading number counts. `spread` names the claims' own key.
+    `order_ref` is text; a leading number counts.
     """
     owners = orders.select("order_id", F.col("customer_id").alias("_owner"))
     looked_up = lookup_join(
-        claims.withColumn("order_id", leading_int(F.col("order_ref"))), "order_id", [(owners, "left")], spread)
+        claims.withColumn("order_id", leading_int(F.col("order_ref"))), "order_id", [(owners, "left")])
     belongs = F.coalesce(F.col("_owner") == F.col("customer_id"), F.lit(False))
     return looked_up.select(*claims.columns, "order_id", belongs.alias("belongs"))
 
 
-def order_header(claims: DataFrame, orders: DataFrame, items: DataFrame, spread: list[str]) -> DataFrame:
+def order_header(claims: DataFrame, orders: DataFrame, items: DataFrame) -> DataFrame:
     """Header and line count for each claim that names the customer's own order."""
     claimed = claims.withColumn("order_id", leading_int(F.col("order_ref")))
     owned = orders.select(
@@ -157,7 +157,7 @@ def order_header(claims: DataFrame, orders: DataFrame, items: DataFrame, spread:
     if few:
         owned = owned.join(claimed.select("order_id"), "order_id", "left_semi")
     headers = order_counts(owned, items, narrow=few)
-    return lookup_join(claimed, "order_id", [(headers, "inner")], spread).where("_owner = customer_id").select(
+    return lookup_join(claimed, "order_id", [(headers, "inner")]).where("_owner = customer_id").select(
         *claims.columns, "order_id", "order_datetime", "order_total", "item_count")
 
 
@@ -167,8 +167,7 @@ def order_line_items(items: DataFrame, products: DataFrame, order_ids: DataFrame
     if order_ids is not None:
         items = items.join(order_ids.select("order_id").distinct(), "order_id", "left_semi")
     shown = lookup_join(
-        items, "product_id", [(products.select("product_id", "product_name"), "inner")], ["order_item_id"]
-    ).select(
+        items, "product_id", [(products.select("product_id", "product_name"), "inner")]).select(
         "order_id", "order_item_id", "product_name", F.coalesce("quantity", F.lit(0)).alias("quantity"),
         number_or_zero("unit_price"), number_or_zero("line_total"))
     return shown.orderBy("order_id", "order_item_id") if ordered else shown

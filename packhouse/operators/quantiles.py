@@ -6,137 +6,120 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packhouse.functions.scalars import as_number
+from packhouse.sources.shared import materialize
 
-# Up to this many distinct values are ranked from their counts.
-DISTINCT_LIMIT = 1_000_000
-# Margin for the error of the distinct-value sketch (5 % standard error).
-SKETCH_MARGIN = 0.7
-ACCURACY = 10_000
-REACH = 4.0 / ACCURACY
+#: Bits of an ordered number that a pass settles; six passes settle all 64.
+STEP = 12
+FRACTION_BITS, LEAST_EXPONENT = 52, -1022
+
+
+def with_ordered_bits(numbers: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Append for each column of doubles one, named by `columns`, of whole numbers in the same order: sign, exponent and fraction
+    as in memory.
+
+    Negative numbers count down from -1. The exponent is that of a logarithm, put right where this is one off; all other
+    steps are exact, as they scale by powers of two. Both zeros are 0. Infinities come beyond all finite numbers. Each step is
+    a projection of its own, which computes once what the next one uses several times.
+    """
+    def step(rows: DataFrame, made: dict[str, Column]) -> DataFrame:
+        return rows.select("*", *[c.alias(n) for n, c in made.items()])
+
+    def named(part: str) -> list[tuple[str, Column, str]]:
+        return [(f"_{part}_{out}", F.col(x), out) for x, out in columns.items()]
+
+    rows = step(numbers, {n: F.greatest(F.floor(F.log2(F.abs(x))), F.lit(LEAST_EXPONENT).cast("long")) for n, x, _ in named("guess")})
+    # Two factors, as 2 ** -guess alone can be beyond the doubles.
+    rows = step(rows, {n: F.floor(-F.col(f"_guess_{out}") / 2) for n, _, out in named("half")})
+    rows = step(rows, {n: F.abs(x) * F.pow(F.lit(2.0), F.col(f"_half_{out}")) * F.pow(
+        F.lit(2.0), -F.col(f"_guess_{out}") - F.col(f"_half_{out}")) for n, x, out in named("scaled")})
+    over = {out: F.col(f"_scaled_{out}") >= 2 for out in columns.values()}
+    under = {out: (F.col(f"_scaled_{out}") < 1) & (F.col(f"_guess_{out}") > LEAST_EXPONENT) for out in columns.values()}
+    rows = step(rows, {n: F.when(over[out], F.col(f"_scaled_{out}") / 2).when(under[out], F.col(f"_scaled_{out}") * 2).otherwise(
+        F.col(f"_scaled_{out}")) for n, _, out in named("fraction")} | {
+        n: F.col(f"_guess_{out}") + F.when(over[out], 1).when(under[out], -1).otherwise(0) for n, _, out in named("exponent")})
+
+    def bits(out: str) -> Column:
+        # A fraction below 1 is subnormal; the exponent field is then 0.
+        normal = F.when(F.col(f"_fraction_{out}") >= 1, 1).otherwise(0)
+        field = F.col(f"_exponent_{out}") - F.lit(LEAST_EXPONENT) + normal
+        return F.shiftleft(field.cast("long"), FRACTION_BITS) + ((F.col(f"_fraction_{out}") - normal) * 2.0**FRACTION_BITS).cast("long")
+
+    rows = step(rows, {n: F.when(F.abs(x) == float("inf"), F.lit(2047 << FRACTION_BITS)).when(
+        x == 0, F.lit(0).cast("long")).otherwise(bits(out)) for n, x, out in named("size")})
+    return rows.select(*numbers.columns, *[
+        F.when(F.col(x) < 0, -1 - F.col(f"_size_{out}")).otherwise(F.col(f"_size_{out}")).alias(out) for x, out in columns.items()])
 
 
 @dataclass
 class _Target:
-    """A rank looked for in one column, and the open interval that is known to hold it."""
+    """A rank looked for among the rows of a column whose leading bits are `prefix`."""
 
-    column: str
+    column: int
     rank: int
-    rows: int
-    distinct: int
-    low: float | None = None
-    high: float | None = None
+    prefix: int = 0
     value: float | None = None
 
-    def inside(self) -> Column:
-        x = F.col(self.column)
-        condition = x.isNotNull()
-        if self.low is not None:
-            condition = condition & (x > self.low)
-        return condition if self.high is None else condition & (x < self.high)
-
-    def narrow(self, low: float, high: float, counts: Row) -> None:
-        """Go on below, between or above the two values, or settle on one of them.
-
-        `rank` and `rows` are always counted within the interval.
-        """
-        at_high = counts["at_high"] if high > low else 0
-        from_low = self.rank - counts["below"]
-        from_between = from_low - counts["at_low"]
-        from_high = from_between - counts["between"]
-        if from_low < 0:
-            self.high, self.rows = low, counts["below"]
-        elif from_between < 0:
-            self.value = low
-        elif from_high < 0:
-            self.low, self.high, self.rank = low, high, from_between
-            self.rows, self.distinct = counts["between"], counts["distinct"]
-        elif from_high < at_high:
-            self.value = high
-        else:
-            self.low, self.rank = high, from_high - at_high
-            self.rows -= counts["below"] + counts["at_low"] + counts["between"] + at_high
-
-
-def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float],
-    distinct_limit: int = DISTINCT_LIMIT,
-) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles of each column, nulls and NaN skipped. Reads `df` several times.
-
-    A quantile lies between two ranks. While the interval that holds a rank has many distinct
-    values, it is narrowed: approximate quantiles give two values near the rank, and the rows
-    below, at and between them are counted. Both passes serve all columns and ranks together
-    and return one row. What is left is counted per value and ranked from the counts.
-    """
-    numbers = df.select(*[as_number(c).alias(c) for c in columns])
-    sizes = numbers.agg(*[
-        part for i, c in enumerate(columns) for part in (
-            F.count(c).alias(f"n{i}"), F.approx_count_distinct(c).alias(f"d{i}"))
-    ]).first()
-    targets: dict[tuple[str, int], _Target] = {}
-    for i, c in enumerate(columns):
-        for p in probabilities if sizes[f"n{i}"] else ():
-            position = p * (sizes[f"n{i}"] - 1)
-            for rank in (math.floor(position), math.ceil(position)):
-                targets[c, rank] = _Target(c, rank, sizes[f"n{i}"], sizes[f"d{i}"])
 
-    wide = [t for t in targets.values() if t.distinct > distinct_limit * SKETCH_MARGIN]
-    while wide:
-        _narrow(numbers, wide)
-        wide = [t for t in wide if t.value is None and t.distinct > distinct_limit * SKETCH_MARGIN]
-    _rank(numbers, [t for t in targets.values() if t.value is None])
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> dict[str, list[float | None]]:
+    """Linearly interpolated quantiles of each column, nulls and NaN skipped.
 
-    def quantile(column: str, n: int, p: float) -> float | None:
-        if not n:
+    A quantile lies between two ranks. Numbers are mapped to whole ones in the same order, and each pass counts the rows by their
+    next STEP bits among those that share a rank's bits so far, for all columns and ranks together; a rank is settled as
+    soon as all rows left are equal. `df` is read once and its numbers written, with their bits; these are read at most six times,
+    whatever their values, and only the columns that are still looked at. A task holds at most 2 ** STEP
+    counts a rank, and one row a rank reaches the driver.
+    """
+    numbers = df.select(*[as_number(c).alias(f"x{i}") for i, c in enumerate(columns)])
+    numbers = materialize(with_ordered_bits(numbers, {f"x{i}": f"bits{i}" for i in range(len(columns))}), "bits")
+    sizes = numbers.agg(*[F.count(f"x{i}").alias(f"n{i}") for i in range(len(columns))]).first()
+    targets: dict[tuple[int, int], _Target] = {}
+    for i in range(len(columns)):
+        for p in probabilities if sizes[i] else ():
+            position = p * (sizes[i] - 1)
+            for rank in (math.floor(position), math.ceil(position)):
+                targets[i, rank] = _Target(i, rank)
+    for low in range(64 - STEP, -STEP, -STEP):
+        waiting = [t for t in targets.values() if t.value is None]
+        if not waiting:
+            break
+        _narrow(numbers, waiting, max(low, 0), min(STEP, STEP + low))
+
+    def quantile(i: int, p: float) -> float | None:
+        if not sizes[i]:
             return None
-        position = p * (n - 1)
-        low = targets[column, math.floor(position)].value
-        high = targets[column, math.ceil(position)].value
-        return low + (position - math.floor(position)) * (high - low)
-
-    return {c: [quantile(c, sizes[f"n{i}"], p) for p in probabilities] for i, c in enumerate(columns)}
-
-
-def _narrow(numbers: DataFrame, targets: Sequence[_Target]) -> None:
-    def near(t: _Target) -> Column:
-        share = t.rank / max(t.rows - 1, 1)
-        around = F.array(F.lit(max(share - REACH, 0.0)), F.lit(min(share + REACH, 1.0)))
-        return F.percentile_approx(F.when(t.inside(), F.col(t.column)), around, ACCURACY)
-
-    def counted(t: _Target, low: float, high: float) -> Column:
-        x, here = F.col(t.column), t.inside()
-        between = here & (x > low) & (x < high)
-        return F.struct(
-            F.count_if(here & (x < low)).alias("below"), F.count_if(here & (x == low)).alias("at_low"),
-            F.count_if(between).alias("between"), F.count_if(here & (x == high)).alias("at_high"),
-            F.approx_count_distinct(F.when(between, x)).alias("distinct"))
-
-    bounds = numbers.agg(*[near(t).alias(f"b{i}") for i, t in enumerate(targets)]).first()
-    counts = numbers.agg(*[counted(t, *bounds[i]).alias(f"c{i}") for i, t in enumerate(targets)]).first()
-    for i, target in enumerate(targets):
-        target.narrow(*bounds[i], counts[i])
-
-
-def _rank(numbers: DataFrame, targets: Sequence[_Target]) -> None:
-    """Settle targets whose intervals have few distinct values; equal intervals are counted once."""
-    intervals = {(t.column, t.low, t.high): t for t in targets}
-    if not intervals:
-        return
-    number = {key: i for i, key in enumerate(intervals)}
-    values = numbers.select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.when(t.inside(), F.col(t.column)).alias("x"))
-        for i, t in enumerate(intervals.values())])))
-    # The window runs over distinct values with their counts.
-    upto = Window.partitionBy("i").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    counts = values.where("x is not null").groupBy("i", "x").count().select(
-        "i", "x", F.sum("count").over(upto).alias("upto"))
-    found = counts.groupBy("i").agg(*[
-        F.min(F.when((F.col("i") == number[t.column, t.low, t.high]) & (F.col("upto") > t.rank), F.col("x")))
-        .alias(f"t{k}") for k, t in enumerate(targets)])
-    rows = {row["i"]: row for row in found.collect()}  # one row per interval
-    for k, t in enumerate(targets):
-        t.value = rows[number[t.column, t.low, t.high]][f"t{k}"]
+        position = p * (sizes[i] - 1)
+        below, above = targets[i, math.floor(position)].value, targets[i, math.ceil(position)].value
+        return below if below == above else below + (position - math.floor(position)) * (above - below)
+
+    return {c: [quantile(i, p) for p in probabilities] for i, c in enumerate(columns)}
+
+
+def _narrow(numbers: DataFrame, targets: Sequence[_Target], low: int, width: int) -> None:
+    """Settle the bits from `low` on, `width` of them, of each target; ranks with equal bits so far are counted once."""
+    first = low + width == 64
+    groups = {(t.column, t.prefix): k for k, t in enumerate(targets)}
+
+    def member(column: int, prefix: int, k: int) -> Column:
+        bits = F.col(f"bits{column}")
+        here = bits.isNotNull() if first else F.shiftright(bits, low + width) == prefix
+        return F.struct(F.lit(k).alias("k"), F.when(here, F.shiftright(bits, low)).alias("head"), F.col(f"x{column}").alias("x"))
+
+    counted = numbers.select(F.inline(F.array(*[member(c, p, k) for (c, p), k in groups.items()]))).where(
+        "head is not null").groupBy("k", "head").agg(F.count(F.lit(1)).alias("rows"), F.min("x").alias("least"), F.max("x").alias("most"))
+    # The window runs over at most 2 ** STEP counts of each group.
+    upto = F.sum("rows").over(Window.partitionBy("k").orderBy("head").rowsBetween(Window.unboundedPreceding, 0))
+    counted = counted.withColumn("upto", upto)
+    found = counted.groupBy("k").agg(*[
+        F.min(F.when((F.col("k") == groups[t.column, t.prefix]) & (F.col("upto") > t.rank),
+                     F.struct("head", (F.col("upto") - F.col("rows")).alias("before"), "least", "most"))).alias(f"t{i}")
+        for i, t in enumerate(targets)])
+    rows = {row["k"]: row for row in found.collect()}
+    for i, t in enumerate(targets):
+        at = rows[groups[t.column, t.prefix]][f"t{i}"]
+        t.prefix, t.rank = at["head"], t.rank - at["before"]
+        if at["least"] == at["most"] or low == 0:
+            t.value = at["least"]

@@ -26,7 +26,7 @@ def warehouse_priority_queue(orders: DataFrame, customers: DataFrame, shipments:
         orders.select("order_id", "customer_id", "order_datetime", "order_total"), shipments
     ).join(scores, "order_id", "left")
     known = lookup_join(
-        waiting, "customer_id", [(customers.select("customer_id"), "left_semi")], ["order_id"], counted=orders)
+        waiting, "customer_id", [(customers.select("customer_id"), "left_semi")])
     queue = known.select(
         "order_id", "order_datetime", number_or_zero("order_total"), "customer_id",
         F.coalesce("_scored", F.lit(0)).alias("has_prediction"),
@@ -51,6 +51,6 @@ def fraud_flagged_open_orders(orders: DataFrame, customers: DataFrame, shipments
     waiting = open_orders(
         orders.select("order_id", "customer_id", "order_total").join(flagged, "order_id"), shipments)
     names = customers.select("customer_id", clean_name(F.col("full_name")).alias("customer_name"))
-    return lookup_join(waiting, "customer_id", [(names, "inner")], ["order_id"], counted=orders).select(
+    return lookup_join(waiting, "customer_id", [(names, "inner")]).select(
         "order_id", number_or_zero("order_total"), "customer_name", "fraud_probability"
     ).orderBy(F.col("fraud_probability").desc_nulls_last(), "order_id")

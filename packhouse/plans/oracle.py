@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from packhouse.plans.parameters import DIGITS, FRAUD_PARAMETERS, RUN_TS, SEARCH_TEXTS, TIE_SHIFT
+from packhouse.plans.parameters import DIGITS, FRAUD_PARAMETERS, RUN_TS, SEARCH_TEXTS
 from packhouse.schemas import FRAUD_FEATURES, LATE_FEATURES, TABLES
 
 TIME = "'%Y-%m-%d %H:%M:%S.%f'"
@@ -324,6 +324,10 @@ def _model_bodies() -> dict[str, str]:
     late += _fitted("late", LATE_FEATURES, "late_delivery", "shipment_id")
     return {
         "fit_logistic": fraud + _of_fitted("binary_metrics"),
+        "model_card": f"""{fraud} select 'fraud_detection_pipeline' as model_name, '1.0.0' as model_version, '{RUN_TS}' as trained_at_utc,
+          'mapped orders' as training_data, (select count(*) from z_rows where is_test = 0) as num_training_rows,
+          (select count(*) from z_rows where is_test = 1) as num_test_rows, '{",".join(FRAUD_FEATURES)}' as features,
+          'is_fraud' as label""",
         "model_smoke_check": f"""{fraud} select order_id, round(round(prob, 4) @shown) as prob
           from fitted_rows order by order_id limit 3""",
         "late_delivery_evaluate": late + _of_fitted("classification_report"),
@@ -405,7 +409,8 @@ BODIES: dict[str, str] = {
         join order_predictions p on p.order_id = o.order_id where predicted_fraud = 1""",
     "customer_recent_orders": f"select {_ORDER} from counted where rank <= 5",
     "customer_orders": f"select {_ORDER} from counted",
-    "order_line_items": f"""select order_id, order_item_id, product_name, quantity, {_r('unit_price', 'line_total')}
+    "order_line_items": f"""select order_id, order_item_id, product_name, quantity,
+        cast(round(cast(unit_price as decimal(30, 12)), {DIGITS}) as double) as unit_price, {_r('line_total')}
         from order_items join products using (product_id)""",
     "customer_overview": f"""select c.customer_id, full_name, email, coalesce(order_count, 0) as order_count,
         round(coalesce(total_spend, 0) @shown) as total_spend, {_t('last_order_datetime')},
@@ -517,5 +522,5 @@ BODIES: dict[str, str] = {
 def oracle_sql() -> dict[str, str]:
     # Adding zero turns a negative zero into zero.
     bodies = BODIES | _model_bodies()
-    shown = f"+ {TIE_SHIFT!r}, {DIGITS}) + 0e0"
+    shown = f", {DIGITS}) + 0e0"
     return {name: MAPPED + body.replace("@shown)", shown) for name, body in bodies.items()}

@@ -5,10 +5,8 @@ from __future__ import annotations
 from packhouse.operators.model import LinearParameters
 from packhouse.schemas import FRAUD_FEATURES
 
-# Results are compared after rounding. The shift moves exact ties off the rounding boundary,
-# where the last bit of a sum, which depends on the order of addition, would decide.
+# Digits after the point that doubles are compared by.
 DIGITS = 6
-TIE_SHIFT = 3.7e-08
 
 RUN_TS = "2026-01-31 00:00:00"
 SEARCH_TEXTS = ["  CUSTOMER#00000001", "%", "_", "007 ", "9@example.edu 1", "", "nobody"]

@@ -125,7 +125,7 @@ class StarTables:
         dates = self.raw("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
         lines = self._numbered_lines.where("l_linestatus = 'F'").select("line_id", "l_orderkey", "l_shipdate")
         late = F.col("l_shipdate") > F.col("o_orderdate") + F.expr("interval 700 days")
-        return lookup_join(lines, "l_orderkey", [(dates, "inner")], ["line_id"]).select(
+        return lookup_join(lines, "l_orderkey", [(dates, "inner")]).select(
             F.col("line_id").alias("shipment_id"),
             (F.col("l_orderkey") + 1).alias("order_id"),
             F.when(late, 1).otherwise(0).alias("late_delivery"),

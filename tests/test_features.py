@@ -112,19 +112,50 @@ def test_feature_summary(spark):
     assert tuple(z) == ("z", 0) + (None,) * 7
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 20])
-def test_quantiles_are_exact_on_both_paths(spark, limit):
+COLUMNS = {
+    "spread": [((i * 7919) % 100003) / 7 for i in range(5001)],
+    "heavy": [42.0 if i % 3 else float(i) for i in range(5001)],
+    "skewed": [float(2 ** (i % 50)) + i / 1e4 for i in range(5001)],
+    "constant": [3.25] * 5001,
+    "signed": [(-1) ** i * i / 3 for i in range(5001)],
+    "close": [1.0 + i * 2.0**-52 for i in range(5001)],
+    "tiny": [i * 5e-324 * (-1) ** i for i in range(5001)],
+    "huge": [0.8e308 * ((i - 2500) / 2500) for i in range(5001)],
+}
+
+
+def test_quantiles_are_exact_in_at_most_six_passes(spark, monkeypatch):
     import numpy as np
-    columns = {
-        "spread": [((i * 7919) % 100003) / 7 for i in range(5001)],
-        "heavy": [42.0 if i % 3 else float(i) for i in range(5001)],
-        "skewed": [float(2 ** (i % 50)) + i / 1e4 for i in range(5001)],
-    }
-    df = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"{c} double" for c in columns))
+    passes = []
+    real = quantiles._narrow
+    monkeypatch.setattr(quantiles, "_narrow", lambda *a: (passes.append(a[2:]), real(*a)))
+    df = spark.createDataFrame(list(zip(*COLUMNS.values())), ", ".join(f"{c} double" for c in COLUMNS))
     probabilities = [0.0, 0.25, 0.5, 0.9, 1.0]
-    got = quantiles.exact_quantiles(df, list(columns), probabilities, distinct_limit=limit)
-    for name, values in columns.items():
+    got = quantiles.exact_quantiles(df, list(COLUMNS), probabilities)
+    for name, values in COLUMNS.items():
         assert got[name] == pytest.approx(list(np.quantile(values, probabilities)), rel=1e-12), name
+    assert passes == [(52, 12), (40, 12), (28, 12), (16, 12), (4, 12), (0, 4)]
+    passes.clear()
+    assert quantiles.exact_quantiles(df.select("constant"), ["constant"], [0.5]) == {"constant": [3.25]} and len(passes) == 1
+    assert quantiles.exact_quantiles(df.select("heavy"), ["heavy"], [0.5]) == {"heavy": [42.0]} and len(passes) <= 3
+
+
+def test_ordered_bits_are_those_of_memory(spark):
+    import struct
+    values = [0.0, -0.0, 1.0, -1.0, 2.0, 3.0, 0.1, 1e300, -1e-300, 5e-324, 2.2250738585072014e-308, 2.225073858507201e-308,
+              1.7976931348623157e308, float("inf"), float("-inf"), *[2.0**e for e in range(-1070, 1020, 37)],
+              *[2.0**e * (1 - 2.0**-53) for e in range(-1000, 1020, 41)], *[2.0**e * (1 + 2.0**-52) for e in range(-1000, 1020, 41)]]
+    rows = quantiles.with_ordered_bits(spark.createDataFrame([(v,) for v in values], "x double"), {"x": "b"})
+    for r in rows.collect():
+        (bits,) = struct.unpack(">q", struct.pack(">d", abs(r.x)))
+        assert r.b == (-1 - bits if r.x < 0 else bits), r
+
+
+def test_quantiles_with_infinities_and_missing(spark):
+    inf, nan = float("inf"), float("nan")
+    df = spark.createDataFrame([(-inf,), (1.0,), (inf,), (nan,), (None,), (2.0,), (inf,)], "x double")
+    assert quantiles.exact_quantiles(df, ["x"], [0.0, 0.25, 0.5, 1.0]) == {"x": [-inf, 1.0, 2.0, inf]}
+    assert quantiles.exact_quantiles(df.limit(0), ["x"], [0.5]) == {"x": [None]}
 
 
 def test_feature_columns_are_the_six(spark):

@@ -94,7 +94,29 @@ def test_fit_minimises_the_weighted_penalised_loss(spark, training):
         gradient = x.T @ (w * (p - y)) + penalty @ beta
         hessian = (x * (w * p * (1 - p))[:, None]).T @ x + penalty
         beta -= np.linalg.solve(hessian, gradient)
-    assert [*lr.coefficients, lr.intercept] == pytest.approx(list(beta), abs=1e-4)
+    assert [*lr.coefficients, lr.intercept] == pytest.approx(list(beta), abs=1e-8)
+
+
+def test_newton_takes_few_passes_and_also_ends_on_separated_rows(spark, training, monkeypatch):
+    passes = []
+    real = type(training).agg
+    monkeypatch.setattr(type(training), "agg", lambda self, *e: (passes.append(1), real(self, *e))[1])
+    model.fit_logistic(training, ["a", "b"], "y")
+    assert len(passes) <= 15
+    i = F.col("id")
+    apart = spark.range(2000).select((i * 1e6).alias("x"), (i >= 1990).cast("int").alias("y")).cache()
+    passes.clear()
+    fitted = model.fit_logistic(apart, ["x"], "y").stages[-1]
+    assert len(passes) <= 40 and fitted.coefficients[0] > 0 and math.isfinite(fitted.intercept)
+    probs = {r.y: r.prob for r in model.predict(model.fit_logistic(apart, ["x"], "y"), apart.where("x in (0, 1999e6)")).collect()}
+    assert probs[0] < 0.01 and probs[1] > 0.9
+
+
+def test_one_class_only(spark):
+    rows = spark.createDataFrame([(1.0, 1), (2.0, 1)], "x double, y int")
+    assert [r.prob for r in model.predict(model.fit_logistic(rows, ["x"], "y"), rows).collect()] == [1.0, 1.0]
+    with pytest.raises(ValueError, match="no training rows"):
+        model.fit_logistic(rows.limit(0), ["x"], "y")
 
 
 def test_stored_model_scores_the_same(spark, training, tmp_path):
@@ -142,11 +164,13 @@ def test_training_run_stores_a_model_that_scores(spark, tmp_path):
         (i % 100 + i % 7 > 90).cast("int").alias("is_fraud"))
     path = str(tmp_path / "fraud")
     quality = model.train_and_store(
-        fraud_features_training(t), FRAUD_FEATURES, FRAUD_LABEL, "order_id", path, "fraud", "2026-01-31T00:00:00Z")
+        fraud_features_training(t), FRAUD_FEATURES, FRAUD_LABEL, "order_id", path, "fraud", "2026-01-31T00:00:00Z",
+        training_data="shop")
     row = quality.first()
     assert row.roc_auc > 0.95 and row.classification_report["1"].support + row.classification_report["0"].support == 100
     meta = spark.read.json(f"{path}/metadata").first()
     assert (meta.num_training_rows, meta.num_test_rows, meta.features) == (300, 100, FRAUD_FEATURES)
+    assert meta.training_data == "shop"
     assert spark.read.json(f"{path}/metrics").first().accuracy == pytest.approx(row.accuracy)
     scored = ModelScorer.stored(spark, path).score(t)
     assert scored.count() == 399 and scored.where("predicted_fraud = 1").count() > 0

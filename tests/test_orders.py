@@ -99,10 +99,10 @@ def test_ownership_and_header(spark, t):
     claims = spark.createDataFrame(
         [(1, "2", 1), (2, "2", 2), (3, " 3abc", 2), (4, "x", 1), (5, "99", 1), (6, None, 1)],
         "claim_id long, order_ref string, customer_id long")
-    owned = orders.order_ownership(claims, t["shop_orders"], ["claim_id"])
+    owned = orders.order_ownership(claims, t["shop_orders"])
     assert sorted(seed.rows(owned, "claim_id", "belongs")) == [
         (1, True), (2, False), (3, True), (4, False), (5, False), (6, False)]
-    headers = orders.order_header(claims, t["shop_orders"], t["order_items"], ["claim_id"])
+    headers = orders.order_header(claims, t["shop_orders"], t["order_items"])
     assert sorted(seed.rows(headers, "claim_id", "order_id", "order_total", "item_count")) == [
         (1, 2, 29.99, 1), (3, 3, 8.25, 1)]
 

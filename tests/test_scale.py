@@ -38,30 +38,75 @@ def skewed(spark):
     return spark.range(6000).select(i, key.cast("long").alias("k")).cache()
 
 
-@pytest.mark.parametrize("how", ["inner", "left"])
-def test_sliced_lookup_equals_plain_join(spark, no_broadcast, skewed, how):
-    names = spark.range(90).select(F.col("id").alias("k"), F.concat(F.lit("n"), "id").alias("name"))
-    ranks = spark.range(5, 95).select(F.col("id").alias("k"), (F.col("id") * 2).alias("twice"))
-    sliced = lookup_join(skewed, "k", [(names, how), (ranks, "left")], ["id"], rows_per_slice=50)
-    plain = skewed.join(names, "k", how).join(ranks, "k", "left").select(*sliced.columns)
-    assert sliced.exceptAll(plain).count() == 0 and plain.exceptAll(sliced).count() == 0
+@pytest.fixture
+def fine_splits(spark, no_broadcast):
+    """Small tables behave as large ones: partitions of some KB count as large, and nothing is broadcast or merged."""
+    settings = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k",
+                "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k", "spark.sql.files.maxPartitionBytes": "8k",
+                "spark.sql.files.openCostInBytes": "1k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    yield
+    for key in settings:
+        spark.conf.unset(key)
 
 
-def test_hot_key_is_spread_over_partitions(spark, no_broadcast, skewed):
-    names = spark.range(90).select(F.col("id").alias("k"), F.lit("n").alias("name"))
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        joined = lookup_join(skewed, "k", [(names, "inner")], ["id"], rows_per_slice=50)
-        parts = joined.where("k = 7").select(F.spark_partition_id().alias("p")).distinct().count()
-    finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert parts > 4
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
+
+
+def hot_tables(spark, tmp_path, rows=6000):
+    """Half the orders are of customer 1; everything is read from files of several parts."""
+    i = F.col("id")
+    written = {
+        "shop_orders": spark.range(1, rows + 1, 1, 8).select(
+            i.alias("order_id"), F.when(i % 2 == 0, 1).otherwise(i % 500 + 1).cast("long").alias("customer_id"),
+            F.lit("2026-01-01 10:00:00").cast("timestamp_ntz").alias("order_datetime"), (i * 1.5).alias("order_total"),
+            (i % 97 * 1.0).alias("risk_score"), (i % 7 == 0).cast("int").alias("is_fraud")),
+        "order_items": spark.range(1, rows + 1, 1, 8).select(
+            i.alias("order_item_id"), i.alias("order_id"), (i % 9 + 1).alias("product_id"), F.lit(2).alias("quantity"),
+            F.lit(1.5).alias("unit_price"), F.lit(3.0).alias("line_total")),
+        "customers": spark.range(1, 600, 1, 8).select(
+            i.alias("customer_id"), F.concat(F.lit("Person "), i).alias("full_name"), F.concat(i, F.lit("@example.edu")).alias("email"),
+            F.lit("1980-05-05").alias("birthdate")),
+        "products": spark.range(1, 10).select(i.alias("product_id"), (i * 1.0).alias("cost"), (i * 2.0).alias("price"),
+                                              F.lit("p").alias("product_name")),
+        "shipments": spark.range(0).select(i.alias("order_id"), i.alias("shipment_id"), i.cast("int").alias("late_delivery")),
+    }
+    for name, df in written.items():
+        df.write.parquet(str(tmp_path / name))
+    return {name: spark.read.parquet(str(tmp_path / name)) for name in written}
+
+
+@pytest.mark.parametrize("build", [features.fraud_features_serving, features.fraud_features_training])
+def test_a_customer_with_half_of_all_orders_is_split(spark, fine_splits, tmp_path, build):
+    found = build(hot_tables(spark, tmp_path))
+    assert "SortMergeJoin(skew=true)" in final_plan(found)
+    assert found.count() == 6000 and found.where("customer_order_count = 3000").count() == 3000
+
+
+def test_a_needle_that_everyone_has_is_split_and_only_ids_travel(spark, fine_splits, tmp_path):
+    people = hot_tables(spark, tmp_path)["customers"]
+    needles = spark.createDataFrame(
+        [("person",), (" PERSON ",), ("17@example",), ("",), ("n 123 1",), ("nobody at all",), ("9",), (None,)], "needle string")
+    found = directory.customer_search(people, needles)
+    blank = directory.customer_search(people, needles.where("trim(needle) = ''"))
+    assert "skew=true" in final_plan(blank) and blank.count() == 599
+    hay = {i: f"person {i} {i}@example.edu {i}" for i in range(1, 600)}
+    want = {(n, i) for (n,) in [("person",), (" PERSON ",), ("17@example",), ("",), ("n 123 1",), ("9",)] for i, h in hay.items()
+            if n.strip().lower() in h}
+    assert sorted(seed.rows(found, "needle", "customer_id")) == sorted(want)
+    # Below the join of hashes no exchange carries a text of a customer.
+    moved = [block for block in plan(found).split("\n\n") if "Exchange" in block.split("\n")[0] and "_hash" in block.split("Arguments")[0]]
+    assert len(moved) == 2 and not any(c in block for block in moved for c in ("full_name", "email", "_hay"))
 
 
 def test_lookups_count_nothing_first(spark, no_broadcast):
     star = StarTables(spark, DATA)
-    for df in (orders.order_ownership(star.order_claims, star.shop_orders, ["claim_id"]),
-               lookup_join(star.shop_orders, "customer_id", [(star.customers, "inner")], ["order_id"])):
+    for df in (orders.order_ownership(star.order_claims, star.shop_orders),
+               lookup_join(star.shop_orders, "customer_id", [(star.customers, "inner")])):
         assert "HashAggregate" not in plan(df) and plan(df).count("Exchange hashpartitioning") <= 4
 
 
@@ -75,8 +120,8 @@ def test_narrow_lookups_are_broadcast_by_their_counted_rows(spark, no_broadcast,
 
 def test_small_lookup_moves_no_fact_row(spark, skewed):
     names = spark.range(90).select(F.col("id").alias("k"), F.lit("n").alias("name"))
-    text = plan(lookup_join(skewed, "k", [(names, "inner")], ["id"]))
-    assert "BroadcastHashJoin" in text and "_slice" not in text
+    text = plan(lookup_join(skewed, "k", [(names, "inner")]))
+    assert "BroadcastHashJoin" in text
 
 
 def test_search_with_a_piece_everyone_has(spark, no_broadcast):
@@ -153,12 +198,3 @@ def test_bucketed_tables_join_by_order_without_a_shuffle(spark, no_broadcast, tm
             (1, 1, 0), (2, 1, 1), (3, 1, 0)]
     finally:
         spark.sql("drop database packed cascade")
-
-
-def test_pieces_are_counted_before_they_are_joined(spark, no_broadcast):
-    people = spark.range(50).select(
-        F.col("id").alias("customer_id"), F.lit("Common").alias("full_name"), F.lit("c@example.edu").alias("email"))
-    needles = spark.createDataFrame([("common",), ("49",)], "needle string")
-    found = directory.customer_search(people, needles)
-    assert "SortMergeJoin LeftSemi" not in plan(found)
-    assert {r.needle: r["count"] for r in found.groupBy("needle").count().collect()} == {"common": 50, "49": 1}
