@@ -409,8 +409,7 @@ BODIES: dict[str, str] = {
         join order_predictions p on p.order_id = o.order_id where predicted_fraud = 1""",
     "customer_recent_orders": f"select {_ORDER} from counted where rank <= 5",
     "customer_orders": f"select {_ORDER} from counted",
-    "order_line_items": f"""select order_id, order_item_id, product_name, quantity,
-        cast(round(cast(unit_price as decimal(30, 12)), {DIGITS}) as double) as unit_price, {_r('line_total')}
+    "order_line_items": f"""select order_id, order_item_id, product_name, quantity, {_r('unit_price', 'line_total')}
         from order_items join products using (product_id)""",
     "customer_overview": f"""select c.customer_id, full_name, email, coalesce(order_count, 0) as order_count,
         round(coalesce(total_spend, 0) @shown) as total_spend, {_t('last_order_datetime')},
@@ -519,8 +518,18 @@ BODIES: dict[str, str] = {
 }
 
 
+def _shown(body: str) -> str:
+    """Each `round(x @shown)` as `x` rounded by way of decimals. Adding zero turns a negative zero into zero."""
+    while (end := body.find("@shown)")) >= 0:
+        start, depth = end, 1
+        while depth:
+            start -= 1
+            depth += {")": 1, "(": -1}.get(body[start], 0)
+        x = body[start + 1:end].strip()
+        rounded = f"(cast(round(cast({x} as decimal(38, {DIGITS + 3})), {DIGITS}) as double) + 0e0)"
+        body = body[:start].removesuffix("round") + rounded + body[end + len("@shown)"):]
+    return body
+
+
 def oracle_sql() -> dict[str, str]:
-    # Adding zero turns a negative zero into zero.
-    bodies = BODIES | _model_bodies()
-    shown = f", {DIGITS}) + 0e0"
-    return {name: MAPPED + body.replace("@shown)", shown) for name, body in bodies.items()}
+    return {name: MAPPED + _shown(body) for name, body in (BODIES | _model_bodies()).items()}
