@@ -60,6 +60,7 @@ class _Target:
 
     column: int
     rank: int
+    rows: int
     prefix: int = 0
     value: float | None = None
 
@@ -68,8 +69,8 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
     """Linearly interpolated quantiles of each column, nulls and NaN skipped.
 
     A quantile lies between two ranks. Numbers are mapped to whole ones in the same order, and each pass counts the rows by their
-    next STEP bits among those that share a rank's bits so far, for all columns and ranks together; a rank is settled as
-    soon as all rows left are equal. `df` is read once and its numbers written, with their bits; these are read at most six times,
+    next STEP bits among those that share a rank's bits so far, or by all bits left once there are at most 2 ** STEP rows, for all
+    columns and ranks together; a rank is settled as soon as all rows left are equal. `df` is read once and its numbers written, with their bits; these are read at most six times,
     whatever their values, and only the columns that are still looked at. A task holds at most 2 ** STEP
     counts a rank, and one row a rank reaches the driver.
     """
@@ -81,12 +82,13 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
         for p in probabilities if sizes[i] else ():
             position = p * (sizes[i] - 1)
             for rank in (math.floor(position), math.ceil(position)):
-                targets[i, rank] = _Target(i, rank)
-    for low in range(64 - STEP, -STEP, -STEP):
-        waiting = [t for t in targets.values() if t.value is None]
-        if not waiting:
-            break
-        _narrow(numbers, waiting, max(low, 0), min(STEP, STEP + low))
+                targets[i, rank] = _Target(i, rank, sizes[i])
+    low = 64
+    while waiting := [t for t in targets.values() if t.value is None]:
+        # So few rows have no more different bits than a step has.
+        width = low if all(t.rows <= 1 << STEP for t in waiting) else min(STEP, low)
+        low -= width
+        _narrow(numbers, waiting, low, width)
 
     def quantile(i: int, p: float) -> float | None:
         if not sizes[i]:
@@ -115,11 +117,11 @@ def _narrow(numbers: DataFrame, targets: Sequence[_Target], low: int, width: int
     counted = counted.withColumn("upto", upto)
     found = counted.groupBy("k").agg(*[
         F.min(F.when((F.col("k") == groups[t.column, t.prefix]) & (F.col("upto") > t.rank),
-                     F.struct("head", (F.col("upto") - F.col("rows")).alias("before"), "least", "most"))).alias(f"t{i}")
+                     F.struct("head", (F.col("upto") - F.col("rows")).alias("before"), "rows", "least", "most"))).alias(f"t{i}")
         for i, t in enumerate(targets)])
     rows = {row["k"]: row for row in found.collect()}
     for i, t in enumerate(targets):
         at = rows[groups[t.column, t.prefix]][f"t{i}"]
-        t.prefix, t.rank = at["head"], t.rank - at["before"]
+        t.prefix, t.rank, t.rows = at["head"], t.rank - at["before"], at["rows"]
         if at["least"] == at["most"] or low == 0:
             t.value = at["least"]

@@ -136,6 +136,9 @@ def test_quantiles_are_exact_in_at_most_six_passes(spark, monkeypatch):
         assert got[name] == pytest.approx(list(np.quantile(values, probabilities)), rel=1e-12), name
     assert passes == [(52, 12), (40, 12), (28, 12), (16, 12), (4, 12), (0, 4)]
     passes.clear()
+    assert quantiles.exact_quantiles(df.select("spread"), ["spread"], [0.5])["spread"] == pytest.approx([np.median(COLUMNS["spread"])])
+    assert len(passes) <= 3
+    passes.clear()
     assert quantiles.exact_quantiles(df.select("constant"), ["constant"], [0.5]) == {"constant": [3.25]} and len(passes) == 1
     assert quantiles.exact_quantiles(df.select("heavy"), ["heavy"], [0.5]) == {"heavy": [42.0]} and len(passes) <= 3
 
