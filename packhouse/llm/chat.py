@@ -178,8 +178,8 @@ def format_chats(
         if held:
             yield rows_of([held[0]], [np.concatenate(held[1])], [np.concatenate(held[2])])
 
-    together = placed.repartition("conv_id", "piece").sortWithinPartitions("conv_id", "piece", "turn", "role", "text")
-    return together.mapInArrow(run, FORMATTED.format(kind))
+    ordered = placed.repartition("conv_id", "piece").sortWithinPartitions("conv_id", "piece", "turn", "role", "text")
+    return ordered.mapInArrow(run, FORMATTED.format(kind))
 
 
 class _Reader:
