@@ -26,7 +26,8 @@ HEADLINE = [
     "contract_audit", "table_profile", "run_log_summary",
     "customers_list", "products_list", "customer_resolve_session", "product_price", "open_orders", "fulfillment_status",
     "order_counts", "customer_order_counts", "label_distribution", "customer_age", "model_card", "model_smoke_check",
-    "scoring_run_summary", "daily_scoring",
+    "scoring_run_summary", "daily_scoring", "customer_order_stats_maintained", "customer_order_counts_maintained",
+    "order_counts_maintained", "scoring_by_change",
 ]
 
 

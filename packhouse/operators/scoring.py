@@ -35,6 +35,20 @@ class Scorer(Protocol):
     def score(self, tables: Tables) -> DataFrame: ...
 
 
+class ChangeScorer(Scorer, Protocol):
+    """A scorer whose score of an order depends on the order's row of `inputs` alone.
+
+    `identity` differs between scorers that may score an equal row differently.
+    """
+
+    @property
+    def identity(self) -> str: ...
+
+    def inputs(self, tables: Tables) -> DataFrame: ...
+
+    def score_inputs(self, rows: DataFrame) -> DataFrame: ...
+
+
 def _prediction_rows(scored: DataFrame, prob: str, pred: str) -> DataFrame:
     """Score rows of a fraud scorer; the late columns are always 0."""
     return scored.select(
@@ -44,7 +58,10 @@ def _prediction_rows(scored: DataFrame, prob: str, pred: str) -> DataFrame:
 
 def score_open_orders_hash(tables: Tables) -> DataFrame:
     """The deterministic hash score; fraud is flagged from 0.5 whatever the threshold setting."""
-    waiting = open_orders_for_scoring(tables["shop_orders"], tables["shipments"], ordered=False)
+    return _hash_scored(open_orders_for_scoring(tables["shop_orders"], tables["shipments"], ordered=False))
+
+
+def _hash_scored(waiting: DataFrame) -> DataFrame:
     scored = waiting.withColumn("prob", hash_score_at(
         F.col("order_id"), F.col("customer_id"), F.col("total_value"), F.col("order_timestamp")))
     return _prediction_rows(scored.withColumn("pred", F.col("prob") >= 0.5), "prob", "pred")
@@ -53,7 +70,11 @@ def score_open_orders_hash(tables: Tables) -> DataFrame:
 def score_open_orders_model(tables: Tables, model: PipelineModel | LinearParameters,
                             threshold: float = THRESHOLD, features: list[str] | None = None) -> DataFrame:
     """Serving features through a fitted pipeline or its plain parameters."""
-    rows = require_features(fraud_features_serving(tables), features or FRAUD_FEATURES)
+    return _model_scored(fraud_features_serving(tables), model, threshold, features)
+
+
+def _model_scored(rows: DataFrame, model: PipelineModel | LinearParameters, threshold: float, features: list[str] | None) -> DataFrame:
+    rows = require_features(rows, features or FRAUD_FEATURES)
     apply = predict_linear if isinstance(model, LinearParameters) else predict
     return _prediction_rows(apply(model, rows, threshold), "prob", "pred")
 
@@ -65,6 +86,16 @@ class HashScorer:
     def score(self, tables: Tables) -> DataFrame:
         return score_open_orders_hash(tables)
 
+    @property
+    def identity(self) -> str:
+        return self.key
+
+    def inputs(self, tables: Tables) -> DataFrame:
+        return open_orders_for_scoring(tables["shop_orders"], tables["shipments"], ordered=False)
+
+    def score_inputs(self, rows: DataFrame) -> DataFrame:
+        return _hash_scored(rows)
+
 
 @dataclass(frozen=True)
 class ModelScorer:
@@ -81,6 +112,18 @@ class ModelScorer:
     def score(self, tables: Tables) -> DataFrame:
         return score_open_orders_model(tables, self.model, self.threshold, self.features)
 
+    @property
+    def identity(self) -> str:
+        """A fitted pipeline keeps its uid when it is stored; a new fit has a new one."""
+        model = self.model if isinstance(self.model, LinearParameters) else self.model.uid
+        return f"{self.key}:{model!r}:{self.threshold!r}:{self.features!r}"
+
+    def inputs(self, tables: Tables) -> DataFrame:
+        return fraud_features_serving(tables)
+
+    def score_inputs(self, rows: DataFrame) -> DataFrame:
+        return _model_scored(rows, self.model, self.threshold, self.features)
+
 
 def threshold_setting(environ: Mapping[str, str] = os.environ) -> float:
     return float(environ.get("FRAUD_THRESHOLD", THRESHOLD))
@@ -163,6 +206,56 @@ def scoring_run(spark: SparkSession, tables: Tables, scorer: Scorer, run_ts: dat
     return ScoringRun(predictions, flagged, summary(True, scored, count, None), version)
 
 
+def input_digests(rows: DataFrame, identity: str) -> DataFrame:
+    """`rows` with a 16-byte digest of the scorer and every column but the order id."""
+    fields = F.struct(*[c for c in rows.columns if c != "order_id"])
+    written = F.concat(F.lit(f"{identity}\n"), F.to_json(fields, {"ignoreNullFields": "false"}))
+    return rows.withColumn("digest", F.unhex(F.md5(written)))
+
+
+@dataclass(frozen=True)
+class ChangeRun:
+    """`scored` orders were new, changed or reopened; `closed` ones are no longer open. Without any, `version` is the old one."""
+
+    scored: int
+    closed: int
+    version: int
+
+
+def scoring_by_change(tables: Tables, scorer: ChangeScorer, run_ts: datetime | str,
+                      store: VersionedStore, digests: VersionedStore) -> ChangeRun:
+    """Score the open orders whose inputs, or whose scorer, are not those of the last run; all other predictions stay.
+
+    The scores are those of a full run; the time of a prediction is that of the run which made it. `digests` holds a digest of
+    the inputs of every order that was open at the last run, so an order that was closed in between is scored anew. Both
+    stores are rewritten in the parts that hold changed orders only. Predictions are committed first: a crash before
+    the digests' commit makes the next run score the same orders again, to the same values. Rows without order id are not
+    scored. A run without changes commits nothing.
+    """
+    current = input_digests(scorer.inputs(tables).where("order_id is not null"), scorer.identity)
+    last = digests.read()
+    if last is None:
+        changed = current
+    else:
+        known = last.select("order_id", F.col("digest").alias("_known"))
+        changed = current.join(known, "order_id", "full_outer").where(~F.col("digest").eqNullSafe(F.col("_known"))).drop("_known")
+    changed = materialize(changed, "changed")
+    to_score = changed.where("digest is not null")
+    counts = changed.agg(F.count("digest"), F.count(F.lit(1))).first()
+    scored, closed = counts[0], counts[1] - counts[0]
+    version = store.current_version()
+    if scored or not version:
+        batch = materialize(scorer.score_inputs(to_score.drop("digest")), "scores")
+        version = store.merge(batch, "order_id", lambda old, new: upsert_predictions(old, new, run_ts), tables["order_predictions"])
+    if scored or closed:
+        def replaced(old: DataFrame, new: DataFrame) -> DataFrame:
+            kept = old.join(new.select("order_id"), "order_id", "left_anti")
+            return kept.unionByName(new.where("digest is not null").distinct())
+
+        digests.merge(changed.select("order_id", "digest"), "order_id", replaced, changed.select("order_id", "digest").limit(0))
+    return ChangeRun(scored, closed, version)
+
+
 def daily_scoring(spark: SparkSession, folder: str, scorer: Scorer, run_ts: datetime | str,
                   store_root: str | None = None) -> DataFrame:
     """Re-score all open orders of the stored tables; a repeat for the same time changes nothing."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from packhouse.plans.parameters import DIGITS, FRAUD_PARAMETERS, RUN_TS, SEARCH_TEXTS
+from packhouse.plans.parameters import DIGITS, FRAUD_PARAMETERS, LATER_TS, RUN_TS, SEARCH_TEXTS
 from packhouse.schemas import FRAUD_FEATURES, LATE_FEATURES, TABLES
 
 TIME = "'%Y-%m-%d %H:%M:%S.%f'"
@@ -500,6 +500,30 @@ BODIES: dict[str, str] = {
         (select count(*) from hash_predictions p join open_orders o on o.order_id = p.order_id
           join customers c on c.customer_id = o.customer_id where predicted_fraud = 1) as flagged_orders,
         null::varchar as error_message""",
+    "customer_order_stats_maintained": f"""select c.customer_id, count(order_id) as order_count,
+        round(coalesce(sum(order_total), 0) @shown) as total_spend, {_t('max(order_datetime)', 'last_order_datetime')}
+        from customers c left join shop_orders o on o.customer_id = c.customer_id and order_id % 11 <> 5
+        group by c.customer_id""",
+    "customer_order_counts_maintained": """select customer_id, count(*) as customer_order_count
+        from shop_orders where order_id % 11 <> 5 group by customer_id""",
+    "order_counts_maintained": """select order_id, coalesce(i.n, 0) as item_count, coalesce(s.n, 0) as shipment_count from shop_orders
+        left join (select order_id, count(*) as n from items where product_id % 9 <> 0 group by order_id) i using (order_id)
+        left join (select order_id, count(*) as n from shipped group by order_id) s using (order_id)""",
+    "scoring_by_change": f""", is_open as (select order_id from open_orders),
+        before as (
+          select order_id, customer_id, order_datetime,
+            case when order_id % 5 = 0 then order_total + 100 else order_total end as order_total
+          from shop_orders where order_id % 7 <> 0 and (order_id % 11 = 0 or order_id in (select order_id from is_open))),
+        made as (
+          select order_id, {_score()} as p, case when order_id % 5 = 0 or order_id % 7 = 0 then '{LATER_TS}' else '{RUN_TS}' end as t
+          from open_orders
+          union all
+          select order_id, {_score()}, '{RUN_TS}' from before where order_id not in (select order_id from is_open))
+        select order_id, 0.0::double as late_delivery_probability, 0 as predicted_late_delivery, {_r2('p', 'fraud_probability')},
+          cast(p >= 0.5 as int) as predicted_fraud, strftime(cast(t as timestamp), {TIME}) as prediction_timestamp from made
+        union all
+        select order_id, late_delivery_probability, predicted_late_delivery, {_r('fraud_probability')}, predicted_fraud,
+          strftime(prediction_timestamp, {TIME}) from order_predictions where order_id not in (select order_id from made)""",
     "order_lines_parse": """select p.request_id, cast(line_no as int) as line_no, product_id, quantity,
         cast(coalesce(ok, false) as int) as lines_ok
         from parsed p left join lines l on l.request_id = p.request_id

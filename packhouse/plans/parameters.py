@@ -9,6 +9,7 @@ from packhouse.schemas import FRAUD_FEATURES
 DIGITS = 6
 
 RUN_TS = "2026-01-31 00:00:00"
+LATER_TS = "2026-02-01 00:00:00"
 SEARCH_TEXTS = ["  CUSTOMER#00000001", "%", "_", "007 ", "9@example.edu 1", "", "nobody"]
 
 # Rounded parameters of one training run: a stand-in for a stored model in SQL comparisons.

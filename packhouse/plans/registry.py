@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from packhouse.functions.scalars import customer_age, hash_score_at, time_text
-from packhouse.operators import directory, features, intake, metrics, model, orders, quality, queue, runlog, scoring, split
-from packhouse.plans.parameters import DIGITS, FRAUD_PARAMETERS, RUN_TS, SEARCH_TEXTS
+from packhouse.operators import directory, features, intake, maintained, metrics, model, orders, quality, queue, runlog, scoring, split
+from packhouse.plans.parameters import DIGITS, FRAUD_PARAMETERS, LATER_TS, RUN_TS, SEARCH_TEXTS
 from packhouse.schemas import FRAUD_FEATURES, FRAUD_LABEL, REQUESTS
 from packhouse.sources.shared import materialize, new_folder
 from packhouse.sources.star import StarTables
@@ -346,6 +346,62 @@ def daily_scoring(star):
     return VersionedStore(star.spark, f"{folder}/_predictions").read()
 
 
+def _changed_orders(star: StarTables) -> maintained.Rollup:
+    """Orders arrive, some with a wrong total and too late a date; those are corrected and the missing ones added, which is
+    delivered twice; then some orders are deleted."""
+    rollup = maintained.customer_rollup(VersionedStore(star.spark, new_folder(star.spark, "customer_rollup")))
+    all_orders = star.shop_orders
+    wrong = all_orders.where("order_id % 10 <> 3 and order_id % 7 = 0").withColumns(
+        {"order_total": F.col("order_total") * 2, "order_datetime": F.col("order_datetime") + F.expr("interval 3 years")})
+    first = all_orders.where("order_id % 10 <> 3 and order_id % 7 <> 0").unionByName(wrong)
+    second = maintained.deleted(wrong).unionByName(
+        maintained.inserted(all_orders.where("order_id % 10 = 3 or order_id % 7 = 0")))
+    rollup.apply(maintained.inserted(first), "orders", 1, first)
+    for _ in range(2):
+        rollup.apply(second, "orders", 2, all_orders)
+    rollup.apply(maintained.deleted(all_orders.where("order_id % 11 = 5")), "orders", 3, all_orders.where("order_id % 11 <> 5"))
+    return rollup
+
+
+@query
+def customer_order_stats_maintained(star):
+    return maintained.customer_order_stats(star.customers, _changed_orders(star))
+
+
+@query
+def customer_order_counts_maintained(star):
+    return maintained.customer_order_counts(_changed_orders(star))
+
+
+@query
+def order_counts_maintained(star):
+    """Lines and shipments arrive in two batches each, the second one twice; then the lines of some products are deleted."""
+    lines = maintained.line_rollup(VersionedStore(star.spark, new_folder(star.spark, "line_rollup")))
+    shipments = maintained.shipment_rollup(VersionedStore(star.spark, new_folder(star.spark, "shipment_rollup")))
+    for rollup, rows in (lines, star.items), (shipments, star.shipped):
+        rollup.apply(maintained.inserted(rows.where("order_id % 4 <> 1")), "arrivals", 1)
+        for _ in range(2):
+            rollup.apply(maintained.inserted(rows.where("order_id % 4 = 1")), "arrivals", 2)
+    lines.apply(maintained.deleted(star.items.where("product_id % 9 = 0")), "arrivals", 3)
+    return maintained.order_counts(star.shop_orders.select("order_id"), lines, shipments)
+
+
+@query
+def scoring_by_change(star):
+    """A first run before some totals were corrected, while some orders were still open and others closed that were opened
+    again; a later run over the tables as they are; and one more, which finds nothing to do."""
+    tables = _slim(star)
+    raised = F.when(F.col("order_id") % 5 == 0, F.col("order_total") + 100).otherwise(F.col("order_total"))
+    closed = star.shop_orders.where("order_id % 7 = 0").select("order_id")
+    before = tables | {"shop_orders": tables["shop_orders"].withColumn("order_total", raised),
+                       "shipments": tables["shipments"].where("order_id % 11 <> 0").unionByName(closed)}
+    store = VersionedStore(star.spark, new_folder(star.spark, "predictions"))
+    digests = VersionedStore(star.spark, new_folder(star.spark, "digests"))
+    for state, when in (before, RUN_TS), (tables, LATER_TS), (tables, LATER_TS):
+        scoring.scoring_by_change(state, scoring.HashScorer(), when, store, digests)
+    return store.read()
+
+
 @query
 def order_lines_parse(star):
     return intake.order_lines_parse(star.order_requests)

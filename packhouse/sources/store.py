@@ -86,8 +86,8 @@ class VersionedStore:
         return sorted((int(n[1:]) for n in names if n[0] == "v" and n[1:].isdigit()), reverse=True)
 
     def manifest(self, version: int) -> dict | None:
-        """What a version consists of: `folders` and, if it is in parts, `key`, `n_parts` and the `part` of each folder.
-        None for a marker that cannot be read: it is no commit."""
+        """What a version consists of: `folders` and, if it is in parts, `key`, `n_parts`, the `part` of each folder and
+        the last number `applied` of each stream. None for a marker that cannot be read: it is no commit."""
         try:
             found = json.loads(read_text(self.spark, f"{self.root}/commits/v{version}"))
             return found if found["version"] == version and isinstance(found["folders"], list) else None
@@ -128,15 +128,22 @@ class VersionedStore:
         return self._publish(version, {"schema": _ddl(df), "folders": [path]})
 
     def merge(self, batch: DataFrame, key: str, apply: Callable[[DataFrame, DataFrame], DataFrame],
-              start: DataFrame | None = None, parts: int = PARTS) -> int:
+              start: DataFrame | None = None, parts: int = PARTS, once: tuple[str, int] | None = None) -> int:
         """Commit `apply(old, batch)` as the next version, writing only the parts that have keys of `batch`.
 
         `apply` gets the old rows of these parts alone; it must give rows of a key only for that key's old rows and batch
         rows, and keep those that the batch says nothing about. An empty store begins with the rows of `start`, and one that
         is not yet in parts by `key` is written whole, once, in `parts` parts. `batch` is read twice. A batch without rows
-        commits nothing.
+        commits nothing. `once` is a stream and a number: the manifest remembers each stream's largest number, and a batch
+        whose number is not above it commits nothing.
         """
         newest = self._newest()
+        applied = dict(newest.get("applied", {})) if newest else {}
+        if once:
+            stream, number = once
+            if number <= applied.get(stream, number - 1):
+                return newest["version"]
+            applied[stream] = number
         version = newest["version"] + 1 if newest else 1
         whole = newest is None or newest.get("key") != key
         n_parts = parts if whole else newest["n_parts"]
@@ -158,7 +165,7 @@ class VersionedStore:
         written = {int(n.split("=")[1]): f"{path}/{n}" for n in children(self.spark, f"{self.root}/{path}")}
         places = kept | written
         return self._publish(version, {
-            "schema": _ddl(merged), "key": key, "n_parts": n_parts, "parts": sorted(places),
+            "schema": _ddl(merged), "key": key, "n_parts": n_parts, "parts": sorted(places), "applied": applied,
             "folders": [places[p] for p in sorted(places)]})
 
     def expire(self, keep: int = 1) -> None:
