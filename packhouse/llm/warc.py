@@ -1,11 +1,17 @@
 """WARC records in ZIP packages, written and read by ranges.
 
-A package holds the stored member `archive/data.warc.gz`, one gzip member per record, and the stored member
+A written package holds the stored member `archive/data.warc.gz`, one gzip member per record, and the stored member
 `indexes/index.cdx` with a line (offset, length) for each record. Reading takes two steps: one row per package, in which the
-end record, the central directory (also in ZIP64 form) and the index are parsed, gives ranges of records; these are spread
+end record, the central directory (also in ZIP64 form) and the indexes are parsed, gives ranges of records; these are spread
 over all tasks, and each is read from inside the stored member. Nothing is extracted, and a package larger than a
 task's memory is read in pieces.
 
+Packages of others may have any number of stored members `*.warc.gz` or `*.warc`, and any of them may lack an index, or have
+one (lines of offset and length, or of JSON with filename, offset and length, plain or gzipped) that names only some
+records: what no index names is scanned for records, a piece at a time, so none is lost. An archive that is compressed
+inside the package, and an index that points elsewhere than to records, raise. Memory is that of the indexes, and of the
+longest gzip member or record.
+
 Files are written under unique names into a shared folder, and only names that a finished task has returned are read, so a
 lost executor or a second attempt leaves nothing but an unused file.
 """
@@ -13,11 +19,15 @@ lost executor or a second attempt leaves nothing but an unused file.
 from __future__ import annotations
 
 import base64
+import binascii
 import hashlib
+import json
+import re
 import struct
 import uuid
 import zipfile
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,6 +41,9 @@ from packhouse.sources.shared import materialize, new_folder
 PACKAGE_BYTES = 16_000_000
 RANGE_BYTES = 1_000_000
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
+ARCHIVES, INDEXES = re.compile(r"\.warc(\.gz)?$"), re.compile(r"(^|/)indexes/[^/]+\.cdxj?(\.gz)?$")
+GZIP = b"\x1f\x8b"
+PIECE = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ALL_16, ALL_32 = 0xFFFF, 0xFFFFFFFF
@@ -68,25 +81,44 @@ def record(page: int | None, url: str | None, payload: bytes, refers_to: int | N
 
 
 def _headers(block: bytes) -> tuple[dict[str, str], bytes]:
+    """Fields by lower-case name, and what follows the blank line. A line that starts with white space goes on."""
     head, _, rest = block.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")[1:]
-    return {k.lower(): v for k, _, v in (x.partition(": ") for x in lines)}, rest
+    lines = re.sub(r"\r\n[ \t]+", " ", head.decode(errors="replace")).split("\r\n")[1:]
+    return {k.strip().lower(): v.strip(" \t") for k, _, v in (x.partition(":") for x in lines)}, rest
+
+
+def _sha1_of(field: str | None) -> str | None:
+    """The SHA-1 that a digest field names, in base32 whether it is written so or in hex; None for other digests."""
+    kind, _, value = (field or "").partition(":")
+    if kind.lower() != "sha1":
+        return None
+    return base64.b32encode(binascii.unhexlify(value)).decode() if len(value) == 40 else value.upper()
 
 
 def parse_record(raw: bytes) -> dict:
-    """The fields of a record; a payload that does not fit its digest raises."""
+    """The fields of a record; a payload that does not fit its SHA-1 raises.
+
+    The payload of an HTTP response is what follows its head, as it was sent; that of any other record, but for revisits, which have
+    none, is its block. payload_digest is computed where the record has none, and payload_bytes of a revisit is null where
+    nothing tells it. A chunked payload is not compared with its digest, which may be that of the joined chunks.
+    """
     if not raw.startswith(b"WARC/1."):
         raise ValueError("not a WARC record")
     head, rest = _headers(raw)
-    http, payload = _headers(rest[:int(head["content-length"])])
-    kind = head["warc-type"]
-    digest = head["warc-payload-digest"].removeprefix("sha1:")
-    if kind == "response" and base32_sha1(payload) != digest:
-        raise ValueError(f"payload of {head['warc-record-id']} does not fit its digest")
+    block, kind = rest[:int(head["content-length"])], head["warc-type"].lower()
+    http, payload, said = {}, block, _sha1_of(head.get("warc-payload-digest"))
+    if kind in ("response", "revisit") and block.startswith(b"HTTP/"):
+        http, payload = _headers(block)
+    if kind == "revisit":
+        size, digest, payload = http.get("content-length"), said, None
+        size = int(size) if size and size.isdigit() else None
+    else:
+        size, digest = len(payload), base32_sha1(payload)
+        if kind == "response" and said not in (None, digest) and "chunked" not in http.get("transfer-encoding", "").lower():
+            raise ValueError(f"payload of {head.get('warc-record-id')} does not fit its digest")
     number = {n: int(head[k]) if k in head else None for n, k in (("page", "page-id"), ("refers_to", "refers-to-page-id"))}
-    return {"page_id": number["page"], "url": head.get("warc-target-uri"), "payload": payload if kind == "response" else None,
-            "payload_bytes": int(http["content-length"]), "payload_digest": digest, "record_type": kind,
-            "refers_to": number["refers_to"]}
+    return {"page_id": number["page"], "url": head.get("warc-target-uri"), "payload": payload, "payload_bytes": size,
+            "payload_digest": digest, "record_type": kind, "refers_to": number["refers_to"]}
 
 
 # Packages
@@ -154,7 +186,7 @@ def directory(file, size: int) -> list[Member]:
         method, = struct.unpack_from("<H", central, p + 10)
         stored, plain, n_name, n_extra, n_comment = struct.unpack_from("<IIHHH", central, p + 20)
         header, = struct.unpack_from("<I", central, p + 42)
-        name = central[p + 46:p + 46 + n_name].decode()
+        name = central[p + 46:p + 46 + n_name].decode(errors="replace")
         extra = central[p + 46 + n_name:p + 46 + n_name + n_extra]
         plain, stored, header = _wide(extra, [plain, stored, header])
         out.append(Member(name, method, plain, stored, header))
@@ -185,34 +217,129 @@ def data_start(file, member: Member) -> int:
     return member.header + 30 + n_name + n_extra
 
 
+def _indexed(file, members: list[Member], archives: list[Member]) -> dict[str, list[tuple[int, int]]]:
+    """(offset, length) of the records that stored indexes name, by archive."""
+    found = defaultdict(list)
+    for index in members:
+        if index.method != 0 or not INDEXES.search(index.name):
+            continue
+        raw = _range(file, data_start(file, index), index.size)
+        for line in (b"".join(_inflated(raw)) if raw.startswith(GZIP) else raw).decode(errors="replace").splitlines():
+            if entry := _entry(line):
+                name, at, length = entry
+                named = [a.name for a in archives if name is None or f"/{a.name}".endswith(f"/{name}")]
+                if len(named) == 1:
+                    found[named[0]].append((at, length))
+    return found
+
+
+def _entry(line: str) -> tuple[str | None, int, int] | None:
+    """Archive, offset and length in a line of an index; None for lines of other kinds, whose records a scan finds."""
+    if "{" in line:
+        try:
+            values = json.loads(line[line.index("{"):])
+            return values.get("filename"), int(values["offset"]), int(values["length"])
+        except (ValueError, KeyError, TypeError):
+            return None
+    numbers = line.split()
+    return (None, int(numbers[0]), int(numbers[1])) if len(numbers) == 2 and all(map(str.isdecimal, numbers)) else None
+
+
+def _scanned(file, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """(start, length) of the gzip members, or plain records, that fill a span, read piece by piece."""
+    while start < end:
+        zipped = _range(file, start, min(2, end - start)) == GZIP
+        length = _member_length(file, start, end) if zipped else _record_length(file, start, end)
+        yield start, length
+        start += length
+
+
+def _member_length(file, start: int, end: int) -> int:
+    one, at = zlib.decompressobj(zlib.MAX_WBITS | 16), start
+    while not one.eof:
+        if at >= end:
+            raise ValueError("a gzip member ends early")
+        piece = _range(file, at, min(PIECE, end - at))
+        at += len(piece)
+        while piece and not one.eof:
+            one.decompress(piece, PIECE)
+            piece = one.unconsumed_tail
+    return at - len(one.unused_data) - start
+
+
+def _record_length(file, start: int, end: int) -> int:
+    head = _range(file, start, min(PIECE, end - start))
+    length = _plain_length(head, 0)
+    if start + length > end:
+        raise ValueError("a record ends early")
+    # The line ends after a block belong to its record.
+    rest = _range(file, start + length, min(4, end - start - length))
+    return length + len(rest) - len(rest.lstrip(b"\r\n"))
+
+
+def _plain_length(raw: bytes, at: int) -> int:
+    """Bytes of head and block of the record that starts at `at`."""
+    stop = raw.find(b"\r\n\r\n", at)
+    if not raw.startswith(b"WARC/1.", at) or stop < 0:
+        raise ValueError("not a WARC record")
+    return stop + 4 - at + int(_headers(raw[at:stop])[0]["content-length"])
+
+
+def _archive_records(file, archive: Member, indexed: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """(start, length) in the package of everything in an archive, in order: as indexed, and scanned between."""
+    base, at = data_start(file, archive), 0
+    for start, length in sorted(set(indexed)):
+        if start < at or length <= 0 or start + length > archive.size:
+            continue
+        yield from _scanned(file, base + at, base + start)
+        yield base + start, length
+        at = start + length
+    yield from _scanned(file, base + at, base + archive.size)
+
+
 def record_ranges(path: str, most: int = RANGE_BYTES) -> Iterator[tuple[int, int]]:
     """(start, length) in the package of runs of whole records, of about `most` bytes or one longer record."""
     system, place = _open(path)
     with system.open_input_file(place) as file:
-        members = {m.name: m for m in directory(file, file.size())}
-        archive = data_start(file, members[ARCHIVE])
-        index = members[INDEX]
-        lines = _range(file, data_start(file, index), index.size).decode().split("\n")
-    start = length = 0
-    for line in filter(None, lines):
-        at, n = map(int, line.split(" "))
-        if length and length + n > most:
-            yield archive + start, length
-            length = 0
-        if not length:
-            start = at
-        length += n
-    if length:
-        yield archive + start, length
-
-
-def records_in(raw: bytes) -> Iterator[bytes]:
+        members = directory(file, file.size())
+        archives = [m for m in members if ARCHIVES.search(m.name)]
+        indexed = _indexed(file, members, archives)
+        for archive in archives:
+            start = length = 0
+            for at, n in _archive_records(file, archive, indexed[archive.name]):
+                if length and length + n > most:
+                    yield start, length
+                    length = 0
+                if not length:
+                    start = at
+                length += n
+            if length:
+                yield start, length
+
+
+def _inflated(raw: bytes) -> Iterator[bytes]:
     while raw:
         one = zlib.decompressobj(zlib.MAX_WBITS | 16)
         yield one.decompress(raw) + one.flush()
+        if not one.eof:
+            raise ValueError("a gzip member ends early")
         raw = one.unused_data
 
 
+def records_in(raw: bytes) -> Iterator[bytes]:
+    """The records of a run, plain or in gzip members of one record or several."""
+    for part in _inflated(raw) if raw.startswith(GZIP) else [raw]:
+        at = 0
+        while at < len(part):
+            length = _plain_length(part, at)
+            if at + length > len(part):
+                raise ValueError("a record ends early")
+            yield part[at:at + length]
+            at += length
+            while part[at:at + 1] in (b"\r", b"\n"):
+                at += 1
+
+
 def read_records(path: str, start: int, length: int) -> Iterator[dict]:
     system, place = _open(path)
     with system.open_input_file(place) as file:
@@ -266,8 +393,8 @@ FIELDS = "page_id long, url string, payload binary, payload_bytes long, payload_
 
 
 def read_archives(packages: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """All records of the packages named in `path`: page_id, url, payload (null for revisits), payload_bytes,
-    payload_digest, record_type, refers_to."""
+    """All records, of every type, of the packages named in `path`: page_id and refers_to (null in archives of others), url,
+    payload (null for revisits), payload_bytes, payload_digest, record_type. See `parse_record`."""
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():

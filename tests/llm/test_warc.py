@@ -107,3 +107,80 @@ def test_compressed_archives_and_changed_payloads_raise():
         warc.parse_record(raw.replace(b"payload\r\n", b"Payload\r\n"))
     with pytest.raises(ValueError, match="not a WARC"):
         warc.parse_record(b"other")
+
+
+def member(kind, block=b"", **fields):
+    lines = {"WARC-Type": kind, "WARC-Record-ID": "<urn:x>", **{k.replace("_", "-"): v for k, v in fields.items()}}
+    head = "".join(f"{k}: {v}\r\n" for k, v in lines.items())
+    return f"WARC/1.0\r\n{head}Content-Length:{len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+
+HTTP = b"HTTP/1.1 200 OK\r\nX: a\r\n b\r\n\r\n"
+
+
+def foreign(folder, name, members):
+    with zipfile.ZipFile(f"{folder}/{name}", "w", zipfile.ZIP_STORED) as package:
+        for where, raw in members:
+            package.writestr(where, raw)
+    return f"{folder}/{name}"
+
+
+def read_foreign(path, most=1 << 20):
+    return [r for s, n in warc.record_ranges(path, most) for r in warc.read_records(path, s, n)]
+
+
+RECORDS = [member("warcinfo", b"software: x"), member("request", b"GET / HTTP/1.1\r\n\r\n", WARC_Target_URI="http://a/"),
+           member("response", HTTP + b"one", WARC_Target_URI="http://a/"),
+           member("revisit", b"", WARC_Payload_Digest="sha1:" + "A" * 32), member("response", b"dns text"), member("metadata")]
+WANT = [("warcinfo", b"software: x", 11), ("request", b"GET / HTTP/1.1\r\n\r\n", 18), ("response", b"one", 3),
+        ("revisit", None, None), ("response", b"dns text", 8), ("metadata", b"", 0)]
+
+
+def seen(records):
+    return [(r["record_type"], r["payload"], r["payload_bytes"]) for r in records]
+
+
+@pytest.mark.parametrize("most", [1, 1 << 20])
+@pytest.mark.parametrize("index", ["none", "some", "gzipped", "wrong name", "old kind"])
+def test_packages_of_others(tmp_path, index, most):
+    packed = [zlib.compress(r, wbits=31) for r in RECORDS]
+    at = sum(map(len, packed[:2]))
+    line = 'com,a)/ 2024 {"url": "http://a/", "filename": "%s", "offset": "%d", "length": "%d"}\n' % (
+        "z.warc.gz" if index == "wrong name" else "b.warc.gz", at, len(packed[2]))
+    lines = {"none": "", "some": line, "gzipped": line, "wrong name": line, "old kind": " CDX N b a\ncom,a)/ 2024 http://a/ - 200 A - 5 b\n"}[index]
+    name = "indexes/index.cdx.gz" if index == "gzipped" else "indexes/index.cdxj"
+    raw = zlib.compress(lines.encode(), wbits=31) if index == "gzipped" else lines.encode()
+    path = foreign(tmp_path, "x.wacz", [
+        ("archive/a.warc", b"".join(RECORDS)), ("datapackage.json", b"{}"), ("archive/b.warc.gz", b"".join(packed)),
+        *([(name, raw)] if index != "none" else []), ("more/one.warc.gz", zlib.compress(b"".join(RECORDS), wbits=31)),
+        ("archive/empty.warc.gz", b"")])
+    assert seen(read_foreign(path, most)) == WANT * 3
+
+
+def test_packages_of_others_on_spark(spark, tmp_path):
+    body = b"y" * 3_000_000
+    long = member("response", HTTP + body, WARC_Payload_Digest=f"sha1:{hashlib.sha1(body).hexdigest()}")
+    paths = [foreign(tmp_path, f"{i}.zip", [("archive/a.warc", b"".join(RECORDS)), ("archive/b.warc.gz", zlib.compress(long, wbits=31)),
+                                            ("archive/c.warc", long + RECORDS[0])]) for i in range(3)]
+    rows = warc.read_archives(spark.createDataFrame([(p,) for p in paths], "path string"), 100).collect()
+    assert Counter((r.record_type, r.payload_bytes) for r in rows) == Counter(
+        {**{(k, n): 3 for k, _, n in WANT}, ("warcinfo", 11): 6, ("response", len(body)): 6})
+    assert {r.payload_digest for r in rows if r.payload_bytes == len(body)} == {base64.b32encode(hashlib.sha1(body).digest()).decode()}
+
+
+def test_damaged_archives_raise(tmp_path):
+    packed = zlib.compress(RECORDS[2], wbits=31)
+    for name, raw in [("a.warc.gz", packed[:-9]), ("b.warc", RECORDS[2][:-20]), ("c.warc", b"text"), ("d.warc.gz", packed + b"junk")]:
+        with pytest.raises((ValueError, zlib.error)):
+            read_foreign(foreign(tmp_path, f"{name}.zip", [(name, raw)]))
+    moved = foreign(tmp_path, "moved.zip", [("archive/a.warc.gz", packed * 2), ("indexes/index.cdx", f"3 {len(packed)}\n".encode())])
+    with pytest.raises((ValueError, zlib.error)):
+        read_foreign(moved)
+
+
+def test_chunked_payloads_and_other_digests_pass():
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n3\r\none\r\n0\r\n\r\n"
+    said = "sha1:" + base64.b32encode(hashlib.sha1(b"one").digest()).decode()
+    assert warc.parse_record(member("response", chunked, WARC_Payload_Digest=said))["payload"].startswith(b"3\r\n")
+    found = warc.parse_record(member("response", HTTP + b"one", WARC_Payload_Digest="sha256:" + "0" * 64))
+    assert found["payload_digest"] == warc.base32_sha1(b"one")
