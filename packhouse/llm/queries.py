@@ -67,8 +67,8 @@ def op8_warc_archives(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_token_rollups(spark: SparkSession, folder: str) -> DataFrame:
-    """Totals after four batches over all documents, two of them applied twice: all are counted by words; copies of an
-    earlier text go; toxic ones go; those not in English are counted anew by pieces."""
+    """Totals after four batches over all documents, three of them applied twice: all are counted by words; copies of an
+    earlier text go; the two are made one snapshot; toxic ones go; those not in English are counted anew by pieces."""
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
     # Both versions are counted in one pass over the texts; from here on only counts travel.
     counts = materialize(docs.select(
@@ -85,8 +85,11 @@ def op9_token_rollups(spark: SparkSession, folder: str) -> DataFrame:
 
     totals = rollups.TokenRollup(spark, new_folder(spark, "rollup"))
     totals.apply("load", rollups.inserts(by(counts, "words-1")))
-    for _ in range(2):
-        totals.apply("copies", rollups.deletes(by(counts.join(first, "doc_id", "left_anti"), "words-1")))
+    totals.apply("copies", rollups.deletes(by(counts.join(first, "doc_id", "left_anti"), "words-1")))
+    totals.compact()
+    totals.clean()
+    totals.apply("load", rollups.inserts(by(counts, "words-1")))
+    totals.apply("copies", rollups.deletes(by(counts.join(first, "doc_id", "left_anti"), "words-1")))
     totals.apply("toxic", rollups.deletes(by(singles.join(toxic, "doc_id", "left_semi"), "words-1")))
     for _ in range(2):
         totals.apply("pieces", rollups.revisions(by(left, "words-1"), by(left, "pieces-1")))

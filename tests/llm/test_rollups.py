@@ -50,6 +50,58 @@ def test_a_batch_that_loses_the_race_or_crashes_leaves_no_trace(spark, tmp_path,
     assert totals(rollup) == {("a", "en", "v1"): (1, 5)}
 
 
+def batch(spark, n):
+    return inserts(spark.createDataFrame(rows((f"s{n % 2}", "en", "v1", n), (None, None, "v1", 1)), COUNTS))
+
+
+def test_a_snapshot_takes_the_place_of_the_batches_before_it(spark, tmp_path):
+    rollup = TokenRollup(spark, str(tmp_path))
+    assert not rollup.compact()
+    rollup.clean()
+    for n in range(6):
+        assert rollup.apply(f"b{n}", batch(spark, n))
+        if n in (2, 4):
+            want = totals(rollup)
+            assert rollup.compact() and not rollup.compact() and totals(rollup) == want
+            rollup.clean()
+            assert totals(rollup) == want
+    assert totals(rollup) == {("s0", "en", "v1"): (3, 6), ("s1", "en", "v1"): (3, 9), (None, None, "v1"): (6, 6)}
+    assert not any(rollup.apply(f"b{n}", batch(spark, n)) for n in range(6))
+    # One snapshot, and the marker and sums of the batch since.
+    assert [len(store.children(spark, f"{tmp_path}/{f}")) for f in ("snapshots", "compacted", "commits", "changes")] == [1, 1, 1, 1]
+
+
+def test_totals_of_many_batches_read_the_snapshot(spark, tmp_path):
+    rollup = TokenRollup(spark, str(tmp_path))
+    for n in range(12):
+        rollup.apply(f"b{n}", batch(spark, n))
+    assert len(rollup.totals().inputFiles()) >= 12
+    assert rollup.compact()
+    files = rollup.totals().inputFiles()
+    assert files and all("/compacted/" in f for f in files) and len(files) <= 8
+
+
+def test_compaction_that_crashes_or_loses_changes_nothing(spark, tmp_path, monkeypatch):
+    rollup = TokenRollup(spark, str(tmp_path))
+    rollup.apply("1", batch(spark, 1))
+    want = totals(rollup)
+    for lost in (lambda *_: False, lambda *_: 1 / 0):
+        with monkeypatch.context() as m:
+            m.setattr("packhouse.llm.rollups.publish", lost)
+            try:
+                assert not rollup.compact()
+            except ZeroDivisionError:
+                pass
+        assert totals(rollup) == want
+    # A writer that looked before the compaction and commits after the cleaning: its batch counts once.
+    late = TokenRollup(spark, str(tmp_path))
+    assert rollup.compact()
+    rollup.clean()
+    monkeypatch.setattr(late, "_snapshot", lambda: (0, None))
+    late.apply("1", batch(spark, 1))
+    assert totals(rollup) == want
+
+
 def test_counts(spark):
     docs = spark.createDataFrame([("a é\x0bb-1!?", "s", "en"), (None, "s", None), ("", None, "en")], "text string, source string, lang string")
     assert [r.n for r in docs.select(count_tokens(docs.text, "words-1").alias("n")).collect()] == [3, 0, 0]
