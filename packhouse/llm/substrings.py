@@ -21,6 +21,7 @@ Texts are moved at the last two steps, by doc_id.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -309,6 +310,21 @@ def _packed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(_pack(docs.columns.index("text")), docs.withColumn("text", F.col("text").cast("binary")).schema)
 
 
+#: Columns that are joined to the documents on the way.
+JOINED = {"__id", "__repeated", "__first", "__mixed", "__windows"}
+
+
+def _set_aside(docs: DataFrame, names: set[str]) -> tuple[DataFrame, dict[str, str]]:
+    """`docs` with its columns of these names, in whatever case, under fresh names; and how those are renamed back."""
+    taken, back = {c.lower() for c in docs.columns}, {}
+    for c in docs.columns:
+        if c.lower() in names:
+            fresh = next(n for i in count() if (n := f"__own{i}") not in taken)
+            taken.add(fresh)
+            back[fresh] = c
+    return docs.withColumnsRenamed({c: n for n, c in back.items()}), back
+
+
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """`docs` with n_words, n_removed and kept: the words left, joined by one space, after removing every word of a
     window of `window` words whose word sequence also starts earlier (smaller doc_id, or the same document earlier).
@@ -318,7 +334,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     are returned uncut and cut nothing. Rows that repeat a doc_id count as one document at one place, so each loses what an
     earlier document has; ids are meant to be unique. Other columns are kept; n_words, n_removed, kept replace columns so named.
     """
-    docs = docs.drop("n_words", "n_removed", "kept")
+    docs, back = _set_aside(docs.drop("n_words", "n_removed", "kept"), JOINED)
     columns = docs.columns
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null and text is not null")
     units = texts.mapInArrow(_units(window), "doc_id long, core long, whole long, times long")
@@ -342,7 +358,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     known = told.join(wins, "doc_id", "left").withColumnRenamed("doc_id", "__id")
     joined = _packed(docs).join(known, F.col("doc_id").cast("long") == F.col("__id"), "left").drop("__id")
     schema = docs.selectExpr("*", "0L as n_words", "0L as n_removed", "'' as kept").schema
-    return joined.mapInArrow(_cut(columns, columns.index("text"), window), schema)
+    return joined.mapInArrow(_cut(columns, columns.index("text"), window), schema).withColumnsRenamed(back)
 
 
 def kept_digest(kept: str = "kept") -> Column:
@@ -356,11 +372,11 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     A text that loses words becomes the others, joined by one space, and n_chars, if there, its new length; other texts stay
     as they are.
     """
-    found = without_repeats(docs.withColumnsRenamed({c: f"_own_{c}" for c in ("n_words", "n_removed", "kept") if c in docs.columns}), window)
+    aside, back = _set_aside(docs, {"n_words", "n_removed", "kept"})
+    found = without_repeats(aside, window)
     found = found.filter("n_removed = 0 or n_removed < n_words").withColumn(
         "text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")))
-    found = found.drop("n_words", "n_removed", "kept")
-    return found.withColumnsRenamed({c: c.removeprefix("_own_") for c in found.columns}).select(
+    return found.drop("n_words", "n_removed", "kept").withColumnsRenamed(back).select(
         *[F.col(f.name).cast(f.dataType).alias(f.name) for f in docs.schema])

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -83,3 +84,61 @@ def test_nothing_to_learn_from(spark):
     model = language.fit_language(none)
     assert [tuple(r)[2:] for r in language.identify(none, model).collect()] == [("und", 0.0)]
     assert language.identify(spark.createDataFrame([], ROWS), model).collect() == []
+
+
+def plain_probabilities(model, window):
+    """The forward pass for one window, position by position."""
+    pooled = []
+    for w in language.WIDTHS:
+        table = model[f"width{w}"]
+        for f in range(language.FILTERS):
+            pooled.append(max(sum(float(table[j][window[p + j], f]) for j in range(w)) for p in range(language.WINDOW - w + 1)))
+    active = [max(x + float(s), 0.0) for x, s in zip(pooled, model["shift"])]
+    logits = [sum(a * float(d) for a, d in zip(active, model["dense"][:, c])) + float(model["bias"][c]) for c in range(len(model["bias"]))]
+    exps = [math.exp(x - max(logits)) for x in logits]
+    return [e / sum(exps) for e in exps]
+
+
+def test_predictions_equal_a_plain_forward_pass(spark, fitted):
+    rows, frame, model = fitted
+    found = {r.doc_id: r for r in language.identify(frame, model).collect()}
+    for i, text, *_ in rows[:12]:
+        data = text.encode()
+        starts = range(0, max(1, len(data) - (language.WINDOW - language.STEP)), language.STEP)
+        parts = [data[s:s + language.WINDOW] for s in starts]
+        each = [plain_probabilities(model, p.ljust(language.WINDOW, b"\0")) for p in parts]
+        mean = [sum(len(p) * e[c] for p, e in zip(parts, each)) / sum(map(len, parts)) for c in range(len(each[0]))]
+        best = max(range(len(mean)), key=mean.__getitem__)
+        assert found[i].lang_pred == model["langs"][best] and found[i].score == pytest.approx(mean[best], abs=1e-4)
+
+
+def test_first_step_follows_the_numerical_gradient(monkeypatch):
+    """Adam's first step is the rate times the sign of the gradient, so it shows the sign of every slope."""
+    rng = np.random.default_rng(5)
+    matrix = rng.integers(97, 101, (6, language.WINDOW)).astype(np.uint8)
+    classes = np.array([0, 0, 0, 1, 1, 2])
+    monkeypatch.setattr(language, "RATE", 0.0)
+    start = language.fit_network(matrix, classes, 3, epochs=1)
+    monkeypatch.setattr(language, "RATE", 1e-6)
+    moved = language.fit_network(matrix, classes, 3, epochs=1)
+
+    def loss(model):
+        exact = {k: v.astype(np.float64) for k, v in model.items()}
+        p = language.probabilities(exact, matrix)
+        weight = len(classes) / 3 / np.bincount(classes)
+        return -np.mean(weight[classes] * np.log(p[np.arange(len(p)), classes]))
+
+    checked = 0
+    for name, values in start.items():
+        places = [tuple(x) for x in np.argwhere(moved[name] != values)]
+        for at in [places[i] for i in rng.permutation(len(places))[:12]]:
+            sides = []
+            for h in (1e-4, -1e-4):
+                other = {k: v.astype(np.float64) for k, v in start.items()}
+                other[name][at] += h
+                sides.append(loss(other))
+            slope = (sides[0] - sides[1]) / 2e-4
+            if abs(slope) > 1e-5:
+                assert np.sign(moved[name][at] - values[at]) == -np.sign(slope), (name, at)
+                checked += 1
+    assert checked > 30

@@ -118,3 +118,9 @@ def test_empty_documents(spark, stages):
         docs = stage(spark, docs, folder)
         assert docs.count() == 0
         docs = spark.createDataFrame([], docs.schema)
+
+
+def test_an_own_column_decoded_stays(spark):
+    docs = spark.createDataFrame([(1, "some text", "own", "more")], "doc_id long, text string, decoded string, _Decoded string")
+    (row,) = corpus_pipeline.encoded(spark, docs, "").collect()
+    assert (row.text, row.decoded, row._Decoded, row.n_tokens) == ("some text", "own", "more", len(row.ids))

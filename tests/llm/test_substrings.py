@@ -98,3 +98,15 @@ def test_columns_with_names_of_our_own(spark):
     assert (row._id, row._first, row.n_words) == (5, [1], 30)
     (row,) = cut_repeats(docs).collect()
     assert (row._id, row._first, row.n_words) == (5, [1], 7)
+
+
+def test_columns_with_names_used_on_the_way(spark):
+    own = {"__id": 1, "__Repeated": 2, "__first": 3, "__mixed": 4, "__windows": 5, "_own_kept": 6, "__own0": 7, "Kept": 8}
+    docs = spark.createDataFrame([(i, "a b c " * 10, *own.values()) for i in (1, 2)],
+                                 "doc_id long, text string, " + ", ".join(f"{c} int" for c in own))
+    without = [c for c in own if c != "Kept"]
+    rows = {r.doc_id: r for r in without_repeats(docs).collect()}
+    assert all([r[c] for c in without] == [own[c] for c in without] for r in rows.values())
+    assert [rows[i].n_removed for i in (1, 2)] == [27, 30] and rows[1].kept == "a b c"
+    (row,) = cut_repeats(docs).collect()
+    assert row.asDict() == {"doc_id": 1, "text": "a b c", **own}

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -82,3 +83,46 @@ def test_fold(spark):
     rows = spark.createDataFrame([(i,) for i in range(50)] + [(None,)], "doc_id long")
     for r in rows.select("doc_id", held_out().alias("out")).collect():
         assert r.out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
+def test_training_equals_a_plain_loop():
+    """The update rule written out coordinate by coordinate, with nothing shared but the settings."""
+    pick = random.Random(4)
+    rows = [np.array(sorted(pick.sample(range(40), pick.choice([0, 3, 12]))), np.int32) for _ in range(200)]
+    labels = np.array([float(sum(r % 7 == 0) > pick.random()) for r in rows])
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= toxicity.L1:
+            return 0.0
+        sign = 1.0 if z[i] > 0 else -1.0
+        return -(z[i] - sign * toxicity.L1) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for row, label in zip(rows, labels):
+            w = {i: weight(i) for i in [*row.tolist(), "constant"]}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - label
+            for i, wi in w.items():
+                rate_change = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / toxicity.ALPHA
+                z[i] = z.get(i, 0.0) + g - rate_change * wi
+                n[i] = n.get(i, 0.0) + g * g
+    want = {(1 << toxicity.DIMENSION_BITS) if i == "constant" else i: weight(i) for i in z if weight(i)}
+    model = toxicity.fit_ftrl(rows, labels)
+    found = dict(zip(model["index"].tolist(), model["weight"].tolist()))
+    assert 5 < len(want) and found.keys() == want.keys()
+    assert all(found[i] == pytest.approx(w, rel=1e-9) for i, w in want.items())
+
+
+def test_scores_equal_a_plain_sum(spark, fitted):
+    """Words, pairs and skip pairs of each text, looked up one by one in the model."""
+    docs, _, frame, model = fitted
+    weights = dict(zip(model["index"].tolist(), model["weight"].tolist()))
+    found = {r.doc_id: r for r in toxicity.toxicity_scores(frame, model).collect()}
+    for i, text, _ in docs[:150]:
+        features = set()
+        for start in range(len(text.split())):
+            for gap in (0, 1, 2, 3):
+                features |= set(toxicity.coordinates([" ".join(text.split()[start:start + gap + 1]).encode()])[0].tolist())
+        margin = weights.get(1 << toxicity.DIMENSION_BITS, 0.0) + sum(weights.get(f, 0.0) for f in features)
+        assert found[i].score == pytest.approx(1 / (1 + math.exp(-margin)), abs=1e-5)
+        assert found[i].predicted == int(found[i].score >= 0.7)
