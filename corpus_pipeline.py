@@ -36,10 +36,14 @@ def without_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with token ids, their number, and the text decoded from them (null stays null)."""
+    """Documents with token ids, their number, and the text decoded from them (null stays null). Columns ids and n_tokens are
+    replaced."""
     ranks, pattern = public_vocabulary()
-    coded = bpe.decode(bpe.encode(docs, ranks, pattern), ranks)
-    text = F.when(F.col("text").isNotNull(), F.col("decoded").cast("string")).alias("text")
+    out = "decoded"
+    while out in {c.lower() for c in docs.columns}:
+        out = f"_{out}"
+    coded = bpe.decode(bpe.encode(docs, ranks, pattern), ranks, out=out)
+    text = F.when(F.col("text").isNotNull(), F.col(out).cast("string")).alias("text")
     return coded.select(*[text if c == "text" else F.col(c) for c in docs.columns if c not in ("ids", "n_tokens")],
                         "ids", F.size("ids").cast("long").alias("n_tokens"))
 
